@@ -1,6 +1,6 @@
 """Queries of the training-data operators and the SQL that says what some of them return."""
 
-from mentionforge.llm import chat_format, minhash_dedup, packing, quality_rules, secret_scan, url_filters
+from mentionforge.llm import ann_search, chat_format, minhash_dedup, packing, quality_rules, secret_scan, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1,
@@ -8,10 +8,12 @@ QUERIES = {
     "op3_minhash_dedup": minhash_dedup.op3,
     "op4_packing": packing.op4,
     "op6_chat_formatting": chat_format.op6,
+    "op7_ann_search": ann_search.op7,
     "op9_secret_scans": secret_scan.op9,
 }
 ORACLES = {
     "op2_quality_rules": quality_rules.OP2_SQL,
     "op3_minhash_dedup": minhash_dedup.OP3_SQL,
     "op6_chat_formatting": chat_format.OP6_SQL,
+    "op7_ann_search": ann_search.OP7_SQL,
 }
