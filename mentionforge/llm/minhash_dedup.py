@@ -183,7 +183,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     buckets = member.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
     stars = member.join(buckets, "key").where("rep <> lo").select(F.col("rep").alias("a"), F.col("lo").alias("b")).distinct()
     groups = components(stars)
-    texts = base.where("doc_id is not null").join(groups.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", F.col("root").alias("grp"), "text")
+    # one kind of join at every size: the list of candidates grows with the table and is never broadcast
+    texts = base.where("doc_id is not null").join(groups.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id").select("doc_id", F.col("root").alias("grp"), "text")
     sets = saved(map_in_arrow(texts, _set_maker(width), "id bigint, grp bigint, shingles binary"), "sets")
     sizes = sets.groupBy("grp").agg(F.count("*").alias("size"))
     big = saved(sizes.where(F.col("size") > BLOCK), "big")
