@@ -1,12 +1,13 @@
 """Queries of the training-data operators and the SQL that says what some of them return."""
 
-from mentionforge.llm import ann_search, chat_format, minhash_dedup, packing, quality_rules, secret_scan, url_filters
+from mentionforge.llm import ann_search, chat_format, minhash_dedup, packing, quality_rules, secret_scan, toxicity, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1,
     "op2_quality_rules": quality_rules.op2,
     "op3_minhash_dedup": minhash_dedup.op3,
     "op4_packing": packing.op4,
+    "op5_toxicity": toxicity.op5,
     "op6_chat_formatting": chat_format.op6,
     "op7_ann_search": ann_search.op7,
     "op9_secret_scans": secret_scan.op9,
