@@ -33,6 +33,6 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def map_in_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+def map_in_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
