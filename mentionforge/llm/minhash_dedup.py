@@ -204,7 +204,7 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs without the rows that near_duplicates drops; of repeated rows of one id, all stay or go together."""
-    gone = near_duplicates(docs, **options).where("not kept").select("doc_id").distinct()
+    gone = near_duplicates(docs, **options).where("not kept").select("doc_id").distinct().hint("merge")  # grows with the table
     return docs.join(gone, "doc_id", "left_anti")
 
 

@@ -1,6 +1,6 @@
 """Queries of the training-data operators and the SQL that says what some of them return."""
 
-from mentionforge.llm import ann_search, chat_format, minhash_dedup, packing, quality_rules, secret_scan, substring_dedup, toxicity, url_filters
+from mentionforge.llm import ann_search, chat_format, minhash_dedup, packing, piece_encoding, quality_rules, secret_scan, substring_dedup, toxicity, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_ann_search": ann_search.op7,
     "op8_suffix_array_dedup": substring_dedup.op8,
     "op9_secret_scans": secret_scan.op9,
+    "op10_piece_encoding": piece_encoding.op10,
 }
 ORACLES = {
     "op2_quality_rules": quality_rules.OP2_SQL,

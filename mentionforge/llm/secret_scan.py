@@ -104,7 +104,7 @@ def op9(spark, sf_dir: str) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[REDACTED]", **options) -> DataFrame:
     """docs with every live secret's span replaced by mark (overlapping spans by one), n_chars set anew where it exists."""
     s = scan_secrets(docs, **options)
-    live = s.where(F.exists("secrets", lambda x: x["live"])).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.filter("secrets", lambda x: x["live"]).alias("_live")).dropDuplicates(["_id", "_hash"])
+    live = s.where(F.exists("secrets", lambda x: x["live"])).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.filter("secrets", lambda x: x["live"]).alias("_live")).dropDuplicates(["_id", "_hash"]).hint("merge")  # grows with the table
     joined = docs.join(live, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mentionforge.llm.common import table
 from mentionforge.llm.suffix_array import suffix_array
@@ -222,7 +223,8 @@ class _Block:
     build the same one."""
 
     def __init__(self, texts: pa.Table, pairs: list[tuple[bytes, bytes]]):
-        rows = sorted(zip(texts.column("doc_id").to_pylist(), map(_utf8, texts.column("text").to_pylist()), strict=True))
+        rows = sorted(zip(texts.column("doc_id").to_pylist(), map(_utf8, texts.column("text").to_pylist()), range(texts.num_rows), strict=True))
+        self.order = [r[2] for r in rows]
         self.docs = np.array([r[0] for r in rows], np.int64)
         self.texts = [r[1] for r in rows]
         self.buf, self.ends = _joined(self.texts)
@@ -256,7 +258,7 @@ def _cut_fragments(buckets: int):
         b = _Block(texts, list(zip(shared.column("docs").to_pylist(), shared.column("keys").to_pylist(), strict=True)))
         if not b.fragments:
             return _FRAGMENTS.empty_table()
-        block, text, rows = texts.column("block")[0].as_py(), list(b.fragments), []
+        block, text, rows = texts.column("_block")[0].as_py(), list(b.fragments), []
         for bucket, at in _split((b.fp % _U(buckets)).astype(np.int64)):
             parts = [text[k] for k in at.tolist()]
             rows.append((bucket, block, at.astype("<u4").tobytes(), b.fp[at].tobytes(), b.at[at].astype(np.uint8).tobytes(), b.smallest[at].tobytes(), np.array([len(x) for x in parts], np.uint8).tobytes(), b"".join(parts)))
@@ -385,14 +387,12 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(_SHARED, out)
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
-_OUT_DDL = "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_OUT_DDL = "_bytes bigint, _spans array<struct<start:bigint,end:bigint>>, _kept binary"
 
 
 def _mark(digest: bool):
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
-        if not texts.num_rows:
-            return _OUT.empty_table()
         rows = told.to_pylist()
         b = _Block(texts, [(r["docs"], r["keys"]) for r in rows if r["kind"] == 0])
         cover = np.zeros(len(b.buf) + 1, np.int32)
@@ -422,50 +422,52 @@ def _mark(digest: bool):
             rest = np.frombuffer(t, np.uint8)[~m].tobytes() if len(edge) else t
             sizes.append(len(t))
             spans.append([{"start": x, "end": y} for x, y in edge.reshape(-1, 2).tolist()])
-            kept.append(hashlib.sha256(rest).digest() if digest else rest.decode("utf-8", "ignore").encode() if edge.size else rest)
-        return pa.table([pa.array(b.docs), pa.array(sizes, pa.int64()), pa.array(spans, _OUT.field("spans").type), pa.array(kept, pa.binary())], schema=_OUT)
+            kept.append(hashlib.sha256(rest).digest() if digest else rest.decode("utf-8", "ignore").encode() if len(edge) else rest)
+        out = texts.drop_columns(["_block"]).take(pa.array(b.order, pa.int64()))
+        for name, column in (("_bytes", pa.array(sizes, pa.int64())), ("_spans", pa.array(spans, _SPANS)), ("_kept", pa.array(kept, pa.binary()))):
+            out = out.append_column(name, column)
+        return out
 
     return run
 
 
-def remove_repeats(docs: DataFrame, digest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, spans, kept) for every row: spans are the removed runs in bytes, kept the remaining bytes, or their
-    SHA-256 if digest. Code points that a span cuts in two are left out of kept (but not of its SHA-256).
+def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
+    """The rows of docs (doc_id, text, and whatever else they hold) with _bytes, the text's length in bytes, _spans, its
+    removed runs in bytes, and _kept, the remaining bytes, or their SHA-256 if digest. Code points that a span cuts in two
+    are left out of _kept (but not of its SHA-256).
 
     A byte goes if a 50-byte string over it also starts in a document with a smaller id. Null text counts as empty; rows
-    without id neither lose bytes nor make others lose any; repeated rows of one id are judged alike and not against each other; other
-    columns are not read; an empty table gives an empty table."""
-    spark = docs.sparkSession
-    ship(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    known = base.where("doc_id is not null")
-    total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    without id neither lose bytes nor make others lose any; repeated rows of one id are judged alike and not against each
+    other; an empty table gives an empty table."""
+    ship(docs.sparkSession)
+    known = docs.where("doc_id is not null")
+    plain = known.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4, int(total * 2 / REACH / BUCKET_RUNS) + 1)
     blocks = max(4, int(total / BLOCK_BYTES) + 1) | 1
-    runs = map_in_arrow(known, _reduce_texts(buckets, blocks), _RUNS_DDL)
+    runs = map_in_arrow(plain, _reduce_texts(buckets, blocks), _RUNS_DDL)
     shared = map_in_arrow(runs.repartition(buckets, "bucket").sortWithinPartitions("bucket"), _answer_buckets(blocks), _SHARED_DDL)
-    texts = known.select(F.pmod("doc_id", F.lit(blocks)).alias("block"), "doc_id", "text").repartition(blocks, "block")
-    fragments = texts.groupBy("block").cogroup(shared.repartition(blocks, "block").groupBy("block")).applyInArrow(_cut_fragments(buckets), _FRAGMENTS_DDL)
+    texts = known.withColumn("_block", F.pmod(F.col("doc_id").cast("long"), F.lit(blocks))).repartition(blocks, "_block")
+    fragments = texts.groupBy("_block").cogroup(shared.repartition(blocks, "block").groupBy("block")).applyInArrow(_cut_fragments(buckets), _FRAGMENTS_DDL)
     solved = map_in_arrow(fragments.repartition(buckets, "bucket").sortWithinPartitions("bucket"), _solve, _SHARED_DDL)
     told = shared.unionByName(solved).repartition(blocks, "block")
-    out = texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_mark(digest), _OUT_DDL)
+    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(_OUT_DDL).fields])
+    out = texts.groupBy("_block").cogroup(told.groupBy("block")).applyInArrow(_mark(digest), schema)
     whole = F.coalesce(F.encode("text", "utf-8"), F.lit(b""))
-    rest = base.where("doc_id is null").select("doc_id", F.length(whole).cast("long").alias("n_bytes"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), (F.unhex(F.sha2(whole, 256)) if digest else whole).alias("kept"))
+    rest = docs.where("doc_id is null").withColumns({"_bytes": F.length(whole).cast("long"), "_spans": F.array().cast("array<struct<start:bigint,end:bigint>>"), "_kept": F.unhex(F.sha2(whole, 256)) if digest else whole})
     return out.unionByName(rest)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    out = remove_repeats(table(spark, sf_dir, "documents"), digest=True)
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.lower(F.hex("kept")).alias("kept_sha256"))
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+    removed = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return out.select("doc_id", F.col("_bytes").alias("n_bytes"), removed.alias("n_removed"), F.size("_spans").cast("long").alias("n_spans"), F.lower(F.hex("_kept")).alias("kept_sha256"))
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the repeated bytes taken out of text and n_chars set anew; code points cut in two go with their bytes.
-    Documents are matched by id; columns other than text and n_chars stay."""
-    left = remove_repeats(docs).where(F.size("spans") > 0)
-    left = left.select(F.col("doc_id").alias("_id"), F.decode("kept", "utf-8").alias("_text")).dropDuplicates(["_id"])
-    out = docs.join(left, F.col("doc_id") == F.col("_id"), "left").withColumn("text", F.when(F.col("_id").isNull(), F.col("text")).otherwise(F.col("_text")))
+    """docs with the repeated bytes taken out of text, and n_chars, where there is one, set anew for those rows."""
+    changed = F.size("_spans") > 0
+    out = remove_repeats(docs).withColumn("text", F.when(changed, F.decode("_kept", "utf-8")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_id").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

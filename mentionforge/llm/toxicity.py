@@ -329,7 +329,16 @@ def op5(spark, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def _dropper(model, text_at: int, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tag = _Tagger(model.value)
+        for batch in batches:
+            yield batch.filter(pa.array([tag.score(t.as_py() or "")[0] < threshold for t in batch.column(text_at)], pa.bool_()))
+
+    return run
+
+
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs without the rows whose score is threshold or more."""
-    gone = score_toxicity(docs, fit_toxicity(docs, labels)).where(F.col("score") >= threshold).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
+    """docs without the rows whose score is threshold or more, in one pass and without a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels))
+    return map_in_arrow(docs, _dropper(shared, docs.columns.index("text"), threshold), docs.schema)
