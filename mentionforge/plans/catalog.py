@@ -5,12 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(name: str, sql: str | None = None):
+    """Registers (load) -> DataFrame under a name, where load reads a table of the folder, with the SQL that DuckDB runs."""
+
+    def keep(build: Callable[[Callable[[str], DataFrame]], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: build(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+        if sql is not None:
+            ORACLES[name] = sql
+        return build
+
+    return keep
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").agg(F.count("*").alias("n_documents"), F.sum(F.length("text")).alias("n_chars"))
+    """The name-matching baseline over the catalogue."""
+    return QUERIES["norm_v1"](spark, sf_dir)
+
+
+from mentionforge.plans import corpus, evaluation, linking, texts  # noqa: E402,F401  they register
