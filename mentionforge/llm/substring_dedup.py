@@ -17,6 +17,7 @@ collapsed before they are sent, and the only thing collected is one sum of lengt
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +32,11 @@ from mentionforge.session import map_in_arrow, ship
 
 WIDTH, GRAM = 50, 20
 REACH = WIDTH - GRAM + 1
-SEGMENT, FLUSH_BYTES, FLUSH_DOCS = 1 << 20, 16 << 20, 60_000
+SEGMENT, FLUSH_BYTES, FLUSH_DOCS = (1 << 20) - 64, 16 << 20, 60_000
 BUCKET_RUNS, BLOCK_BYTES = 1_000_000, 8_000_000
 _U = np.uint64
-_KEY = (1 << 40) - 1
+_KEY = (1 << 32) - 1
+_PLACE = _U((1 << 20) - 1)
 _P = 0x9E3779B97F4A7C15
 
 
@@ -63,13 +65,12 @@ def minimizer_runs(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     for a in range(0, len(buf) - WIDTH + 1, SEGMENT):
         sub = buf[a : a + SEGMENT + WIDTH - 1]
         h = _gram_hashes(sub)
-        low, at, step = h, np.arange(len(h), dtype=np.int32), 1
+        low, step = (h & ~_PLACE) | np.arange(len(h), dtype=_U), 1  # the least of these is the leftmost of the least hashes
         while step < REACH:
             d = min(step, REACH - step)
-            right = low[d:] < low[:-d]
-            at = np.where(right, at[d:], at[:-d])
-            low = np.where(right, low[d:], low[:-d])
+            low = np.minimum(low[d:], low[:-d])
             step += d
+        at = (low & _PLACE).astype(np.int32)
         ok = np.ones(len(at), bool)
         for e in ends[np.searchsorted(ends, a, "right") : np.searchsorted(ends, a + len(at) + WIDTH, "right")]:
             ok[max(0, e - WIDTH + 1 - a) : max(0, e - a)] = False
@@ -103,15 +104,27 @@ def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
 
-_RUNS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("docs", pa.binary()), ("which", pa.binary()), ("low", pa.binary()), ("high", pa.binary()), ("many", pa.binary())])
-_RUNS_DDL = "bucket bigint, block bigint, docs binary, which binary, low binary, high binary, many binary"
-_SHARED_DDL = "block bigint, kind int, docs binary, keys binary, extra binary"
-_SHARED = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("docs", pa.binary()), ("keys", pa.binary()), ("extra", pa.binary())])
+#: Numbers that rise are stored as differences, which the shuffle's compression takes to a byte or two.
+_RUNS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), ("many", pa.binary())])
+_RUNS_DDL = "bucket bigint, block bigint, docs binary, counts binary, keys binary, many binary"
+_SHARED = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+_SHARED_DDL = "block bigint, kind int, a binary, b binary, c binary"
+
+
+def _thin(rising: np.ndarray) -> bytes:
+    return np.diff(rising, prepend=rising.dtype.type(0)).tobytes()
+
+
+def _full(thin: bytes, kind=np.int64) -> np.ndarray:
+    return np.cumsum(np.frombuffer(thin, kind), dtype=kind)
 
 
 def _by_block(docs: np.ndarray, keys: np.ndarray, blocks: int) -> Iterator[tuple]:
+    """(block, documents in order, keys) of pairs."""
+    order = np.argsort(docs, kind="stable")
+    docs, keys = docs[order], keys[order]
     for block, at in _split(np.mod(docs, blocks)):
-        yield block, docs[at].tobytes(), keys[at].tobytes()
+        yield block, _thin(docs[at]), keys[at].astype("<u4").tobytes()
 
 
 def _reduce_texts(buckets: int, blocks: int):
@@ -129,14 +142,15 @@ def _reduce_texts(buckets: int, blocks: int):
         start = np.flatnonzero(np.r_[True, fp[1:] != fp[:-1]])
         count = np.diff(np.r_[start, len(fp)])
         shared = np.repeat(count > 1, count)
-        rows = [(k % buckets, b, d, x, None, None, None) for k, (b, d, x) in enumerate(_by_block(ids[doc[shared]], (fp[shared] & _U(_KEY)).astype(np.int64), blocks))]
+        rows = [(k % buckets, b, d, None, x, None) for k, (b, d, x) in enumerate(_by_block(ids[doc[shared]], fp[shared] & _U(_KEY), blocks))]
         if rows:
             yield _batch(_RUNS, rows)
         doc, fp, many, rows = doc[start], fp[start], count > 1, []
+        order = np.argsort(doc, kind="stable")
+        doc, fp, many = doc[order], fp[order], many[order]
         for bucket, at in _split(((fp >> _U(40)) % _U(buckets)).astype(np.int64)):
-            used, which = np.unique(doc[at], return_inverse=True)
-            key = fp[at] & _U(_KEY)
-            rows.append((bucket, None, np.diff(ids[used], prepend=0).tobytes(), which.astype("<u2").tobytes(), key.astype("<u4").tobytes(), (key >> _U(32)).astype(np.uint8).tobytes(), np.packbits(many[at]).tobytes()))
+            used, n = np.unique(doc[at], return_counts=True)
+            rows.append((bucket, None, _thin(ids[used]), n.astype("<u4").tobytes(), (fp[at] & _U(_KEY)).astype("<u4").tobytes(), np.packbits(many[at]).tobytes()))
         yield _batch(_RUNS, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,15 +207,14 @@ def _answer_buckets(blocks: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches):
-            known = [(r["block"], 0, r["docs"], r["which"], None) for r in rows if r["block"] is not None]
+            known = [(r["block"], 0, r["docs"], r["keys"], None) for r in rows if r["block"] is not None]
             if known:
                 yield _batch(_SHARED, known)
             docs, keys, many = [], [], []
             for r in (r for r in rows if r["block"] is None):
-                low = np.frombuffer(r["low"], "<u4")
-                keys.append(low.astype(np.int64) | np.frombuffer(r["high"], np.uint8).astype(np.int64) << 32)
-                docs.append(np.cumsum(np.frombuffer(r["docs"], np.int64))[np.frombuffer(r["which"], "<u2")])
-                many.append(np.unpackbits(np.frombuffer(r["many"], np.uint8), count=len(low)).astype(bool))
+                keys.append(np.frombuffer(r["keys"], "<u4"))
+                docs.append(np.repeat(_full(r["docs"]), np.frombuffer(r["counts"], "<u4")))
+                many.append(np.unpackbits(np.frombuffer(r["many"], np.uint8), count=len(keys[-1])).astype(bool))
             if not docs:
                 continue
             docs, keys, many = np.concatenate(docs), np.concatenate(keys), np.concatenate(many)
@@ -233,11 +246,11 @@ class _Block:
         if not pairs or not rows:
             return
         ids, place = np.unique(self.docs, return_inverse=True)
-        told = np.concatenate([np.frombuffer(d, np.int64) for d, _ in pairs])
-        keys = np.concatenate([np.frombuffer(k, np.int64) for _, k in pairs])
-        told = np.unique(np.searchsorted(ids, told).astype(_U) << _U(40) | keys.astype(_U))
+        told = np.concatenate([_full(d) for d, _ in pairs])
+        keys = np.concatenate([np.frombuffer(k, "<u4") for _, k in pairs])
+        told = np.unique(np.searchsorted(ids, told).astype(_U) << _U(32) | keys.astype(_U))
         doc, p, first, last, fp = minimizer_runs(self.buf, self.ends)
-        own = place[doc].astype(_U) << _U(40) | fp & _U(_KEY)
+        own = place[doc].astype(_U) << _U(32) | fp & _U(_KEY)
         at = np.minimum(np.searchsorted(told, own), len(told) - 1)
         hit = np.flatnonzero(told[at] == own) if len(told) else np.empty(0, np.int64)
         self.doc, self.first, self.last, fp = doc[hit], first[hit], last[hit], fp[hit]
@@ -247,21 +260,21 @@ class _Block:
         self.fp, self.at, self.smallest = fp[one], (p[hit] - self.first)[one], self.docs[self.doc[one]]
 
 
-_FRAGMENTS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("ids", pa.binary()), ("fps", pa.binary()), ("at", pa.binary()), ("docs", pa.binary()), ("lens", pa.binary()), ("text", pa.binary())])
-_FRAGMENTS_DDL = "bucket bigint, block bigint, ids binary, fps binary, at binary, docs binary, lens binary, text binary"
+_FRAGMENTS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("ids", pa.binary()), ("at", pa.binary()), ("docs", pa.binary()), ("lens", pa.binary()), ("text", pa.binary())])
+_FRAGMENTS_DDL = "bucket bigint, block bigint, ids binary, at binary, docs binary, lens binary, text binary"
 
 
 def _cut_fragments(buckets: int):
     def run(texts: pa.Table, shared: pa.Table) -> pa.Table:
         if not texts.num_rows or not shared.num_rows:
             return _FRAGMENTS.empty_table()
-        b = _Block(texts, list(zip(shared.column("docs").to_pylist(), shared.column("keys").to_pylist(), strict=True)))
+        b = _Block(texts, list(zip(shared.column("a").to_pylist(), shared.column("b").to_pylist(), strict=True)))
         if not b.fragments:
             return _FRAGMENTS.empty_table()
         block, text, rows = texts.column("_block")[0].as_py(), list(b.fragments), []
         for bucket, at in _split((b.fp % _U(buckets)).astype(np.int64)):
             parts = [text[k] for k in at.tolist()]
-            rows.append((bucket, block, at.astype("<u4").tobytes(), b.fp[at].tobytes(), b.at[at].astype(np.uint8).tobytes(), b.smallest[at].tobytes(), np.array([len(x) for x in parts], np.uint8).tobytes(), b"".join(parts)))
+            rows.append((bucket, block, _thin(at.astype("<u4")), b.at[at].astype(np.uint8).tobytes(), _thin(b.smallest[at]), np.array([len(x) for x in parts], np.uint8).tobytes(), b"".join(parts)))
         return pa.Table.from_batches([_batch(_FRAGMENTS, rows)])
 
     return run
@@ -310,12 +323,12 @@ def _smallest_by_window(strings: list[bytes], docs: list[int]) -> list[list[int]
 
 
 def _solve_bucket(rows: list[dict]) -> Iterator[tuple]:
-    """Fragments of a bucket to rows (block, ids, first window, smallest document): one entry where the answer changes."""
+    """Fragments of a bucket to rows (block, fragments all of whose windows a document before the block's own holds, and
+    (fragment, first window, last window) of those with some)."""
     block = np.concatenate([np.full(len(r["lens"]), r["block"], np.int64) for r in rows])
-    ids = np.concatenate([np.frombuffer(r["ids"], "<u4") for r in rows])
-    fp = np.concatenate([np.frombuffer(r["fps"], _U) for r in rows])
+    ids = np.concatenate([_full(r["ids"], "<u4") for r in rows])
     at = np.concatenate([np.frombuffer(r["at"], np.uint8) for r in rows]).astype(np.int64)
-    doc = np.concatenate([np.frombuffer(r["docs"], np.int64) for r in rows])
+    doc = np.concatenate([_full(r["docs"]) for r in rows])
     texts: list[bytes] = []
     for r in rows:
         cuts = np.cumsum(np.frombuffer(r["lens"], np.uint8), dtype=np.int64).tolist()
@@ -326,8 +339,10 @@ def _solve_bucket(rows: list[dict]) -> Iterator[tuple]:
     own = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(own, which, doc)
     _, one = np.unique(which, return_index=True)
-    texts, key, at = list(known), fp[one], at[one]
-    _, group, count = np.unique(key, return_inverse=True, return_counts=True)
+    texts, at = list(known), at[one]
+    grams: dict[bytes, int] = {}
+    group = np.fromiter((grams.setdefault(t[p : p + GRAM], len(grams)) for t, p in zip(texts, at.tolist(), strict=True)), np.int64, n)
+    count = np.bincount(group)
     many = np.flatnonzero(count[group] > 1)
     answers: dict[int, np.ndarray] = {}
     if len(many):
@@ -361,23 +376,17 @@ def _solve_bucket(rows: list[dict]) -> Iterator[tuple]:
             m[a : a + width] = np.minimum(m[a : a + width], found if found is not None else least[x])
             if (m != own[k]).any():
                 answers[k] = m
-    starts, values, of = [np.zeros(n, np.uint8)], [own.copy()], [np.arange(n)]
-    for k, m in answers.items():
-        values[0][k] = m[0]
-        change = np.flatnonzero(m[1:] != m[:-1]) + 1
-        starts.append(change.astype(np.uint8))
-        values.append(m[change])
-        of.append(np.full(len(change), k))
-    starts, values, of = np.concatenate(starts), np.concatenate(values), np.concatenate(of)
-    order = np.argsort(of, kind="stable")
-    starts, values = starts[order], values[order]
-    begin = np.searchsorted(of[order], np.arange(n + 1))
-    length = np.diff(begin)
+    least_of = np.array([answers[k].max() if k in answers else own[k] for k in range(n)]) if answers else own
+    whole = least_of[which] < doc
+    partly: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+    for x in np.flatnonzero(~whole & np.isin(which, list(answers))).tolist() if answers else ():
+        edge = np.flatnonzero(np.diff(np.r_[False, answers[which[x]] < doc[x], False].astype(np.int8)))
+        for first, end in edge.reshape(-1, 2).tolist():
+            partly[int(block[x])].append((int(ids[x]), first, end - 1))
     for b, places in _split(block):
-        w = which[places]
-        reps = length[w]
-        pick = np.repeat(begin[w] - np.r_[0, np.cumsum(reps)[:-1]], reps) + np.arange(reps.sum())
-        yield b, 1, values[pick].tobytes(), np.repeat(ids[places], reps).astype("<u4").tobytes(), starts[pick].tobytes()
+        all_of, some = np.sort(ids[places[whole[places]]]), np.array(partly.get(b, ()), np.int64).reshape(-1, 3)
+        if len(all_of) or len(some):
+            yield b, 1, _thin(all_of), some[:, 0].astype("<u4").tobytes(), some[:, 1:].astype(np.uint8).tobytes()
 
 
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,25 +403,27 @@ _OUT_DDL = "_bytes bigint, _spans array<struct<start:bigint,end:bigint>>, _kept
 def _mark(digest: bool):
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         rows = told.to_pylist()
-        b = _Block(texts, [(r["docs"], r["keys"]) for r in rows if r["kind"] == 0])
+        b = _Block(texts, [(r["a"], r["b"]) for r in rows if r["kind"] == 0])
         cover = np.zeros(len(b.buf) + 1, np.int32)
-        answers = [r for r in rows if r["kind"] == 1]
-        if answers and len(b.id):
-            value = np.concatenate([np.frombuffer(r["docs"], np.int64) for r in answers])
-            frag = np.concatenate([np.frombuffer(r["keys"], "<u4") for r in answers]).astype(np.int64)
-            start = np.concatenate([np.frombuffer(r["extra"], np.uint8) for r in answers]).astype(np.int64)
-            order = np.lexsort((start, frag))
-            value, frag, start = value[order], frag[order], start[order]
-            begin = np.searchsorted(frag, np.arange(len(b.fragments) + 1))
-            reps = np.diff(begin)[b.id]
-            pick = np.repeat(begin[b.id] - np.r_[0, np.cumsum(reps)[:-1]], reps) + np.arange(reps.sum())
-            run_of = np.repeat(np.arange(len(b.id)), reps)
-            from_ = b.first[run_of] + start[pick]
-            closes = np.r_[run_of[1:] != run_of[:-1], True]
-            to = np.where(closes, b.last[run_of], np.r_[from_[1:], 0] - 1)
-            gone = value[pick] < b.docs[b.doc[run_of]]
-            np.add.at(cover, from_[gone], 1)
-            np.add.at(cover, to[gone] + WIDTH, -1)
+
+        def mark(first, last):
+            np.add.at(cover, first, 1)
+            np.add.at(cover, last + WIDTH, -1)
+
+        if len(b.id):
+            answers = [r for r in rows if r["kind"] == 1]
+            whole = np.zeros(len(b.fragments), bool)
+            for r in answers:
+                whole[_full(r["a"], "<u4")] = True
+            later = whole[b.id] | (b.docs[b.doc] > b.smallest[b.id])
+            mark(b.first[later], b.last[later])
+            frag = np.concatenate([np.empty(0, "<u4"), *(np.frombuffer(r["b"], "<u4") for r in answers)]).astype(np.int64)
+            some = np.concatenate([np.empty((0, 2), np.uint8), *(np.frombuffer(r["c"], np.uint8).reshape(-1, 2) for r in answers)]).astype(np.int64)
+            order = np.argsort(b.id, kind="stable")
+            begin, end = (np.searchsorted(b.id[order], frag, side) for side in ("left", "right"))
+            for f, (x, y), i, j in zip(frag.tolist(), some.tolist(), begin.tolist(), end.tolist(), strict=True):
+                at = b.first[order[i:j]]
+                mark(at + x, at + y)
         removed = np.cumsum(cover[:-1]) > 0
         sizes, spans, kept, a = [], [], [], 0
         for t in b.texts:
