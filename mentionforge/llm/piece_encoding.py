@@ -24,7 +24,7 @@ from mentionforge.llm.common import saved, table
 from mentionforge.session import map_in_arrow
 
 SPACE = "▁"
-CHUNK, MEMORY = 16_384, 300_000
+CHUNK, MEMORY = 16_384, 200_000
 NEVER = -(1 << 62)
 _MODELS: dict = {}
 
@@ -41,14 +41,22 @@ class Pieces:
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == "byte"}
         self.raw = [bytes([int(p[3:5], 16)]) if kind == "byte" else p.replace(SPACE, " ").encode() if kind == "normal" else b"" for p, _, kind in pieces]
         self.reach = max(map(len, self.ids), default=1)
+        self.trie: tuple = ({}, None, -1)  # nodes: children, score, id
+        for p, i in self.ids.items():
+            node = self.trie
+            for c in p[:-1]:
+                node = node[0].setdefault(c, ({}, None, -1))
+            node[0][p[-1]] = (node[0].get(p[-1], ({},))[0], self.score[p], i)
         self.unknown = min(self.score.values(), default=0) - 10 * scale
         self.prefix = prefix
         inner = {a + b for p in self.ids for a, b in zip(p, p[1:], strict=False)}
         space_leads = not any(b == SPACE and a != SPACE for a, b in inner)
-        lone = "" if any("\n" in p for p in self.ids) else "\n"
-        self.cuts = re.compile(f"{lone}|{SPACE}*[^{SPACE}{lone}]+|{SPACE}+" if lone else f"{SPACE}*[^{SPACE}]+|{SPACE}+") if space_leads else None
+        line = "" if any("\n" in p for p in self.ids) else "\n"  # a line feed without pieces stands alone
+        ends = any(b in ".," and a.isalpha() for a, b in inner)
+        plain = "" if ends else f"{SPACE}*[^\\W\\d_]+(?![^.,{SPACE}\n])|"  # a word up to its stop or comma
+        self.cuts = re.compile((f"{line}|" if line else "") + f"{plain}{SPACE}*[^{SPACE}{line}]+|{SPACE}+") if space_leads else None
         self.known: dict[str, tuple[int, ...]] = {}
-        self.values: dict[str, int] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def prepare(self, text: str) -> str:
         """Spaces become the mark; a mark is put in front of a text that is not empty."""
@@ -70,29 +78,34 @@ class Pieces:
 
     def solve(self, text: str, first_end: int = 0) -> tuple[tuple[int, ...], int]:
         """Ids and score of the best path; ties go to the longer last piece. The first piece ends behind first_end."""
-        n, reach, get, unknown = len(text), self.reach, self.score.get, self.unknown
-        value, back = [0] + [NEVER] * n, [0] * (n + 1)
-        for e in range(1, n + 1):
-            top, at = NEVER, 0
-            for a in range(e - reach if e > reach else 0, e):
-                v = value[a]
-                if v == NEVER or (a == 0 and e <= first_end):
-                    continue
-                s = get(text[a:e])
-                if s is None:
-                    if a < e - 1:
-                        continue
-                    s = unknown
-                if v + s > top:
-                    top, at = v + s, a
-            value[e], back[e] = top, at
+        n, root, unknown = len(text), self.trie, self.unknown
+        value, back, piece = [0] + [NEVER] * n, [0] * (n + 1), [-1] * (n + 1)
+        for a in range(n):
+            v = value[a]
+            if v == NEVER:
+                continue
+            node, e, lone = root, a, False
+            for c in text[a : a + self.reach]:
+                e += 1
+                node = node[0].get(c)
+                if node is None:
+                    break
+                _, s, i = node
+                if s is not None:
+                    lone = lone or e == a + 1
+                    if v + s > value[e] and (a or e > first_end):
+                        value[e], back[e], piece[e] = v + s, a, i
+            if not lone and v + unknown > value[a + 1] and (a or first_end < 1):
+                value[a + 1], back[a + 1], piece[a + 1] = v + unknown, a, -1
         out, e = [], n
         while e:
-            piece = text[back[e] : e]
-            i = self.ids.get(piece)
-            out.extend([i] if i is not None else [self.bytes.get(b, 0) for b in reversed(piece.encode("utf-8", "surrogatepass"))])
+            if piece[e] >= 0:
+                out.append(piece[e])
+            else:
+                out.extend([self.bytes.get(b, 0) for b in reversed(text[back[e] : e].encode("utf-8", "surrogatepass"))])
             e = back[e]
-        return tuple(reversed(out)), value[n]
+        out.reverse()
+        return tuple(out), value[n]
 
     def encode(self, text: str, first_end: int = 0) -> list[int]:
         """Ids of prepared text; segments between cuts are solved once and remembered up to a bound."""
@@ -100,13 +113,13 @@ class Pieces:
             head = self.cuts.match(text, first_end) if self.cuts is not None else None
             cut = self.next_cut(text, first_end) if head else len(text)
             return [*self.best(text[:cut], first_end), *(self.encode(text[cut:]) if cut < len(text) else ())]
-        known, out = self.known, []
-        if len(known) > MEMORY:
-            known.clear()
+        if len(self.known) > MEMORY:
+            self.known, self.older = {}, self.known  # what is met again moves on
+        known, older, out = self.known, self.older, []
         for s in self.cuts.findall(text):
             ids = known.get(s)
             if ids is None:
-                ids = self.best(s)
+                ids = older.get(s) or self.best(s)
                 if len(s) <= 64:
                     known[s] = ids
             out += ids
@@ -122,7 +135,7 @@ class Pieces:
         return len(text)
 
     def matrix(self, left: str, chunk: str) -> np.ndarray:
-        """Best scores from state s at the chunk's start (last cut s chars before it) to state t at its end. left: up to
+        """Best scores, up to a constant, from state s at the chunk's start (last cut s chars before it) to state t at its end. left: up to
         reach - 1 chars before the chunk."""
         r, k = self.reach, len(left)
         text = left + chunk
@@ -136,7 +149,7 @@ class Pieces:
             if cut < e <= last:
                 if e != last:
                     continue
-                value[e] = np.where(value[cut] > NEVER, value[cut] + self.score_of(text[cut:last]), NEVER)
+                value[e] = value[cut]  # what lies between cuts adds the same to every entry and decides nothing
                 start = last
                 continue
             for a, s in self.steps(text, e, 0 if start == k else start):
@@ -159,18 +172,6 @@ class Pieces:
                 return i
         return first
 
-    def score_of(self, text: str) -> int:
-        """Score of the best path of a text between cuts."""
-        total, values = 0, self.values
-        if len(values) > MEMORY:
-            values.clear()
-        for s in self.cuts.findall(text):
-            v = values.get(s)
-            if v is None:
-                v = values[s] = self.solve(s)[1]
-            total += v
-        return total
-
     def decode(self, ids: list[int]) -> str:
         text = b"".join(self.raw[i] for i in ids).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
