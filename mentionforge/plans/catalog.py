@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The name-matching baseline over the catalogue."""
-    return QUERIES["norm_v1"](spark, sf_dir)
+    return QUERIES["fast_text_match"](spark, sf_dir)
 
 
 from mentionforge.plans import corpus, evaluation, linking, texts  # noqa: E402,F401  they register
