@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -24,7 +25,7 @@ from mentionforge.llm.common import bounded_sample, table
 from mentionforge.session import map_in_arrow
 
 #: Fitting bounds: labelled rows by class, code points of a fitted text, entries of the lexicon.
-MOST_TOXIC, MOST_CLEAN, MOST_CHARS, MOST_ENTRIES = 4000, 8000, 20_000, 50_000
+MOST_TOXIC, MOST_CLEAN, MOST_CHARS, MOST_ENTRIES = 2000, 8000, 20_000, 50_000
 LEAST_CONTEXTS, LEAST_ODDS = 5, 3.0
 PREFIXES = (4, 5, 6)
 #: Bounds between the observation symbols 1, 2, ... by log-odds of a token's best lexicon entry; symbol 0: none.
@@ -118,8 +119,8 @@ def _features(log_clean: float, marginals: list[float], n: int) -> np.ndarray:
 def learn_lexicon(texts: list[str], toxic: list[int]) -> dict[str, float]:
     """Entries with LEAST_CONTEXTS different surroundings, one a toxic text (copies share theirs), and log-odds of LEAST_ODDS;
     words that a listed beginning covers though they go with clean texts are listed below zero."""
-    contexts: dict[str, set[int]] = defaultdict(set)
-    per_word: dict[str, set[int]] = defaultdict(set)
+    number: dict[str, int] = {}
+    pairs = array("q")
     n_toxic = sum(toxic)
     n_clean = len(toxic) - n_toxic
     for t, y in zip(texts, toxic, strict=True):
@@ -129,20 +130,15 @@ def learn_lexicon(texts: list[str], toxic: list[int]) -> dict[str, float]:
                 c = zlib.crc32(f"{a} {b}".encode("utf-8", "surrogatepass"))
                 least[w] = min(c, least.get(w, c))
             for w, c in least.items():
-                per_word[w].add(c)
-    for w, c in per_word.items():
-        for e in entries_of(w):
-            contexts[e] |= c
-    wide = {e for e, c in contexts.items() if len(c) >= LEAST_CONTEXTS}
-    del contexts
-    known: dict[str, list[str]] = {}
+                pairs.extend(number.setdefault(e, len(number)) << 32 | c for e in entries_of(w))
+    contexts = np.bincount(np.unique(np.frombuffer(pairs, np.int64)) >> 32, minlength=len(number))
+    wide = {e for e, k in number.items() if contexts[k] >= LEAST_CONTEXTS}
+    del number, pairs, contexts
     seen = {0: defaultdict(int), 1: defaultdict(int)}
     for t, y in zip(texts, toxic, strict=True):
         found = set()
         for w in set(t.lower().split()):
-            if w not in known:
-                known[w] = [e for e in entries_of(w) if e in wide]
-            found.update(known[w])
+            found.update(e for e in entries_of(w) if e in wide)
         for e in found:
             seen[y][e] += 1
     odds = {e: math.log((seen[1][e] + 0.5) / (n_toxic + 1)) - math.log((seen[0][e] + 0.5) / (n_clean + 1)) for e in seen[1]}
@@ -242,7 +238,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         return m
     m.lexicon = learn_lexicon(texts, toxic)
     tag = _Tagger(m)
-    rows = [(np.array(tag.symbols(t), dtype=int), y) for t, y in zip(texts, toxic, strict=True)]
+    rows = [(np.array(tag.symbols(t), dtype=np.int8), y) for t, y in zip(texts, toxic, strict=True)]
     _fit_chain(m, rows)
     chain, x = _Chain(m), []
     for s, _ in rows:
@@ -255,7 +251,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
 class _Tagger:
     """Symbols of words, with a bounded memory of words met before."""
 
-    MOST = 400_000
+    MOST = 200_000
 
     def __init__(self, model: Model):
         self.model, self.chain, self.known = model, _Chain(model), {}
