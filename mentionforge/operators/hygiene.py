@@ -2,50 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mentionforge.functions import text as t
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "mentionforge-tables")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """A Parquet copy in the shared folder: later reads do not depend on executors that made it."""
-    path = f"{shared_folder(df.sparkSession)}/mentionforge/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def connected(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(id, root) for every vertex of edges (a, b), root the smallest id of its component.
-
-    Rounds of two steps: neighbours above a vertex move to its smallest neighbour, then a vertex and its smaller neighbours
-    do. Minima are aggregated before the shuffle, so a hub costs no more than its edges; edges live in written tables."""
-    e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
-    for _ in range(most_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        up = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = up.groupBy("u").agg(F.min("v").alias("m"))
-        down = up.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = materialize(down.where("u <> v").distinct(), "edges")
-        state = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == seen:
-            break
-        seen = state
-    roots = e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("id"), "root")
-    return roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
+from mentionforge.operators.graph import connected, materialize
 
 
 def near_duplicate_pairs(docs: DataFrame, jaccard: float = 0.85, least_excerpt: int = 6, width: int = 5) -> DataFrame:

@@ -1,25 +1,23 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from mentionforge.operators import hygiene, intervals, linkage, registry
+from mentionforge.operators import graph, hygiene, intervals, linkage, registry
 
 
-def test_components_of_long_chains_and_hubs(spark):
+@pytest.mark.parametrize("task_edges", [10**6, 40])
+def test_components(spark, task_edges):
     r = random.Random(3)
-    edges = [(i, i + 1) for i in range(60)] + [(100, 100 + k) for k in range(1, 80)] + [(r.randrange(300, 400), r.randrange(300, 400)) for _ in range(120)] + [(7, 7)]
-    root = {x: x for e in edges for x in e}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in edges:
-        a, b = sorted((find(a), find(b)))
-        root[b] = a
-    got = {r.id: r.root for r in hygiene.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: find(x) for a, b in edges for x in (a, b) if a != b}
+    edges = [(i + 1, i) for i in range(60)] + [(100, 100 + k) for k in range(1, 80)] + [(r.randrange(300, 400), r.randrange(300, 400)) for _ in range(120)] + [(7, 7), (None, 3)]
+    root = {x: x for a, b in edges if a is not None and a != b for x in (a, b)}
+    for _ in range(200):
+        for a, b in edges:
+            if a is not None and a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = graph.connected(spark.createDataFrame(edges, "a long, b long").repartition(5), task_edges).collect()
+    assert {x.id: x.root for x in got} == root and len(got) == len(root)
+    assert graph.connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_near_duplicates_and_excerpts(spark):
