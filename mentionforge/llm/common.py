@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mentionforge.operators.graph import connected as components
+from mentionforge.operators.graph import materialize as saved
+
+__all__ = ["SPACE", "UPPER", "ascii_lower", "bounded_sample", "components", "saved", "table", "words_of"]
+
 #: The white space of the word rule [^\x20\x09-\x0D]+, as the inside of a regex class.
 SPACE = " \\t\\n\\x0B\\f\\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -18,27 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that setting is absent (local runs)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isEmpty():
-            spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "mentionforge-checkpoints"))
-            found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = found.get()
-    return where
-
-
-def saved(df: DataFrame, name: str = "part") -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: lineage ends there, so a lost executor
-    costs one task and not a recomputation, and the size of the table is known to the planner."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/mentionforge/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
@@ -56,29 +36,3 @@ def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
         return df
     cut = int((1 << 31) * (most / n))
     return df.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 31)) < F.lit(cut))
-
-
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """Connected components of edges (a, b): rows (id, root) for every vertex, root the smallest id reachable.
-
-    Alternates large-star and small-star steps on DataFrames. Hubs are aggregated with partial minima, and the
-    join back is an ordinary equi-join that adaptive execution can split; nothing is collected to the driver
-    but one checksum row a round."""
-    e = edges.where("a is not null and b is not null and a <> b")
-    e = saved(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    last = None
-    for _ in range(most_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # large star: larger neighbours of u move to the minimum of its neighbourhood
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: u and its smaller neighbours move to the smallest of them
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = saved(small.where("u <> v").distinct(), "edges")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == last:
-            break
-        last = now
-    roots = e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("id"), "root")
-    return roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct())

@@ -145,7 +145,8 @@ def _confirm(cells: DataFrame, percent: int) -> DataFrame:
 
 
 def _confirm_large(large: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Links inside groups of more than BLOCK texts; large: (id, grp, shingles, size)."""
+    """Links of groups of more than BLOCK texts (id, grp, shingles, size), given those of the others: the stars of what pivots
+    and other groups link, and links from texts outside a group's main component."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     salt = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), F.lit(1 << 30))
     own = lambda kind, parts: F.concat_ws("/", F.lit(kind), F.col("grp"), *parts)
@@ -164,7 +165,7 @@ def _confirm_large(large: DataFrame, links: DataFrame, percent: int) -> DataFram
     held = named.where("label <> main").withColumn("_i", F.pmod(salt(11), apart_blocks)).withColumn("_j", F.explode(F.sequence(F.lit(0), blocks - 1)))
     met = named.withColumn("_j", F.pmod(salt(13), blocks)).withColumn("_i", F.explode(F.sequence(F.lit(0), apart_blocks - 1)))
     cells = held.withColumn("side", F.lit(0)).unionByName(met.withColumn("side", F.lit(1)))
-    return links.unionByName(_confirm(cells.withColumn("cell", own("g", ["_i", "_j"])), percent))
+    return labels.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(_confirm(cells.withColumn("cell", own("g", ["_i", "_j"])), percent))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
