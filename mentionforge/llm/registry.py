@@ -19,4 +19,6 @@ ORACLES = {
     "op3_minhash_dedup": minhash_dedup.OP3_SQL,
     "op6_chat_formatting": chat_format.OP6_SQL,
     "op7_ann_search": ann_search.OP7_SQL,
+    "op8_suffix_array_dedup": substring_dedup.OP8_SQL,
+    "op9_secret_scans": secret_scan.OP9_SQL,
 }

@@ -118,3 +118,34 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]", **options) -> DataFrame:
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_live").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_KEYS = "|".join(_either_case(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_FINDERS = (
+    ("assign", 0, rf"""(?:{_KEYS})["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)""", 1, "length(v) >= 12"),
+    ("access", 1, "(AKIA[A-Z0-9]+)", 1, "length(v) >= 18"),
+    ("hex", 2, "([0-9a-f]{16,})", 1, "true"),
+    ("opaque", 3, "([A-Za-z0-9+/_=-]{24,})", 1, "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND -list_sum(list_transform(map_values(list_aggregate(string_split(v, ''), 'histogram')), lambda c: c / length(v) * log2(c / length(v)))) >= 3.5"),
+)
+_FOUND = " UNION ALL ".join(
+    f"""SELECT * FROM (SELECT doc_id, source, '{name}' kind, {rank} rk, v, p0::BIGINT s, (p0 + length(mt))::BIGINT e FROM (
+  SELECT doc_id, source, mt, v, sum(length(pc)) OVER w + sum(length(mt)) OVER w - length(mt) p0 FROM (
+    SELECT doc_id, source, unnest(a) mt, unnest(b) v, unnest(c[1:len(a)]) pc, generate_subscripts(a, 1) k FROM (
+      SELECT doc_id, source, regexp_extract_all(t, '{pattern}', 0) a, regexp_extract_all(t, '{pattern}', {g}) b, regexp_split_to_array(t, '{pattern}') c FROM d) WHERE len(a) > 0)
+  WINDOW w AS (PARTITION BY doc_id ORDER BY k)) WHERE {ok})"""
+    for name, rank, pattern, g, ok in _FINDERS
+)
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') source, coalesce(text, '') t FROM documents), f AS ({_FOUND}),
+o AS (SELECT * FROM f WHERE rk < 3 OR NOT EXISTS (SELECT 1 FROM f b WHERE b.doc_id = f.doc_id AND b.rk < 3 AND b.s < f.e AND f.s < b.e)),
+n AS (SELECT v, count(DISTINCT source) < {COPIED_OWNERS} live FROM o GROUP BY v), l AS (SELECT * FROM o JOIN n USING (v) WHERE rk < 3 OR live),
+g AS (SELECT doc_id, count(*) FILTER (rk = 0) a, count(*) FILTER (rk = 1) b, count(*) FILTER (rk = 2) c, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rk) FILTER (rk < 3) base,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rk) sp, count(*) FILTER (live) x, count(*) FILTER (NOT live) y FROM l GROUP BY doc_id)
+SELECT doc_id, coalesce(a, 0)::BIGINT n_assign, coalesce(b, 0)::BIGINT n_access, coalesce(c, 0)::BIGINT n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(sp, '') spans,
+  coalesce(x, 0)::BIGINT n_live, coalesce(y, 0)::BIGINT n_copied
+FROM d LEFT JOIN g USING (doc_id)
+"""

@@ -482,3 +482,19 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
+
+
+#: Texts as hex, two characters a byte, so that string functions work on bytes.
+OP8_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) s FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 49)) i FROM d)),
+m AS (SELECT s, min(doc_id) m FROM w GROUP BY s),
+c AS (SELECT doc_id, i, CASE WHEN lag(i) OVER k + 50 >= i THEN 0 ELSE 1 END b FROM w JOIN m USING (s) WHERE m < doc_id WINDOW k AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i, sum(b) OVER (PARTITION BY doc_id ORDER BY i) g FROM c),
+p AS (SELECT doc_id, min(i) a, max(i) + 50 e FROM r GROUP BY doc_id, g),
+q AS (SELECT doc_id, a, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) f FROM p),
+t AS (SELECT doc_id, sum(e - a) x, count(*) n, max(e) z, string_agg(substr(h, 2 * f + 1, 2 * (a - f)), '' ORDER BY a) y FROM q JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT n_bytes, coalesce(x, 0)::BIGINT n_removed, coalesce(n, 0)::BIGINT n_spans,
+  sha256(unhex(CASE WHEN n IS NULL THEN h ELSE y || substr(h, 2 * z + 1) END)) kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
