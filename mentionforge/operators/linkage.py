@@ -57,9 +57,9 @@ def fast_match(found: DataFrame, popularity: DataFrame) -> DataFrame:
 
 def inverse_frequency(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(token, idf) with ln((1 + N) / (1 + df)) + 1 over the texts' token sets."""
-    total = texts.agg(F.count("*").alias("_n"))
+    total = texts.count()
     df = texts.select(id_col, F.explode(F.array_distinct(t.context_tokens(F.col(text_col)))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    return df.crossJoin(F.broadcast(total)).select("token", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
+    return df.select("token", (F.log(F.lit(1 + total) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def vectors(rows: DataFrame, keys: list[str], text_col: str, drop_col: str, idf: DataFrame, unknown: Column) -> DataFrame:

@@ -128,11 +128,9 @@ def conditional_links(load):
     edges, ignored = _edges(load)
     ok = iv.edge_eligible(edges, _regions(load), ignored, ["doc_id"])
     p = _predicted(load).select("doc_id", "start", "end").distinct()
-    both = ok.join(p, ["doc_id", "start", "end"], "left_semi").join(p.withColumnsRenamed({"start": "start2", "end": "end2"}), ["doc_id", "start2", "end2"], "left_semi")
-    return ok.agg(F.count("*").alias("eligible")).crossJoin(both.agg(F.count("*").alias("conditional")))  # one row each
-
-
-_RATIOS = "tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f1"
+    j = ok.join(p.withColumn("_a", F.lit(1)), ["doc_id", "start", "end"], "left")
+    j = j.join(p.select("doc_id", F.col("start").alias("start2"), F.col("end").alias("end2"), F.lit(1).alias("_b")), ["doc_id", "start2", "end2"], "left")
+    return j.agg(F.count("*").alias("eligible"), F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("conditional"))
 
 
 @query("match_full_outer", f"""
