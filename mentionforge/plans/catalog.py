@@ -27,4 +27,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["fast_text_match"](spark, sf_dir)
 
 
-from mentionforge.plans import corpus, evaluation, linking, reviewing, sequences, texts  # noqa: E402,F401  they register
+from mentionforge.plans import annotating, corpus, evaluation, linking, reviewing, sequences, texts  # noqa: E402,F401  they register
