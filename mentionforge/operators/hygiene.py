@@ -18,11 +18,12 @@ def near_duplicate_pairs(docs: DataFrame, jaccard: float = 0.85, least_excerpt:
     Exact, by prefix filtering: a set is ordered by how rare its shingles are; two sets of Jaccard j share one of the first
     n - ceil(j * n) + 1 of each, and a contained set of six or more shingles has its rarest among the other's. So only rare
     shingles are joined on, equal sets meet once, and candidates are confirmed by the sizes of their intersections."""
-    sets = docs.select("doc_id", t.shingles(F.col("text"), width).alias("s")).where(F.size("s") > 0)
-    keyed = sets.select("doc_id", F.sha2(F.array_join(F.array_sort("s"), "\u0001"), 256).alias("key"), "s")
-    reps = keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("s").alias("s"))
-    reps = materialize(reps.select("rep", "s", F.size("s").alias("n"), "key"), "shingles")
-    items = reps.select("rep", "n", F.explode("s").alias("g"))
+    # hashes of shingles find candidates; the shingles themselves, of candidates only, confirm them
+    sets = docs.select("doc_id", F.array_distinct(F.transform(t.shingles(F.col("text"), width), lambda x: F.xxhash64(x))).alias("h")).where(F.size("h") > 0)
+    keyed = materialize(sets.withColumn("key", F.sha2(F.array_join(F.array_sort("h").cast("array<string>"), ","), 256)), "shingles")
+    reps = keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    reps = keyed.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.size("h").alias("n"), "h")
+    items = reps.select("rep", "n", F.explode("h").alias("g"))
     rare = items.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     ranked = items.join(rare, "g", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     ranked = materialize(ranked.withColumn("k", F.row_number().over(W.partitionBy("rep").orderBy("df", "g"))), "ranked")
@@ -33,7 +34,10 @@ def near_duplicate_pairs(docs: DataFrame, jaccard: float = 0.85, least_excerpt:
     held = ranked.where("df > 1").select("g", F.col("rep").alias("y"), F.col("n").alias("ny"))
     inside = seed.join(held, "g").where((F.col("x") != F.col("y")) & (F.col("nx") <= F.col("ny"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs = near.unionByName(inside).distinct()
-    left, right = reps.select(F.col("rep").alias("a"), F.col("s").alias("sa")), reps.select(F.col("rep").alias("b"), F.col("s").alias("sb"))
+    pairs = materialize(pairs, "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    held = docs.join(ids, "doc_id", "left_semi").select("doc_id", t.shingles(F.col("text"), width).alias("s")).dropDuplicates(["doc_id"])
+    left, right = held.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), held.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("sa", "sb"))).withColumn("na", F.size("sa")).withColumn("nb", F.size("sb"))
     both = both.withColumn("jaccard", F.col("i") / (F.col("na") + F.col("nb") - F.col("i")))
     excerpt = (F.least("na", "nb") >= least_excerpt) & (F.col("i") == F.least("na", "nb"))

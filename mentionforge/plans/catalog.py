@@ -6,15 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mentionforge.session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+TEXTS = frozenset(("documents", "pages"))
 
 
 def query(name: str, sql: str | None = None):
     """Registers (load) -> DataFrame under a name, where load reads a table of the folder, with the SQL that DuckDB runs."""
 
     def keep(build: Callable[[Callable[[str], DataFrame]], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: build(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            def load(table: str) -> DataFrame:
+                scan = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+                return spread(scan) if table in TEXTS else scan  # texts cost more to work on than to move
+
+            return build(load)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return build

@@ -36,3 +36,11 @@ def ship(spark: SparkSession) -> None:
 def map_in_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A table scan of fewer tasks than there are cores, dealt out over them; larger ones as they are. For scans and
+    projections of them only: the number of tasks is read off the plan."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    tasks = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    return scan if tasks >= cores else scan.repartition(cores)
