@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from mentionforge.llm.common import bounded_sample, saved, table
 from mentionforge.session import map_in_arrow
 
-#: Fitting bounds: rows of the k-means sample and lists, so that centroids are a broadcast of at most MOST_LISTS * d doubles.
-SAMPLE_ROWS, MOST_LISTS, ROUNDS = 100_000, 8192, 8
+#: Fitting bounds: rows and numbers of the k-means sample, and lists; centroids are a broadcast of at most MOST_LISTS * d
+#: doubles, and of at most a quarter of the sample.
+SAMPLE_ROWS, SAMPLE_NUMBERS, MOST_LISTS, ROUNDS = 100_000, 8_000_000, 8192, 8
 #: LEAST_PROBES lists are probed at least, and as many more as TARGET recall needs on TRIAL sampled queries.
 LEAST_PROBES, TARGET, TRIAL = 16, 0.98, 256
 BLOCK, DIMENSIONS, EPSILON = 2048, 16, 3.0
@@ -160,9 +161,9 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, targ
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     d, n = lengths[0]
     base, asked = base.where(F.size("v") == d), asked.where(F.size("v") == d)
-    sample = bounded_sample(base, "vec_id", SAMPLE_ROWS).select("v").toArrow().column(0).combine_chunks()
+    sample = bounded_sample(base, "vec_id", max(1, min(SAMPLE_ROWS, SAMPLE_NUMBERS // max(1, d)))).select("v").toArrow().column(0).combine_chunks()
     sample = _matrix(sample if isinstance(sample, pa.Array) else sample.chunk(0)).astype(np.float32)
-    n_lists = max(1, min(n_lists or int(np.sqrt(n) / 2), MOST_LISTS, len(sample)))
+    n_lists = max(1, min(n_lists or int(np.sqrt(n) / 2), MOST_LISTS, max(1, len(sample) // 4)))
     fitted = fit_lists(sample, n_lists)
     probes = min(n_lists, max(LEAST_PROBES, probes_for(sample, fitted, k, target)))
     centroids = spark.sparkContext.broadcast(fitted)

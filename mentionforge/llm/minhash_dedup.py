@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mentionforge.llm.common import components, saved, table
-from mentionforge.session import map_in_arrow
+from mentionforge.session import map_in_arrow, spread
 
 BANDS, BAND_PERMUTATIONS = 42, 3
 BLOCK, PIVOTS, PIVOT_ROUNDS = 256, 16, 2
@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+    return near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), width=4, percent=80)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mentionforge.llm.common import saved, table
-from mentionforge.session import map_in_arrow
+from mentionforge.session import map_in_arrow, spread
 
 SPACE = "▁"
 CHUNK, MEMORY = 16_384, 200_000
@@ -343,5 +343,5 @@ def decode_pieces(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 def op10(spark, sf_dir: str) -> DataFrame:
     """One row for each chunk of each text: its pieces, and a digest of what decoding them gives back."""
-    out = decode_pieces(encode_pieces(table(spark, sf_dir, "documents")))
+    out = decode_pieces(encode_pieces(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
     return out.select("doc_id", "chunk", "n_pieces", "ids_crc32", F.length("bytes").cast("long").alias("n_bytes"), F.crc32("bytes").alias("text_crc32"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mentionforge.llm.common import SPACE, table, words_of
+from mentionforge.session import spread
 
 #: Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -104,7 +105,7 @@ def quality_rules(docs: DataFrame, thresholds: tuple[Threshold, ...] = THRESHOLD
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

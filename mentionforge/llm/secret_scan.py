@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mentionforge.llm.common import saved, table
-from mentionforge.session import map_in_arrow
+from mentionforge.session import map_in_arrow, spread
 
 #: Kinds in the order in which spans that start together are listed; the first three are the base ones.
 KINDS = ("assign", "access", "hex", "opaque")
@@ -94,7 +94,7 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "lang
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    s = scan_secrets(table(spark, sf_dir, "documents"))
+    s = scan_secrets(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")))
     names = F.array(*map(F.lit, KINDS))
     spans = F.array_join(F.transform("secrets", lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"], x["end"])), ",")
     live = F.size(F.filter("secrets", lambda x: x["live"])).cast("long")

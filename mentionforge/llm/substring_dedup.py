@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from mentionforge.llm.common import table
 from mentionforge.llm.suffix_array import suffix_array
-from mentionforge.session import map_in_arrow, ship
+from mentionforge.session import map_in_arrow, ship, spread
 
 WIDTH, GRAM = 50, 20
 REACH = WIDTH - GRAM + 1
@@ -470,7 +470,7 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+    out = remove_repeats(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), digest=True)
     removed = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return out.select("doc_id", F.col("_bytes").alias("n_bytes"), removed.alias("n_removed"), F.size("_spans").cast("long").alias("n_spans"), F.lower(F.hex("_kept")).alias("kept_sha256"))
 

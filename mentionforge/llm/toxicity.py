@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mentionforge.llm.common import bounded_sample, table
-from mentionforge.session import map_in_arrow
+from mentionforge.session import map_in_arrow, spread
 
 #: Fitting bounds: labelled rows by class, code points of a fitted text, entries of the lexicon.
 MOST_TOXIC, MOST_CLEAN, MOST_CHARS, MOST_ENTRIES = 2000, 8000, 20_000, 50_000
@@ -320,7 +320,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     model = fit_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return score_toxicity(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
