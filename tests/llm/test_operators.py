@@ -394,3 +394,23 @@ def test_pipeline_stages(spark):
     want = {r.doc_id: r.text for r in docs.collect()}
     enc = packing.encoding()
     assert {r.doc_id: r.doc_tokens for r in packed.collect()} == {d: len(enc.encode_ordinary(t or "")) + 1 for d, t in want.items()}
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark):
+    import corpus_pipeline
+    from tests.oracle import SMALL
+
+    base = spark.read.parquet(f"{SMALL}/documents.parquet")
+    top = 10**9
+    odd = [(None, None, None, None, None), (None, "a b c " * 200, "en", "x", 5), (top, None, "en", "x", 0), (top + 1, "", "en", "x", 0), (top + 2, "w " * 50000, None, None, None), (top + 3, 'tok = "abc"', "en", "x", 1), (top + 3, 'tok = "abc"', "en", "x", 1)]
+    full = base.limit(20).unionByName(spark.createDataFrame(odd, base.schema)).withColumn("kept", F.lit("clash")).withColumn("score", F.lit(1))
+    for docs in (full, base.where("false")):
+        columns = docs.columns
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            n = docs.count()
+            docs = stage(spark, docs, SMALL).persist()
+            assert docs.columns == columns and docs.count() <= n
+        packed = packing.pack(docs)
+        assert (packed.count() == 0) == (docs.count() == 0)
+    kept = {r.doc_id for r in corpus_pipeline.STAGES[1][1](spark, full, SMALL).collect()}
+    assert {None, top, top + 1, top + 2, top + 3} <= kept
