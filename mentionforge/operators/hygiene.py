@@ -12,15 +12,30 @@ from mentionforge.functions import text as t
 from mentionforge.operators.graph import connected, materialize
 
 
+def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, h, key): hashes of a document's shingles and the digest of their set; documents without shingles are left out."""
+    sets = docs.select("doc_id", F.array_distinct(F.transform(t.shingles(F.col("text"), width), lambda x: F.xxhash64(x))).alias("h")).where(F.size("h") > 0)
+    return sets.withColumn("key", F.sha2(F.array_join(F.array_sort("h").cast("array<string>"), ","), 256))
+
+
+def near_duplicate_members(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, representative) of every document (doc_id, text) with shingles: the smallest id of those with an equal set.
+
+    near_duplicate_pairs pairs representatives; a pair of documents is near if they share one or if their representatives are paired."""
+    keyed = materialize(_shingle_sets(docs, width).select("doc_id", "key"), "members")
+    reps = keyed.groupBy("key").agg(F.min("doc_id").alias("representative"))
+    return keyed.join(reps, "key").select("doc_id", "representative")
+
+
 def near_duplicate_pairs(docs: DataFrame, jaccard: float = 0.85, least_excerpt: int = 6, width: int = 5) -> DataFrame:
     """(a, b, jaccard, reason) of documents (doc_id, text) whose shingle sets nearly agree or contain one another.
 
     Exact, by prefix filtering: a set is ordered by how rare its shingles are; two sets of Jaccard j share one of the first
     n - ceil(j * n) + 1 of each, and a contained set of six or more shingles has its rarest among the other's. So only rare
-    shingles are joined on, equal sets meet once, and candidates are confirmed by the sizes of their intersections."""
+    shingles are joined on, equal sets meet once (near_duplicate_members says who they are), and candidates are confirmed by the
+    sizes of their intersections."""
     # hashes of shingles find candidates; the shingles themselves, of candidates only, confirm them
-    sets = docs.select("doc_id", F.array_distinct(F.transform(t.shingles(F.col("text"), width), lambda x: F.xxhash64(x))).alias("h")).where(F.size("h") > 0)
-    keyed = materialize(sets.withColumn("key", F.sha2(F.array_join(F.array_sort("h").cast("array<string>"), ","), 256)), "shingles")
+    keyed = materialize(_shingle_sets(docs, width), "shingles")
     reps = keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     reps = keyed.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.size("h").alias("n"), "h")
     items = reps.select("rep", "n", F.explode("h").alias("g"))

@@ -20,6 +20,11 @@ def near_dup_pairs(load):
     return hy.near_duplicate_pairs(load("documents").select("doc_id", "text"))
 
 
+@query("near_dup_members", f"WITH {_SETS}, k AS (SELECT doc_id, sha256(string_agg(g, chr(1) ORDER BY g)) h FROM s GROUP BY doc_id) SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS representative FROM k")
+def near_dup_members(load):
+    return hy.near_duplicate_members(load("documents").select("doc_id", "text"))
+
+
 _KEYS = "SELECT doc_id, 'key:' || (doc_id // 2) * 7 % 400 AS k FROM documents WHERE doc_id % 5 = 0"
 _GROUPS = rf"""k AS (SELECT doc_id, k FROM ({_KEYS}) UNION SELECT doc_id, 'text:' || sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) FROM documents),
 e AS (SELECT DISTINCT x.doc_id a, y.doc_id b FROM k x JOIN (SELECT k, min(doc_id) doc_id FROM k GROUP BY k) y USING (k) WHERE x.doc_id <> y.doc_id),
