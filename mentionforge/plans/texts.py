@@ -35,7 +35,7 @@ def exact_form(load):
 
 @query("loose_form", f"SELECT doc_id, nullif(regexp_replace({_EXACT.format('substr(text, 1, 300)')}, '[^\\pL\\pM\\p{{Nd}}]+', '', 'g'), '') AS form FROM documents")
 def loose_form(load):
-    return load("documents").select("doc_id", t.loose_form(F.substring("text", 1, 300)).alias("form"))
+    return load("documents").select("doc_id", t.loose_form(F.col("text")).alias("form"))
 
 
 @query("text_digest", f"SELECT doc_id, sha256({_COLLAPSED.format('text')}) AS digest FROM documents")

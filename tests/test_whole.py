@@ -2,6 +2,7 @@
 
 import re
 
+import __spark_entry__ as entry
 from mentionforge.operators import hygiene
 
 
@@ -16,3 +17,22 @@ def test_copies_keep_their_links(spark):
     near = {(a, b) for a in range(7) for b in range(a + 1, 7) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.85 * len(sets[a] | sets[b])}
     assert set(member) == {k for k in range(7) if sets[k]}
     assert {(a, b) for a in member for b in member if a < b and (member[a] == member[b] or tuple(sorted((member[a], member[b]))) in linked)} == near
+
+
+def run(spark, tmp_path, name, **tables):
+    """The registered query over a folder of these tables: (rows, columns as DDL)."""
+    for table, (rows, ddl) in tables.items():
+        spark.createDataFrame(rows, ddl).write.mode("overwrite").parquet(f"{tmp_path}/{table}.parquet")
+    return [tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect()]
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs_of(*texts, lang="en"):
+    return [(k, x, lang, "s", len(x)) for k, x in enumerate(texts)], DOCS
+
+
+def test_loose_form_reads_whole_texts(spark, tmp_path):
+    x = "A b-" * 200 + "The End"
+    assert run(spark, tmp_path, "loose_form", documents=docs_of(x, "-")) == [(0, "ab" * 200 + "theend"), (1, None)]
