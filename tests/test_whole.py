@@ -36,3 +36,10 @@ def docs_of(*texts, lang="en"):
 def test_loose_form_reads_whole_texts(spark, tmp_path):
     x = "A b-" * 200 + "The End"
     assert run(spark, tmp_path, "loose_form", documents=docs_of(x, "-")) == [(0, "ab" * 200 + "theend"), (1, None)]
+
+
+def test_every_training_order_gives_vocabulary(spark, tmp_path):
+    items = [(1, 1, 1.0), (61, 2, 1.0), (5, 1, 30.0), (10, 2, 30.0), (15, 2, 1.0), (20, 3, 30.0)], "l_orderkey long, l_partkey long, l_quantity double"
+    parts = [(1, "one"), (2, "Two"), (3, "three")], "p_partkey long, p_name string"
+    got = run(spark, tmp_path, "seen_unseen", lineitem=items, part=parts)
+    assert sorted(got) == [(False, 1, 1, 1.0), (True, 3, 2, 2 / 3)]
