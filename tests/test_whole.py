@@ -43,3 +43,15 @@ def test_every_training_order_gives_vocabulary(spark, tmp_path):
     parts = [(1, "one"), (2, "Two"), (3, "three")], "p_partkey long, p_name string"
     got = run(spark, tmp_path, "seen_unseen", lineitem=items, part=parts)
     assert sorted(got) == [(False, 1, 1, 1.0), (True, 3, 2, 2 / 3)]
+
+
+def test_alias_groups_take_every_order(spark, tmp_path):
+    rows = [(1, 10), (2, 11), (3, 12), (4, 50), (23, 90)]
+    pairs, negatives = [(c, c + 1 + k % 3) for k, c in rows], [(c, c + 2) for _, c in rows]
+    root = {x: x for p in pairs for x in p}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    bad = {root[a] for a, b in negatives if a in root and b in root and root[a] == root[b]}
+    got = run(spark, tmp_path, "alias_groups", orders=(rows, "o_orderkey long, o_custkey long"))
+    assert sorted(got) == sorted((x, r, r in bad) for x, r in root.items()) and len(bad) == 2
