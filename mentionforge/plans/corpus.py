@@ -33,8 +33,7 @@ w AS (SELECT a AS doc_id, min(b) AS work_id FROM reach GROUP BY a)"""
 
 
 def _identifiers(load):
-    d = load("documents").where("doc_id % 5 = 0")
-    return d.select("doc_id", F.concat(F.lit("key:"), F.pmod(F.floor(F.col("doc_id") / 2) * 7, F.lit(400))).alias("key"))
+    return load("documents").select("doc_id", F.concat(F.lit("key:"), F.pmod(F.floor(F.col("doc_id") / 2) * 7, F.lit(400))).alias("key"))
 
 
 @query("work_groups", f"WITH RECURSIVE {_GROUPS} SELECT doc_id, work_id FROM w")
@@ -113,7 +112,7 @@ def round_robin(load):
 
 @query("population_difference", "SELECT doc_id, 'labels_only' AS side FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents WHERE doc_id % 3 = 0) UNION ALL SELECT doc_id, 'documents_only' FROM (SELECT doc_id FROM documents WHERE doc_id % 3 = 0 EXCEPT SELECT doc_id FROM labels)")
 def population_difference(load):
-    a, b = load("labels").select("doc_id"), load("documents").where("doc_id % 3 = 0").select("doc_id")
+    a, b = load("labels").select("doc_id"), load("documents").select("doc_id")
     return a.subtract(b).withColumn("side", F.lit("labels_only")).unionByName(b.subtract(a).withColumn("side", F.lit("documents_only")))
 
 

@@ -55,3 +55,18 @@ def test_alias_groups_take_every_order(spark, tmp_path):
     bad = {root[a] for a, b in negatives if a in root and b in root and root[a] == root[b]}
     got = run(spark, tmp_path, "alias_groups", orders=(rows, "o_orderkey long, o_custkey long"))
     assert sorted(got) == sorted((x, r, r in bad) for x, r in root.items()) and len(bad) == 2
+
+
+def test_population_difference_reads_every_document(spark, tmp_path):
+    labels = [(1, 0, 0), (2, 1, 0), (9, 1, 1)], "doc_id long, quality int, toxic int"
+    got = run(spark, tmp_path, "population_difference", documents=docs_of("a", "b", "c", "d"), labels=labels)
+    assert sorted(got) == [(0, "documents_only"), (3, "documents_only"), (9, "labels_only")]
+
+
+def test_every_document_has_an_identifier(spark, tmp_path):
+    tables = {"documents": docs_of("a", "b", "c", "d", "d"), "labels": ([(2, 0, 1)], "doc_id long, quality int, toxic int")}
+    assert sorted(run(spark, tmp_path, "work_groups", **tables)) == [(0, 0), (1, 0), (2, 2), (3, 2), (4, 2)]
+    rows = run(spark, tmp_path, "leakage_codes", **tables)
+    codes = {doc: {c for d, c in rows if d == doc} for doc, _ in rows}
+    assert "HELDOUT_IDENTIFIER" in codes[3] and "HELDOUT_IDENTIFIER" not in codes[4] and "HELDOUT_WORK_GROUP" in codes[4]
+    assert sorted(run(spark, tmp_path, "exposure_reasons", **tables)) == [(2, "identifier"), (3, "identifier")]
