@@ -121,7 +121,7 @@ WITH t AS (SELECT DISTINCT doc_id % 2 h, unnest(regexp_extract_all(lower(text),
 SELECT count(*) FILTER (b > 0)::BIGINT AS holdout_types, count(*) FILTER (a > 0 AND b > 0)::BIGINT AS shared_types, sum(b)::BIGINT AS holdout_uses, sum(CASE WHEN a > 0 THEN b ELSE 0 END)::BIGINT AS shared_uses FROM c
 """)
 def vocab_overlap(load):
-    w = load("documents").where("lang = 'en'").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)))).alias("w"))
+    w = load("documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)))).alias("w"))
     c = w.groupBy("w").agg(F.count_if(F.col("doc_id") % 2 == 0).alias("a"), F.count_if(F.col("doc_id") % 2 == 1).alias("b"))
     return c.agg(F.count_if(F.col("b") > 0).alias("holdout_types"), F.count_if((F.col("a") > 0) & (F.col("b") > 0)).alias("shared_types"), F.sum("b").alias("holdout_uses"), F.sum(F.when(F.col("a") > 0, F.col("b")).otherwise(F.lit(0))).alias("shared_uses"))
 

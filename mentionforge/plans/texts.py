@@ -115,7 +115,7 @@ _STEM = "CASE " + " ".join(f"WHEN ends_with(x, '{e}') AND length(x) - {len(e)} >
 
 @query("context_tokens", f"SELECT doc_id, list_transform(list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9]+'), lambda x: x NOT IN ({_STOP})), lambda x: {_STEM}) AS tokens FROM documents WHERE lang = 'en'")
 def context_tokens(load):
-    return load("documents").where("lang = 'en'").select("doc_id", t.context_tokens(F.col("text")).alias("tokens"))
+    return load("documents").select("doc_id", t.context_tokens(F.col("text")).alias("tokens"))
 
 
 @query("kwic", f"""

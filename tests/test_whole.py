@@ -70,3 +70,10 @@ def test_every_document_has_an_identifier(spark, tmp_path):
     codes = {doc: {c for d, c in rows if d == doc} for doc, _ in rows}
     assert "HELDOUT_IDENTIFIER" in codes[3] and "HELDOUT_IDENTIFIER" not in codes[4] and "HELDOUT_WORK_GROUP" in codes[4]
     assert sorted(run(spark, tmp_path, "exposure_reasons", **tables)) == [(2, "identifier"), (3, "identifier")]
+
+
+def test_tokens_of_every_language(spark, tmp_path):
+    rows = [(k, x, lang, "s", len(x)) for k, (x, lang) in enumerate([("aligners run", "en"), ("run vite", "fr"), ("vite", None), ("nous", "de")])]
+    got = dict(run(spark, tmp_path, "context_tokens", documents=(rows, DOCS)))
+    assert got == {0: ["align", "run"], 1: ["run", "vite"], 2: ["vite"], 3: ["nous"]}
+    assert run(spark, tmp_path, "vocab_overlap", documents=(rows, DOCS)) == [(3, 2, 3, 2)]
