@@ -30,7 +30,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids in sequences of 1024."""
-    return packing.digest(packing.pack(docs))
+    return packing.digest(packing.pack(docs, special=True))
 
 
 STAGES = [

@@ -9,6 +9,7 @@ the buffer whatever the table's size."""
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,18 +25,27 @@ from mentionforge.session import map_in_arrow
 LENGTH, BUFFER, END_ID = 1024, 2048, 0
 #: Weights of a piece of n ids in a sequence of `length`: LINEAR * n + QUADRATIC * n * n / length.
 LINEAR, QUADRATIC = 1.0, 1.0
-_ENCODINGS: dict[tuple[str, str], tiktoken.Encoding] = {}
+_ENCODINGS: dict[tuple, tiktoken.Encoding] = {}
 
 
-def encoding(ranks_path: str | None = None, pattern: str | None = None) -> tiktoken.Encoding:
-    """The byte-level BPE as ranks: the ids of byte_bpe_50k.json, some four times as fast. Special strings are text."""
+def added_tokens() -> dict[str, int]:
+    """The added tokens of byte_bpe_50k.json, which the library finds in plain text too."""
     import public_tokenizers
 
-    key = (ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+
+
+def encoding(ranks_path: str | None = None, pattern: str | None = None, added: dict[str, int] | None = None) -> tiktoken.Encoding:
+    """The byte-level BPE as ranks: the ids of byte_bpe_50k.json, some four times as fast. Strings of `added` are one id each,
+    other special strings are text."""
+    import public_tokenizers
+
+    key = (ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN, *sorted((added or {}).items()))
     if key not in _ENCODINGS:
         with open(key[0], "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODINGS[key] = tiktoken.Encoding("byte_bpe", pat_str=key[1], mergeable_ranks=ranks, special_tokens={})
+        _ENCODINGS[key] = tiktoken.Encoding("byte_bpe", pat_str=key[1], mergeable_ranks=ranks, special_tokens=added or {})
     return _ENCODINGS[key]
 
 
@@ -63,9 +73,15 @@ def assign(sizes_of_items: list[int], length: int = LENGTH) -> list[tuple[int, i
     return out
 
 
-def _packer(length: int, buffer: int, ranks_path: str | None):
+def _packer(length: int, buffer: int, ranks_path: str | None, special: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(ranks_path).encode_ordinary
+        added = added_tokens() if special else {}
+        whole_bpe, allowed = encoding(ranks_path, added=added), set(added)
+        ordinary = whole_bpe.encode_ordinary
+
+        def encode(text: str) -> list[int]:
+            return whole_bpe.encode(text, allowed_special=allowed, disallowed_special=()) if any(a in text for a in allowed) else ordinary(text)
+
         base, used = TaskContext.get().partitionId() << 36, 0
         tails, cols = [], [[] for _ in range(7)]
 
@@ -107,13 +123,14 @@ def _packer(length: int, buffer: int, ranks_path: str | None):
     return run
 
 
-def pack(docs: DataFrame, length: int = LENGTH, buffer: int = BUFFER, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, buffer: int = BUFFER, ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> DataFrame:
     """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset); ids are little-endian unsigned 32-bit.
 
-    A null text counts as empty and is the end id alone; rows without id are packed with a null doc_id; repeated rows are
+    With `special`, an added token of the tokenizer's file that stands in a text is its one id, as in the library's default
+    setting; else it is ordinary text. A null text counts as empty and is the end id alone; rows without id are packed with a null doc_id; repeated rows are
     packed each; other columns are not read. Sequence ids are unique across tasks and the same when a task runs again."""
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col))
-    return map_in_arrow(rows, _packer(length, buffer, ranks_path), "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return map_in_arrow(rows, _packer(length, buffer, ranks_path, special), "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
 def digest(pieces: DataFrame) -> DataFrame:
@@ -121,4 +138,4 @@ def digest(pieces: DataFrame) -> DataFrame:
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
-    return digest(pack(table(spark, sf_dir, "documents")))
+    return digest(pack(table(spark, sf_dir, "documents"), special=True))
