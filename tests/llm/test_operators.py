@@ -133,9 +133,8 @@ def test_packing_is_whole_and_gapless(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     texts = [None, "", "x", "<|endoftext|> é 𐍈\n\n  it's", word_salad(3000, 1), "a" * 5000, *[word_salad(k * 7, k) for k in range(30)]]
-    pieces = packing.pack(frame(spark, texts).repartition(2)).collect()
+    pieces = packing.pack(frame(spark, texts).repartition(2), special=True).collect()
     ids = {}
     for p in pieces:
         assert len(p.ids) == 4 * p.length > 0
@@ -158,6 +157,40 @@ def test_packing_is_whole_and_gapless(spark):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
+def test_added_tokens_get_their_id(spark, tmp_path):
+    import __spark_entry__ as entry
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))  # the library's default setting
+    docs = frame(spark, texts := ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n é", "<|endoftext", "plain  text", ""])
+    want = [[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+    assert want[0] == [64, 220, 50256, 275, 0]
+    ids = {}
+    for p in sorted(packing.pack(docs, special=True).collect(), key=lambda p: p.start):
+        ids.setdefault(p.doc_id, []).extend(int.from_bytes(p.ids[i : i + 4], "little") for i in range(0, len(p.ids), 4))
+    assert [ids[k] for k in range(6)] == want
+    rows = entry.queries()["op4_packing"], corpus_pipeline.STAGES[-1][1]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for out in (rows[0](spark, str(tmp_path)), rows[1](spark, docs, str(tmp_path))):
+        assert {r.doc_id: r.doc_tokens for r in out.collect()} == {k: len(x) for k, x in enumerate(want)}
+
+
+def test_packing_of_repeated_rows(spark):
+    """A row that is there three times is packed three times; columns that share a name with the result's change nothing."""
+    text = word_salad(700, 3)
+    docs = frame(spark, [text, text, text, "x"], [4, 4, 4, None]).withColumn("sequence_id", F.lit(9)).withColumn("length", F.lit("clash"))
+    pieces = packing.pack(docs.coalesce(1)).collect()
+    whole = len(packing.encoding().encode_ordinary(text)) + 1
+    assert sum(p.length for p in pieces if p.doc_id == 4) == 3 * whole and sum(p.length for p in pieces if p.doc_id is None) == 2
+    by = {}
+    for p in pieces:
+        by.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for parts in by.values():
+        assert [o for o, _ in sorted(parts)] == np.cumsum([0] + [n for _, n in sorted(parts)])[:-1].tolist()
+
+
 # --- op5
 
 
