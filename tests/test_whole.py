@@ -77,24 +77,3 @@ def test_tokens_of_every_language(spark, tmp_path):
     got = dict(run(spark, tmp_path, "context_tokens", documents=(rows, DOCS)))
     assert got == {0: ["align", "run"], 1: ["run", "vite"], 2: ["vite"], 3: ["nous"]}
     assert run(spark, tmp_path, "vocab_overlap", documents=(rows, DOCS)) == [(3, 2, 3, 2)]
-
-
-def test_added_tokens_get_their_id(spark, tmp_path):
-    import corpus_pipeline
-    import public_tokenizers
-    from mentionforge.llm import packing
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))  # the library's default setting
-    docs = docs_of("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n é", "<|endoftext", "plain  text", "")
-    want = [[*t.encode(x[1], add_special_tokens=False).ids, 0] for x in docs[0]]
-    assert want[0] == [64, 220, 50256, 275, 0]
-    frame = spark.createDataFrame(*docs)
-    ids = {}
-    for p in sorted(packing.pack(frame, special=True).collect(), key=lambda p: p.start):
-        ids.setdefault(p.doc_id, []).extend(int.from_bytes(p.ids[i : i + 4], "little") for i in range(0, len(p.ids), 4))
-    assert [ids[k] for k in range(6)] == want
-    rows = entry.queries()["op4_packing"], corpus_pipeline.STAGES[-1][1]
-    frame.write.parquet(f"{tmp_path}/documents.parquet")
-    for out in (rows[0](spark, str(tmp_path)), rows[1](spark, frame, str(tmp_path))):
-        assert {r.doc_id: r.doc_tokens for r in out.collect()} == {k: len(x) for k, x in enumerate(want)}
