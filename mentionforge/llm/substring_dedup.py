@@ -351,8 +351,8 @@ def _solve_bucket(rows: list[dict]) -> Iterator[tuple]:
         for j, k in enumerate(many.tolist()):
             t, p = texts[k], int(at[k])
             before, after = t[:p][::-1], t[p + GRAM :]
-            left[j, : len(before)] = np.frombuffer(before, np.uint8)
-            right[j, : len(after)] = np.frombuffer(after, np.uint8)
+            left[j, : len(before)] = np.frombuffer(before, np.uint8) + np.uint8(1)  # 0 is what rows are filled up with
+            right[j, : len(after)] = np.frombuffer(after, np.uint8) + np.uint8(1)
         l = _common(group[many], left, at[many])  # noqa: E741
         r = _common(group[many], right, size - GRAM - at[many])
         trimmed: dict[tuple[int, bytes], int] = {}

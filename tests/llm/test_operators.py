@@ -303,10 +303,10 @@ def brute_repeats(rows):
 @pytest.mark.parametrize("seed", range(3))
 def test_repeats_match_brute_force(spark, seed):
     r = random.Random(seed)
-    passage = ["".join(r.choice("abcdé ") for _ in range(n)) for n in (49, 50, 51, 90, 200, 700)]
-    texts = [None, "", "a" * 49, "a" * 50, "a" * 300, "ab" * 200, "\n" * 120]
+    passage = ["".join(r.choice("abcdé \0") for _ in range(n)) for n in (49, 50, 51, 90, 200, 700)]
+    texts = [None, "", "a" * 49, "a" * 50, "a" * 300, "ab" * 200, "\n" * 120, "\0" * 130, "a\0" * 60]
     for k in range(40):
-        parts = [word_salad(r.randrange(1, 30), (seed, k).__hash__())] + [r.choice(passage) for _ in range(r.randrange(4))]
+        parts = [word_salad(r.randrange(1, 30), (seed, k).__hash__())] + [r.choice(passage) + "\0" * r.randrange(3) for _ in range(r.randrange(4))]
         r.shuffle(parts)
         texts.append("".join(parts))
     texts += [texts[9], texts[9], texts[4], texts[10][5:] + "é"]
