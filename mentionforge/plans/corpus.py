@@ -25,7 +25,7 @@ def near_dup_members(load):
     return hy.near_duplicate_members(load("documents").select("doc_id", "text"))
 
 
-_KEYS = "SELECT doc_id, 'key:' || (doc_id // 2) * 7 % 400 AS k FROM documents WHERE doc_id % 5 = 0"
+_KEYS = "SELECT doc_id, 'key:' || (doc_id // 2) * 7 % 400 AS k FROM documents"
 _GROUPS = rf"""k AS (SELECT doc_id, k FROM ({_KEYS}) UNION SELECT doc_id, 'text:' || sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) FROM documents),
 e AS (SELECT DISTINCT x.doc_id a, y.doc_id b FROM k x JOIN (SELECT k, min(doc_id) doc_id FROM k GROUP BY k) y USING (k) WHERE x.doc_id <> y.doc_id),
 u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), reach AS (SELECT doc_id a, doc_id b FROM documents UNION SELECT reach.a, u.b FROM reach JOIN u ON reach.b = u.a),
@@ -110,14 +110,14 @@ def round_robin(load):
     return hy.round_robin(d, "source", [hy.seeded_rank(5, "doc_id")], 137, "p").select("doc_id", "source")
 
 
-@query("population_difference", "SELECT doc_id, 'labels_only' AS side FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents WHERE doc_id % 3 = 0) UNION ALL SELECT doc_id, 'documents_only' FROM (SELECT doc_id FROM documents WHERE doc_id % 3 = 0 EXCEPT SELECT doc_id FROM labels)")
+@query("population_difference", "SELECT doc_id, 'labels_only' AS side FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents) UNION ALL SELECT doc_id, 'documents_only' FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)")
 def population_difference(load):
     a, b = load("labels").select("doc_id"), load("documents").select("doc_id")
     return a.subtract(b).withColumn("side", F.lit("labels_only")).unionByName(b.subtract(a).withColumn("side", F.lit("documents_only")))
 
 
 @query("vocab_overlap", r"""
-WITH t AS (SELECT DISTINCT doc_id % 2 h, unnest(regexp_extract_all(lower(text), '[a-z]+')) w, doc_id FROM documents WHERE lang = 'en'), c AS (SELECT w, count(*) FILTER (h = 0) a, count(*) FILTER (h = 1) b FROM t GROUP BY w)
+WITH t AS (SELECT DISTINCT doc_id % 2 h, unnest(regexp_extract_all(lower(text), '[a-z]+')) w, doc_id FROM documents), c AS (SELECT w, count(*) FILTER (h = 0) a, count(*) FILTER (h = 1) b FROM t GROUP BY w)
 SELECT count(*) FILTER (b > 0)::BIGINT AS holdout_types, count(*) FILTER (a > 0 AND b > 0)::BIGINT AS shared_types, sum(b)::BIGINT AS holdout_uses, sum(CASE WHEN a > 0 THEN b ELSE 0 END)::BIGINT AS shared_uses FROM c
 """)
 def vocab_overlap(load):

@@ -79,8 +79,8 @@ def label_scores(load):
 
 
 @query("alias_groups", """
-WITH RECURSIVE p AS (SELECT DISTINCT o_custkey a, o_custkey + 1 + o_orderkey % 3 b FROM orders WHERE o_orderkey % 23 = 0), e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), reach AS (SELECT a x, a y FROM e UNION SELECT reach.x, e.b FROM reach JOIN e ON reach.y = e.a),
-g AS (SELECT x id, min(y) root FROM reach GROUP BY x), n AS (SELECT DISTINCT o_custkey a, o_custkey + 2 b FROM orders WHERE o_orderkey % 5 = 0), c AS (SELECT DISTINCT k.root FROM n JOIN g k ON k.id = n.a JOIN g m ON m.id = n.b WHERE k.root = m.root)
+WITH RECURSIVE p AS (SELECT DISTINCT o_custkey a, o_custkey + 1 + o_orderkey % 3 b FROM orders), e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), reach AS (SELECT a x, a y FROM e UNION SELECT reach.x, e.b FROM reach JOIN e ON reach.y = e.a),
+g AS (SELECT x id, min(y) root FROM reach GROUP BY x), n AS (SELECT DISTINCT o_custkey a, o_custkey + 2 b FROM orders), c AS (SELECT DISTINCT k.root FROM n JOIN g k ON k.id = n.a JOIN g m ON m.id = n.b WHERE k.root = m.root)
 SELECT id, root, root IN (SELECT root FROM c) AS contradicted FROM g
 """)
 def alias_groups(load):

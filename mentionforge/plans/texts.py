@@ -33,7 +33,7 @@ def exact_form(load):
     return load("part").select("p_partkey", t.exact_form(F.col("p_name")).alias("form"))
 
 
-@query("loose_form", f"SELECT doc_id, nullif(regexp_replace({_EXACT.format('substr(text, 1, 300)')}, '[^\\pL\\pM\\p{{Nd}}]+', '', 'g'), '') AS form FROM documents")
+@query("loose_form", f"SELECT doc_id, nullif(regexp_replace({_EXACT.format('text')}, '[^\\pL\\pM\\p{{Nd}}]+', '', 'g'), '') AS form FROM documents")
 def loose_form(load):
     return load("documents").select("doc_id", t.loose_form(F.col("text")).alias("form"))
 
@@ -113,7 +113,7 @@ _STOP = ", ".join(f"'{w}'" for w in t.CONTEXT_STOPWORDS)
 _STEM = "CASE " + " ".join(f"WHEN ends_with(x, '{e}') AND length(x) - {len(e)} >= 4 THEN x[:-{len(e) + 1}]" for e in t.STEM_ENDINGS) + " ELSE x END"
 
 
-@query("context_tokens", f"SELECT doc_id, list_transform(list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9]+'), lambda x: x NOT IN ({_STOP})), lambda x: {_STEM}) AS tokens FROM documents WHERE lang = 'en'")
+@query("context_tokens", f"SELECT doc_id, list_transform(list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9]+'), lambda x: x NOT IN ({_STOP})), lambda x: {_STEM}) AS tokens FROM documents")
 def context_tokens(load):
     return load("documents").select("doc_id", t.context_tokens(F.col("text")).alias("tokens"))
 
