@@ -23,8 +23,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so shorter ones need no look
 OPAQUE = re.compile(r"[A-Za-z0-9+/_=-]{24,}")
 LEAST = {"assign": 12, "access": 18}
-COPIED_OWNERS = 3
-_HINT = re.compile(r"(?:pass|secret|token|api_?key)", re.ASCII | re.IGNORECASE)
+#: A candidate is copied if so many owners, or so many repositories of whatever owners, hold it.
+COPIED_OWNERS, COPIED_REPOSITORIES = 3, 4
 
 
 def entropy(s: str) -> float:
@@ -40,11 +40,13 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def opaque_spans(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """Long runs of high entropy with letters of both cases and digits, outside the base spans."""
-    out = []
+    """Long runs of high entropy with letters of both cases and digits, outside the base spans (which are in order of start)."""
+    out, k, reached = [], 0, 0
     for m in OPAQUE.finditer(text):
+        while k < len(taken) and taken[k][0] < m.end():
+            reached, k = max(reached, taken[k][2]), k + 1
         s = m[0]
-        if re.search("[0-9]", s) and re.search("[a-z]", s) and re.search("[A-Z]", s) and entropy(s) >= 3.5 and not any(a < m.end() and m.start() < b for a, _, b, _ in taken):
+        if reached <= m.start() and re.search("[0-9]", s) and re.search("[a-z]", s) and re.search("[A-Z]", s) and entropy(s) >= 3.5:
             out.append((m.start(), 3, m.end(), s))
     return out
 
@@ -73,11 +75,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SCHEMA = "doc_id bigint, text_hash bigint, owner string, repository string, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, found array<struct<start:int,kind:int,end:int,digest:binary>>"
 
 
-def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "lang", copied_owners: int = COPIED_OWNERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "lang", copied_owners: int = COPIED_OWNERS, copied_repositories: int = COPIED_REPOSITORIES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: counts, base digest, and `secrets`, an array of (start, kind, end, live).
 
-    A repository is the pair of owner and repository column. A candidate seen with `copied_owners` owners or more is copied,
-    others are live. Base spans are always listed; opaque ones only if live. Null text counts as empty, null owners and
+    A repository is the pair of owner and repository column. A candidate that `copied_owners` owners or more hold, or
+    `copied_repositories` repositories or more, is copied; others are live. Base spans are always listed; opaque ones only if live. Null text counts as empty, null owners and
     repositories are one unknown owner or repository, repeated rows get a row each, and rows without id are scanned too."""
     t = F.col(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(t).alias("text_hash"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"), t.alias("text"))
@@ -86,7 +88,7 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "lang
     held = each.select(F.col("f.digest").alias("digest"), "owner", "repository").distinct()
     owners = held.groupBy("digest").agg(F.count_distinct("owner").alias("n_owners"), F.count("*").alias("n_repositories"))
     marked = each.select("doc_id", "text_hash", "f", F.col("f.digest").alias("digest")).distinct().join(owners, "digest")
-    marked = marked.withColumn("live", F.col("n_owners") < copied_owners).where("live or f.kind < 3")
+    marked = marked.withColumn("live", (F.col("n_owners") < copied_owners) & (F.col("n_repositories") < copied_repositories)).where("live or f.kind < 3")
     listed = marked.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.array_sort(F.collect_list(F.struct(F.col("f.start").alias("start"), F.col("f.kind").alias("kind"), F.col("f.end").alias("end"), "live"))).alias("secrets"))
     on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
     out = scanned.join(listed, on, "left").select("doc_id", "text_hash", "n_assign", "n_access", "n_hex", "base_sha256", "secrets")
@@ -132,17 +134,17 @@ _FINDERS = (
     ("opaque", 3, "([A-Za-z0-9+/_=-]{24,})", 1, "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND -list_sum(list_transform(map_values(list_aggregate(string_split(v, ''), 'histogram')), lambda c: c / length(v) * log2(c / length(v)))) >= 3.5"),
 )
 _FOUND = " UNION ALL ".join(
-    f"""SELECT * FROM (SELECT doc_id, source, '{name}' kind, {rank} rk, v, p0::BIGINT s, (p0 + length(mt))::BIGINT e FROM (
-  SELECT doc_id, source, mt, v, sum(length(pc)) OVER w + sum(length(mt)) OVER w - length(mt) p0 FROM (
-    SELECT doc_id, source, unnest(a) mt, unnest(b) v, unnest(c[1:len(a)]) pc, generate_subscripts(a, 1) k FROM (
-      SELECT doc_id, source, regexp_extract_all(t, '{pattern}', 0) a, regexp_extract_all(t, '{pattern}', {g}) b, regexp_split_to_array(t, '{pattern}') c FROM d) WHERE len(a) > 0)
+    f"""SELECT * FROM (SELECT doc_id, source, lang, '{name}' kind, {rank} rk, v, p0::BIGINT s, (p0 + length(mt))::BIGINT e FROM (
+  SELECT doc_id, source, lang, mt, v, sum(length(pc)) OVER w + sum(length(mt)) OVER w - length(mt) p0 FROM (
+    SELECT doc_id, source, lang, unnest(a) mt, unnest(b) v, unnest(c[1:len(a)]) pc, generate_subscripts(a, 1) k FROM (
+      SELECT doc_id, source, lang, regexp_extract_all(t, '{pattern}', 0) a, regexp_extract_all(t, '{pattern}', {g}) b, regexp_split_to_array(t, '{pattern}') c FROM d) WHERE len(a) > 0)
   WINDOW w AS (PARTITION BY doc_id ORDER BY k)) WHERE {ok})"""
     for name, rank, pattern, g, ok in _FINDERS
 )
 OP9_SQL = f"""
-WITH d AS (SELECT doc_id, coalesce(source, '') source, coalesce(text, '') t FROM documents), f AS ({_FOUND}),
+WITH d AS (SELECT doc_id, coalesce(source, '') source, coalesce(lang, '') lang, coalesce(text, '') t FROM documents), f AS ({_FOUND}),
 o AS (SELECT * FROM f WHERE rk < 3 OR NOT EXISTS (SELECT 1 FROM f b WHERE b.doc_id = f.doc_id AND b.rk < 3 AND b.s < f.e AND f.s < b.e)),
-n AS (SELECT v, count(DISTINCT source) < {COPIED_OWNERS} live FROM o GROUP BY v), l AS (SELECT * FROM o JOIN n USING (v) WHERE rk < 3 OR live),
+n AS (SELECT v, count(DISTINCT source) < {COPIED_OWNERS} AND count(DISTINCT (source, lang)) < {COPIED_REPOSITORIES} live FROM o GROUP BY v), l AS (SELECT * FROM o JOIN n USING (v) WHERE rk < 3 OR live),
 g AS (SELECT doc_id, count(*) FILTER (rk = 0) a, count(*) FILTER (rk = 1) b, count(*) FILTER (rk = 2) c, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rk) FILTER (rk < 3) base,
   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rk) sp, count(*) FILTER (live) x, count(*) FILTER (NOT live) y FROM l GROUP BY doc_id)
 SELECT doc_id, coalesce(a, 0)::BIGINT n_assign, coalesce(b, 0)::BIGINT n_access, coalesce(c, 0)::BIGINT n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(sp, '') spans,

@@ -342,6 +342,28 @@ def test_base_spans_follow_the_patterns():
     assert [s[:3] for s in secret_scan.base_spans(text)] == sorted(want)
 
 
+def test_repositories_count_too(spark):
+    """An example in four repositories of one owner is copied, one in three is live; three owners make a copy whatever their
+    repositories; null owners and repositories are one each."""
+    key = ["AKIA" + c * 16 for c in "ABCDEF"]
+    opaque = "aB3dE5fG7hJ9kL2mN4pQ6rS8tU"
+    held = [(key[0], "o", r) for r in "abcd"] + [(key[1], "o", r) for r in "abc"] + [(key[2], o, "a") for o in "opq"] + [(key[3], o, r) for o in "op" for r in "ab"] + [(key[4], None, None)] * 5 + [(opaque, "o", r) for r in "abcd"] + [(opaque[::-1], "o", r) for r in "abc"]
+    docs = spark.createDataFrame([(i, f"x {t} y", l, s, 1) for i, (t, s, l) in enumerate(held)], "doc_id long, text string, lang string, source string, n_chars long")
+    live = {}
+    for r in secret_scan.scan_secrets(docs).collect():
+        live.setdefault(held[r.doc_id][0], set()).update(s.live for s in r.secrets)
+    assert live == {key[0]: {False}, key[1]: {True}, key[2]: {False}, key[3]: {False}, key[4]: {True}, opaque: set(), opaque[::-1]: {True}}
+
+
+def test_opaque_spans_keep_clear_of_base_ones():
+    r = random.Random(5)
+    for _ in range(200):
+        text = " ".join(r.choice(["token=" + "aB3" * 9, "AKIA" + "Z9" * 9, "0123456789abcdef" * 2, "aB3dE5fG7hJ9kL2mN4pQ6rS8tU", "x/aB3dE5fG7hJ9kL2mN4p0123456789abcdef"]) for _ in range(6))
+        base = secret_scan.base_spans(text)
+        want = [m.span() for m in secret_scan.OPAQUE.finditer(text) if not any(a < m.end() and m.start() < b for a, _, b, _ in base) and all(re.search(p, m[0]) for p in ("[0-9]", "[a-z]", "[A-Z]")) and secret_scan.entropy(m[0]) >= 3.5]
+        assert [(s[0], s[2]) for s in secret_scan.opaque_spans(text, base)] == want
+
+
 def test_ownership_separates_copied_from_live(spark):
     copied, own = "AKIA" + "A1B2C3D4E5F6G7H8", "AKIA" + "ZZZZC3D4E5F6G7H8"
     opaque = "aB3dE5fG7hJ9kL2mN4pQ6rS8tU"
