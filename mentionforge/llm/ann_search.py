@@ -2,7 +2,8 @@
 
 Vectors are rotated by a fixed random orthogonal matrix, so that a partial distance over the first d' of d dimensions,
 scaled by d / d', estimates the whole. Inside each probed list a candidate is abandoned once that estimate rejects, under a
-hypothesis test with error factor EPSILON, that it is within the current k-th distance. Survivors get exact distances on the
+hypothesis test with error factor EPSILON, that it is within the current k-th distance: a query's nearest list is scanned
+first, and the k-th distance found there is where the scans of its other lists begin. Survivors get exact distances on the
 original vectors in double precision. Equal vectors are one entry that carries its k + 1 smallest ids, which is all that any
 result can hold; long lists are cut into blocks, and no task holds more than one block."""
 
@@ -88,16 +89,21 @@ def _assigner(centroids, probes: int):
     return run
 
 
-def scan_block(query: np.ndarray, rotated_query: np.ndarray, block: np.ndarray, rotated: np.ndarray, k: int, epsilon: float, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a block that may be among the k nearest and their exact distances."""
-    n, d = rotated.shape
+def columns_of(rotated: np.ndarray, step: int) -> list[np.ndarray]:
+    """Blocks of `step` columns, each in a piece of memory of its own."""
+    return [np.ascontiguousarray(rotated[:, at : at + step]) for at in range(0, rotated.shape[1], step)]
+
+
+def scan_block(query: np.ndarray, rotated_query: np.ndarray, block: np.ndarray, columns: list[np.ndarray], k: int, epsilon: float, known: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a block that may be among the k nearest and their exact distances. known: a distance that k rows elsewhere keep."""
+    n, d, step = len(block), block.shape[1], columns[0].shape[1]
     first = min(n, max(4 * k, 64))
-    seed = ((rotated[:first] - rotated_query) ** 2).sum(axis=1)
-    limit = np.partition(seed, k - 1)[k - 1] * (1 + 1e-9) if first >= k else np.inf
+    seed = sum(((c[:first] - rotated_query[i * step : i * step + c.shape[1]]) ** 2).sum(axis=1) for i, c in enumerate(columns))
+    limit = min(known * known, np.partition(seed, k - 1)[k - 1] if first >= k else np.inf) * (1 + 1e-9)
     alive, partial = np.arange(n), np.zeros(n)
-    for at in range(0, d, step):
-        seen = min(at + step, d)
-        partial = partial + ((rotated[alive, at:seen] - rotated_query[at:seen]) ** 2).sum(axis=1)
+    for i, c in enumerate(columns):
+        at, seen = i * step, min(i * step + step, d)
+        partial = partial + ((c[alive] - rotated_query[at:seen]) ** 2).sum(axis=1)
         bound = limit * (seen / d) * (1 + epsilon / np.sqrt(seen)) ** 2 if seen < d else limit
         stay = partial <= bound
         alive, partial = alive[stay], partial[stay]
@@ -109,29 +115,31 @@ def scan_block(query: np.ndarray, rotated_query: np.ndarray, block: np.ndarray,
 
 
 def _searcher(k: int, epsilon: float, step: int):
-    """Rows (cell, side, vector, ids, query) sorted by cell and side in: side 0 are entries, side 1 queries."""
+    """Rows (cell, side, vector, ids, query, known) sorted by cell and side in: side 0 are entries, side 1 queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held, ids, block, rotated, turn = None, [], [], None, None, None
+        cell, held, ids, block, columns, turns = None, [], [], None, None, {}
         for batch in batches:
             out = ([], [], [])
-            for c, side, v, i, q in zip(*(batch.column(j) for j in range(5)), strict=True):
+            for c, side, v, i, q, known in zip(*(batch.column(j) for j in range(6)), strict=True):
                 c = c.as_py()
                 if c != cell:
                     cell, held, ids, block = c, [], [], None
                 v = v.values.to_numpy(zero_copy_only=False)
-                turn = rotation(len(v)) if turn is None else turn
                 if not side.as_py():
                     held.append(v)
                     ids.append(i.as_py())
                     continue
                 if not held:
                     continue
+                if len(v) not in turns:
+                    turns = {len(v): rotation(len(v))}
+                turn = turns[len(v)]
                 if block is None:
                     block = np.stack(held)
-                    rotated = block.astype(np.float64) @ turn
+                    columns = columns_of(block.astype(np.float64) @ turn, step)
                 v = v.astype(np.float64)
-                rows, dist = scan_block(v, v @ turn, block, rotated, k, epsilon, step)
+                rows, dist = scan_block(v, v @ turn, block, columns, k, epsilon, known.as_py())
                 found = sorted((s, x) for r, s in zip(rows.tolist(), dist.tolist(), strict=True) for x in ids[r])[:k]
                 for s, x in found:
                     out[0].append(q.as_py())
@@ -151,8 +159,10 @@ def usable(id_col: str = "vec_id", vector_col: str = "embedding"):
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, target: float = TARGET, epsilon: float = EPSILON, n_lists: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each query but the row of its own id.
 
-    Both frames have (vec_id, embedding). Null, zero or non-finite vectors, rows without id and vectors of another length than
-    most take no part; target is the recall that probing aims at; ties go to the smaller id; repeated rows of one id count once; an empty table gives no rows."""
+    Both frames have (vec_id, embedding). Null, zero or non-finite vectors and rows without id take no part; vectors of another
+    length than most are near those of their own length only, and are one list for each length, which is scanned whole; target
+    is the recall that probing aims at; ties go to the smaller id; repeated rows of one id count once; other columns are not
+    read; an empty table gives no rows."""
     spark = vectors.sparkSession
     pick = lambda df: df.where(usable()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v"))
     base, asked = pick(vectors), pick(queries)
@@ -160,8 +170,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, targ
     if not lengths:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     d, n = lengths[0]
-    base, asked = base.where(F.size("v") == d), asked.where(F.size("v") == d)
-    sample = bounded_sample(base, "vec_id", max(1, min(SAMPLE_ROWS, SAMPLE_NUMBERS // max(1, d)))).select("v").toArrow().column(0).combine_chunks()
+    usual = F.size("v") == d
+    sample = bounded_sample(base.where(usual), "vec_id", max(1, min(SAMPLE_ROWS, SAMPLE_NUMBERS // max(1, d)))).select("v").toArrow().column(0).combine_chunks()
     sample = _matrix(sample if isinstance(sample, pa.Array) else sample.chunk(0)).astype(np.float32)
     n_lists = max(1, min(n_lists or int(np.sqrt(n) / 2), MOST_LISTS, max(1, len(sample) // 4)))
     fitted = fit_lists(sample, n_lists)
@@ -171,19 +181,29 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, targ
     first = W.partitionBy("v").orderBy("vec_id")
     few = base.distinct().withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k + 1)
     entries = few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    placed = map_in_arrow(entries, _assigner(centroids, 1), "v array<float>, ids array<bigint>, lists array<int>")
-    placed = saved(placed.select("v", "ids", F.element_at("lists", 1).alias("list")), "placed")
+    placed = map_in_arrow(entries.where(usual), _assigner(centroids, 1), "v array<float>, ids array<bigint>, lists array<int>")
+    alone = entries.where(~usual).select("v", "ids", (-F.size("v")).alias("list"))  # a list for each other length
+    placed = saved(placed.select("v", "ids", F.element_at("lists", 1).alias("list")).unionByName(alone), "placed")
     sizes = placed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     wanted = saved(asked.select("vec_id", "v", F.xxhash64("v").alias("query")), "asked")
-    probed = map_in_arrow(wanted.select("v", "query").distinct(), _assigner(centroids, probes), "v array<float>, query bigint, lists array<int>")
-    probed = probed.select("v", "query", F.explode("lists").alias("list")).join(sizes, "list").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = wanted.select("v", "query").distinct()
+    probed = map_in_arrow(each.where(usual), _assigner(centroids, probes), "v array<float>, query bigint, lists array<int>")
+    probed = probed.unionByName(each.where(~usual).select("v", "query", F.array(-F.size("v")).alias("lists")))
+    probed = saved(probed.select("v", "query", F.posexplode("lists").alias("place", "list")), "probed").join(sizes, "list").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     none = F.lit(None)
     held = placed.join(sizes, "list").withColumn("_b", F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col("blocks")))
-    held = held.select(F.concat_ws("/", "list", "_b").alias("cell"), F.lit(0).alias("side"), "v", "ids", none.cast("bigint").alias("query"))
-    met = probed.select(F.concat_ws("/", "list", "_b").alias("cell"), F.lit(1).alias("side"), "v", none.cast("array<bigint>").alias("ids"), "query")
-    cells = held.unionByName(met).repartition("cell").sortWithinPartitions("cell", "side")
-    hits = map_in_arrow(cells, _searcher(k + 1, epsilon, DIMENSIONS), "query bigint, vec_id bigint, score double")
+    held = held.select(F.concat_ws("/", "list", "_b").alias("cell"), F.lit(0).alias("side"), "v", "ids", none.cast("bigint").alias("query"), F.lit(float("inf")).alias("known"))
     best = W.partitionBy("query").orderBy("score", "vec_id")
+
+    def scanned(part: DataFrame) -> DataFrame:
+        met = part.select(F.concat_ws("/", "list", "_b").alias("cell"), F.lit(1).alias("side"), "v", none.cast("array<bigint>").alias("ids"), "query", "known")
+        cells = held.unionByName(met).repartition("cell").sortWithinPartitions("cell", "side")
+        found = map_in_arrow(cells, _searcher(k + 1, epsilon, DIMENSIONS), "query bigint, vec_id bigint, score double")
+        return found.distinct().withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).drop("_r")
+
+    first = saved(scanned(probed.where("place = 0").withColumn("known", F.lit(float("inf")))), "first")
+    kth = first.groupBy("query").agg(F.max("score").alias("worst"), F.count("*").alias("n")).select("query", F.when(F.col("n") > k, F.col("worst")).otherwise(F.lit(float("inf"))).alias("known"))
+    hits = first.unionByName(scanned(probed.where("place > 0").join(kth, "query", "left").withColumn("known", F.coalesce("known", F.lit(float("inf"))))))
     hits = hits.distinct().withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1)
     hits = hits.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("found"))
     out = wanted.select(F.col("vec_id").alias("query_id"), "query").distinct().join(hits, "query")

@@ -282,6 +282,50 @@ def test_neighbours_match_brute_force(spark, monkeypatch):
     assert ann_search.nearest_neighbours(df.where("false"), df).count() == 0
 
 
+def exact_neighbours(v, queries, k):
+    """(ids, distances) of the k nearest rows of v for each query row, but itself; ties to the smaller id."""
+    out = {}
+    for q in queries:
+        d = np.sqrt(((v.astype(float) - v[q].astype(float)) ** 2).sum(axis=1))
+        out[q] = [i for i in np.lexsort((np.arange(len(v)), d)) if i != q][:k], d
+    return out
+
+
+@pytest.mark.parametrize("spread", [0.15, 1.0])
+def test_recall_when_few_lists_are_probed(spark, monkeypatch, spread):
+    """Clustered vectors, 120 lists, four probes at least, against brute force."""
+    monkeypatch.setattr(ann_search, "LEAST_PROBES", 4)
+    monkeypatch.setattr(ann_search, "BLOCK", 64)
+    rng = np.random.default_rng(3)
+    v = (rng.standard_normal((60, 32))[rng.integers(0, 60, 3000)] + spread * rng.standard_normal((3000, 32))).astype(np.float32)
+    asked_lists = []
+    monkeypatch.setattr(ann_search, "probes_for", lambda *a, f=ann_search.probes_for: asked_lists.append(f(*a)) or asked_lists[0])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(3)
+    got = {}
+    for r in ann_search.nearest_neighbours(df, df.where("vec_id % 100 = 0"), k=10, n_lists=120).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    want = exact_neighbours(v, range(0, 3000, 100), 10)
+    assert asked_lists[0] < 120 and set(got) == set(want)
+    assert all([k for k, _, _ in sorted(g)] == list(range(1, 11)) for g in got.values())
+    assert all(np.isclose(s, want[q][1][i], rtol=1e-12) for q, g in got.items() for _, i, s in g)
+    assert sum(len({i for _, i, _ in g} & set(want[q][0])) for q, g in got.items()) >= 0.95 * 10 * len(want)
+
+
+def test_vectors_of_every_length_are_searched(spark, monkeypatch):
+    monkeypatch.setattr(ann_search, "BLOCK", 20)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(8 if i % 4 else 3 if i % 8 else 5).astype(np.float32)) for i in range(400)]
+    df = spark.createDataFrame([(i, x.tolist(), "clash") for i, x in rows], "vec_id long, embedding array<float>, list string")
+    got = {}
+    for r in ann_search.nearest_neighbours(df, df.where("vec_id % 20 = 0 or vec_id < 8"), k=5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    for q in [*range(0, 400, 20), *range(8)]:
+        near = sorted((float(np.sqrt(((x.astype(float) - rows[q][1].astype(float)) ** 2).sum())), i) for i, x in rows if i != q and len(x) == len(rows[q][1]))[:5]
+        if len(rows[q][1]) != 8:
+            assert [i for _, i in sorted(got[q])] == [i for _, i in near]  # lists of other lengths are scanned whole
+        assert {len(rows[i][1]) for _, i in got[q]} == {len(rows[q][1])} and len(got[q]) == 5
+
+
 # --- op8
 
 
