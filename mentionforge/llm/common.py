@@ -30,9 +30,13 @@ def words_of(text: Column) -> Column:
 
 
 def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
-    """About `most` rows at the most, chosen by a hash of the key: for fitting only, the same rows in every run."""
-    n = df.count()
-    if n <= most:
-        return df
-    cut = int((1 << 31) * (most / n))
-    return df.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 31)) < F.lit(cut))
+    """About `most` rows at the most, chosen by a hash of the key, one for each key (the least one): for fitting only, the same
+    rows in every run. Rows without key are left out."""
+    known = df.where(F.col(key).isNotNull())
+    n = known.count()
+    cut = int((1 << 31) * min(1.0, most / max(1, n)))
+    chosen = known.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 31)) < F.lit(cut))
+    rest = [c for c in df.columns if c != key]
+    if not rest:
+        return chosen.distinct()
+    return chosen.groupBy(key).agg(F.min(F.struct(*rest)).alias("_r")).select(*[F.col("_r")[c].alias(c) if c != key else F.col(key) for c in df.columns])

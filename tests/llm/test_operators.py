@@ -31,7 +31,7 @@ def word_salad(n, seed, vocabulary=400):
 def test_url_parts_and_longest_listed_rule(spark):
     urls = [None, "", "no scheme", "http://Sub.Example.ORG/es/x", "https://example.org/en/12?q", "http://notexample.org/es/", "http://a.com/de/#f", "http://org", "x://y.org/://z.com/de/", "http://a.com/fr/"]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
-    none = spark.createDataFrame([], "rule_id string, tokens array<string>, anchor string, confidence double, support double")
+    none = spark.createDataFrame([], url_filters.RULES_DDL)
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filters.url_filter(df, none).collect()}
     assert got[0] == got[1] == got[2] == ("", "", None, "allow")
     assert got[3] == ("sub.example.org", "/es/x", "example.org/es/", "block")
@@ -43,24 +43,82 @@ def test_url_parts_and_longest_listed_rule(spark):
     assert got[9][2:] == ("com/fr/", "allow")
 
 
-def test_mined_rules_match_brute_force(spark):
-    r = random.Random(4)
-    rows = []
-    for i in range(400):
+def labelled_urls(seed, n=400, signal=0.9):
+    r, rows = random.Random(seed), []
+    for i in range(n):
         spam = r.random() < 0.3
-        host = r.choice(["pills", "casino"] if spam and r.random() < 0.9 else ["news", "blog", "wiki"])
+        host = r.choice(["pills", "casino"] if spam and r.random() < signal else ["news", "blog", "wiki"])
         rows.append((f"http://{host}.test/{r.choice(['en', 'de'])}/{i}", spam))
-    labelled = spark.createDataFrame(rows + [(None, True), ("http://x.test/", None)], "url string, bad boolean")
-    rules = url_filters.mine_rules(labelled).collect()
-    assert {t for x in rules for t in x.tokens} & {"w:pills", "h:pills", "w:casino", "h:casino"}
-    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows + rows[:50])], "page_id long, url string")
+    return rows + [rows[0]] * 30 + [(rows[1][0], not rows[1][1])] * 5
+
+
+def brute_rules(spark, rows, min_lift, z, min_support, min_rows, folds=5):
+    """Every token set is counted: (tokens: bad urls, urls) of the rules."""
+    from itertools import combinations
+
+    votes = {}
+    for u, bad in rows:
+        if u is not None and bad is not None:
+            votes.setdefault(u, []).append(bad)
+    df = spark.createDataFrame([(u, sum(v) * 2 >= len(v)) for u, v in votes.items()], "url string, bad boolean")
+    urls = df.select("bad", url_filters.url_tokens(F.col("url")).alias("t"), (F.pmod(F.xxhash64("url", F.lit(folds)), F.lit(folds)) == 0).alias("held")).collect()
+    mined, held = [(set(x.t), x.bad) for x in urls if not x.held], [(set(x.t), x.bad) for x in urls if x.held]
+    n, share = len(mined), sum(b for _, b in mined) / len(mined)
+    counts = {}
+    for t, bad in mined:
+        for k in range(1, len(t) + 1):
+            for c in combinations(sorted(t), k):
+                x = counts.setdefault(c, [0, 0])
+                x[0] += bad
+                x[1] += 1
+    rules = {}
+    for c, (k, m) in counts.items():
+        p = k / m
+        low = (p + z * z / (2 * m) - z * (p * (1 - p) / m + z * z / (4 * m * m)) ** 0.5) / (1 + z * z / m)
+        if k >= min_rows and k >= min_support * n and p / share >= min_lift and low > share:
+            rules[c] = (k, m)
+    short = {c: v for c, v in rules.items() if not any(c[:i] + c[i + 1 :] in rules for i in range(len(c)))}
+    fits = lambda c: [b for t, b in held if set(c) <= t]
+    return {c: v for c, v in short.items() if fits(c) and sum(fits(c)) / len(fits(c)) > share}
+
+
+@pytest.mark.parametrize(("signal", "lift", "z"), [(0.9, 1.5, 3.0), (0.4, 1.05, 0.3), (0.0, 1.5, 3.0)])
+def test_mined_rules_match_brute_force(spark, signal, lift, z):
+    rows = labelled_urls(4, signal=signal) + [(None, True), ("http://x.test/", None)]
+    labelled = spark.createDataFrame(rows, "url string, bad boolean")
+    rules = url_filters.mine_rules(labelled, min_lift=lift, z=z, min_rows=10).collect()
+    want = brute_rules(spark, rows, lift, z, 0.002, 10)
+    assert {tuple(x.tokens): (x.n_bad, x.n_urls) for x in rules} == want
+    assert (len(want) > 0) == (signal > 0)  # labels that have nothing to do with urls give no rule
+    pages = spark.createDataFrame([(i, u, "clash", 7) for i, (u, _) in enumerate(rows + rows[:50])], "page_id long, url string, verdict string, host int")
     tokens = {x.url: set(x.t) for x in pages.select("url", url_filters.url_tokens(F.col("url")).alias("t")).collect()}
-    df = spark.createDataFrame(rules)
-    got = url_filters.url_filter(pages, df).collect()
+    got = url_filters.url_filter(pages, spark.createDataFrame(rules, url_filters.RULES_DDL)).collect()
     assert len(got) == pages.count()
     for x in got:
-        hit = any(set(rule.tokens) <= tokens[x.url] for rule in rules)
-        assert (x.verdict == "block") == hit
+        fitting = [rule for rule in rules if x.url is not None and set(rule.tokens) <= tokens[x.url]]
+        assert (x.verdict == "block") == bool(fitting)
+        assert x.mined_confidence == max((rule.confidence for rule in fitting), default=None)
+
+
+def test_urls_without_rows_labels_or_bounds(spark):
+    rules = url_filters.mine_rules(spark.createDataFrame(labelled_urls(1), "url string, bad boolean"))
+    assert url_filters.mine_rules(spark.createDataFrame([], "url string, bad boolean")).count() == 0
+    assert url_filters.mine_rules(spark.createDataFrame([("http://a.b/", False)] * 40, "url string, bad boolean")).count() == 0
+    empty = url_filters.url_filter(spark.createDataFrame([], "page_id long, url string"), rules)
+    assert empty.count() == 0 and {"host", "path", "rule", "verdict"} <= set(empty.columns)
+    long = "http://Casino.test/" + "a/" * 50_000 + "?q=" + "x" * 50_000
+    r = url_filters.url_filter(spark.createDataFrame([(1, long)], "page_id long, url string"), rules).first()
+    assert (r.host, r.path, r.verdict) == ("casino.test", "/" + "a/" * 50_000, "block")
+
+
+def test_samples_are_bounded_and_hold_a_key_once(spark):
+    from mentionforge.llm.common import bounded_sample
+
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"), "id")
+    got = bounded_sample(df, "k", 1000).collect()
+    assert 0 < len(got) < 1300 and len({r.k for r in got}) == len(got)
+    assert sorted(got) == sorted(bounded_sample(df.repartition(7), "k", 1000).collect())
+    assert all(r.id == 0 for r in got if r.k == "hot")
 
 
 # --- op2
