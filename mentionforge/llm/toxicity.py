@@ -1,10 +1,15 @@
-"""Toxicity: a linear-chain conditional random field over tokens.
+"""Toxicity: a linear-chain conditional random field over tokens, learned from labels of documents.
 
-Fitting happens on the driver over a bounded, hash-chosen sample of labelled documents. Words and word beginnings that go
-with toxic documents, in many different surroundings, form a lexicon; with it, tokens of toxic documents get toxic labels,
-and a two-state CRF is fitted to those by its likelihood gradient. Forward-backward marginals of a whole text then give
-offending spans and, through a small logistic calibration, the document's score. Stretches of tokens outside the lexicon
-multiply in as powers of one 2 x 2 matrix, so the recursions cost as much as a text has lexicon hits."""
+A token is clean or toxic. Features of a toxic token are its word, its beginnings and its shape; candidates are entries that
+go with toxic documents in many different surroundings. Tokens carry no labels of their own, so these are estimated: at first
+every token with features of a toxic document counts as toxic; the chain is fitted to that by its likelihood gradient, and
+then tokens are labelled by its own marginals, given that the document is clean (no toxic token) or toxic (one at least), and
+so on. Forward-backward marginals of a whole text then give offending spans and, through a small logistic calibration, the
+document's score. Stretches of tokens without features multiply in as powers of one 2 x 2 matrix, so the recursions cost as
+much as a text has tokens with features. All potentials of the clean path are zero, so log Z is minus the log probability that
+all is clean.
+
+Fitting happens on the driver over a bounded, hash-chosen sample of labelled documents."""
 
 from __future__ import annotations
 
@@ -26,87 +31,94 @@ from mentionforge.session import map_in_arrow, spread
 
 #: Fitting bounds: labelled rows by class, code points of a fitted text, entries of the lexicon.
 MOST_TOXIC, MOST_CLEAN, MOST_CHARS, MOST_ENTRIES = 2000, 8000, 20_000, 50_000
-LEAST_CONTEXTS, LEAST_ODDS = 5, 3.0
+LEAST_CONTEXTS, LEAST_ODDS = 5, 2.5
 PREFIXES = (4, 5, 6)
-#: Bounds between the observation symbols 1, 2, ... by log-odds of a token's best lexicon entry; symbol 0: none.
-BUCKETS = (3.0, 3.5, 4.0, 4.5, 5.0, 6.0)
-SYMBOLS = len(BUCKETS) + 1
+#: Estimates of the token labels, rounds and step of the fit to each, and the weight of the squared weights in its objective.
+ESTIMATES, ROUNDS, STEP, RIDGE = 3, 30, 0.15, 0.1
 _EDGE = ".,;:!?\"'()[]{}<>«»„“”…*_-"
 _WORD = re.compile(r"\S+")
 
 
 def entries_of(word: str) -> list[str]:
-    w = word.strip(_EDGE)
+    """Word and beginnings, without marks at the edges and in lower case."""
+    w = word.strip(_EDGE).lower()
     return [f"={w}", *(w[:n] for n in PREFIXES if len(w) > n)] if w else []
 
 
+def shapes_of(word: str) -> list[str]:
+    w = word.strip(_EDGE)
+    return [f"#{min(len(w), 12)}", *(name for name, has in (("#upper", w.isupper()), ("#title", w[:1].isupper()), ("#digit", any(c.isdigit() for c in w)), ("#mark", not w.isalnum())) if has)]
+
+
 @dataclass
 class Model:
-    lexicon: dict[str, float] = field(default_factory=dict)
-    emit: np.ndarray = field(default_factory=lambda: np.zeros((2, SYMBOLS)))
-    move: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
-    begin: np.ndarray = field(default_factory=lambda: np.array([0.0, -8.0]))
+    """weights by entry; move: log potentials of clean to toxic, toxic to clean, and toxic to toxic."""
+
+    weights: dict[str, float] = field(default_factory=dict)
+    move: np.ndarray = field(default_factory=lambda: np.array([-6.0, 0.0, -1.0]))
     calibration: np.ndarray = field(default_factory=lambda: np.array([-6.0, 0.0, 0.0, 0.0]))
 
-    def symbol(self, word: str) -> int:
-        if self.lexicon.get(f"={word.strip(_EDGE)}", 0) < 0:
-            return 0
-        best = max((self.lexicon[e] for e in entries_of(word) if e in self.lexicon), default=None)
-        return 0 if best is None else max(1, int(np.searchsorted(BUCKETS, best, side="right")))
+    def features(self, word: str) -> list[str]:
+        found = [e for e in entries_of(word) if e in self.weights]
+        return found + [x for x in shapes_of(word) if x in self.weights] if found else []
+
+    def score(self, word: str) -> float:
+        return sum(self.weights[x] for x in self.features(word))
+
+
+def _powers(move: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """(top, ratio, A, B) with N ** k = top ** k * (A + ratio ** k * B) for the matrix N of a token without features."""
+    n = np.array([[1.0, math.exp(move[0])], [math.exp(move[1]), math.exp(move[2])]])
+    values, vectors = np.linalg.eig(n)
+    one = int(values.argmax())
+    parts = [np.outer(vectors[:, k], np.linalg.inv(vectors)[k]) for k in (0, 1)]
+    return float(values[one]), float(values[1 - one] / values[one]), parts[one], parts[1 - one]
 
 
 class _Chain:
-    """Forward and backward vectors at the lexicon hits of one text; scaled, so that no length overflows."""
+    """Forward and backward vectors at the tokens with features of one text; scaled, so that no length overflows."""
 
     def __init__(self, m: Model):
-        self.first, self.step = np.exp(m.begin[:, None] + m.emit), np.exp(m.move)
-        self.factor = np.exp(m.emit)
-        neutral = self.step * self.factor[:, 0]
-        values, vectors = np.linalg.eig(neutral)
-        values, vectors = values.real, vectors.real
-        self.top = values.max()
-        self.scaled, self.left, self.right = values / self.top, vectors, np.linalg.inv(vectors)
-        self.log_top, self.log_clean = math.log(self.top), math.log(neutral[0, 0])
-        self.log_first, self.log_step, self.log_factor = np.log(self.first), m.move, m.emit
-
-    def power(self, k: int) -> np.ndarray:
-        """neutral ** k / top ** k"""
-        return (self.left * self.scaled**k) @ self.right
-
-    def run(self, n: int, at: list[int], symbols: list[int]) -> tuple[float, list[float]]:
-        """log P(no toxic token), and P(toxic) at each hit, of a text of n tokens."""
-        if not n:
-            return 0.0, []
-        if at and at[0] == 0:
-            points = list(zip(at, symbols, strict=True))
-        else:
-            points = [(0, 0), *zip(at, symbols, strict=True)]
-        f = self.first[:, points[0][1]]
-        clean, log_z = self.log_first[0, points[0][1]], math.log(f.sum())
-        f = f / f.sum()
-        forward, links = [f], []
-        for (a, _), (b, s) in zip(points, points[1:], strict=False):
-            k = b - a - 1
-            link = (self.power(k) if k else np.eye(2)) @ (self.step * self.factor[:, s])
-            f = f @ link
-            log_z += math.log(f.sum()) + k * self.log_top
-            clean += k * self.log_clean + self.log_step[0, 0] + self.log_factor[0, s]
-            f = f / f.sum()
-            forward.append(f)
-            links.append(link)
-        rest = n - 1 - points[-1][0]
-        back = self.power(rest).sum(axis=1) if rest else np.ones(2)
-        log_z += math.log(f @ back) + rest * self.log_top
-        clean += rest * self.log_clean
-        marginals, back = [], back / back.sum()
-        for j in range(len(points) - 1, -1, -1):
-            p = forward[j] * back
-            marginals.append(float(p[1] / p.sum()))
-            if j:
-                back = links[j - 1] @ back
-                back = back / back.sum()
+        self.top, self.ratio, a, b = _powers(m.move)
+        self.log_top, self.a, self.b = math.log(self.top), tuple(a.ravel().tolist()), tuple(b.ravel().tolist())
+        self.enter, self.leave, self.stay = (math.exp(x) for x in m.move)
+
+    def _gap(self, k: int) -> tuple[float, ...]:
+        r = self.ratio**k
+        return tuple([x + r * y for x, y in zip(self.a, self.b, strict=True)])
+
+    def run(self, n: int, at: list[int], scores: list[float]) -> tuple[float, list[float]]:
+        """log P(no toxic token), and P(toxic) at each of the tokens `at`, of a text of n tokens; a clean token stands before it."""
+        f0, f1, log_z, last, forward, links = 1.0, 0.0, 0.0, -1, [], []
+        for place, s in zip(at, scores, strict=True):
+            k, e, m = place - last - 1, math.exp(s), None
+            if k:
+                m = self._gap(k)
+                f0, f1 = f0 * m[0] + f1 * m[2], f0 * m[1] + f1 * m[3]
+                log_z += k * self.log_top
+            f0, f1 = f0 + f1 * self.leave, (f0 * self.enter + f1 * self.stay) * e
+            z = f0 + f1
+            log_z += math.log(z)
+            f0, f1, last = f0 / z, f1 / z, place
+            forward.append((f0, f1))
+            links.append((m, e))
+        b0 = b1 = 1.0
+        if (k := n - 1 - last) > 0:
+            m = self._gap(k)
+            b0, b1 = m[0] + m[1], m[2] + m[3]
+            log_z += k * self.log_top
+        log_z += math.log(f0 * b0 + f1 * b1)
+        marginals = []
+        for (g0, g1), (m, e) in zip(reversed(forward), reversed(links), strict=True):
+            p0, p1 = g0 * b0, g1 * b1
+            marginals.append(p1 / (p0 + p1))
+            b0, b1 = b0 + self.enter * e * b1, self.leave * b0 + self.stay * e * b1
+            if m:
+                b0, b1 = m[0] * b0 + m[1] * b1, m[2] * b0 + m[3] * b1
+            z = b0 + b1
+            b0, b1 = b0 / z, b1 / z
         marginals.reverse()
-        return min(0.0, clean - log_z), marginals[len(points) - len(at) :]
+        return min(0.0, -log_z), marginals
 
 
 def _features(log_clean: float, marginals: list[float], n: int) -> np.ndarray:
@@ -118,16 +130,16 @@ def _features(log_clean: float, marginals: list[float], n: int) -> np.ndarray:
 
 def learn_lexicon(texts: list[str], toxic: list[int]) -> dict[str, float]:
     """Entries with LEAST_CONTEXTS different surroundings, one a toxic text (copies share theirs), and log-odds of LEAST_ODDS;
-    words that a listed beginning covers though they go with clean texts are listed below zero."""
+    words that a listed beginning covers though they go with clean texts come with their own, lower odds."""
     number: dict[str, int] = {}
     pairs = array("q")
     n_toxic = sum(toxic)
     n_clean = len(toxic) - n_toxic
     for t, y in zip(texts, toxic, strict=True):
         if y:
-            words, least = ["", *t.lower().split(), ""], {}
+            words, least = ["", *t.split(), ""], {}
             for a, w, b in zip(words, words[1:], words[2:], strict=False):
-                c = zlib.crc32(f"{a} {b}".encode("utf-8", "surrogatepass"))
+                c = zlib.crc32(f"{a} {b}".lower().encode("utf-8", "surrogatepass"))
                 least[w] = min(c, least.get(w, c))
             for w, c in least.items():
                 pairs.extend(number.setdefault(e, len(number)) << 32 | c for e in entries_of(w))
@@ -137,87 +149,133 @@ def learn_lexicon(texts: list[str], toxic: list[int]) -> dict[str, float]:
     seen = {0: defaultdict(int), 1: defaultdict(int)}
     for t, y in zip(texts, toxic, strict=True):
         found = set()
-        for w in set(t.lower().split()):
+        for w in set(t.split()):
             found.update(e for e in entries_of(w) if e in wide)
         for e in found:
             seen[y][e] += 1
-    odds = {e: math.log((seen[1][e] + 0.5) / (n_toxic + 1)) - math.log((seen[0][e] + 0.5) / (n_clean + 1)) for e in seen[1]}
+    odds_of = lambda k, c: math.log((k + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
+    odds = {e: odds_of(k, seen[0][e]) for e, k in seen[1].items()}
     best = sorted(((o, e) for e, o in odds.items() if o >= LEAST_ODDS), key=lambda x: (-x[0], x[1]))[:MOST_ENTRIES]
     lexicon = {e: o for o, e in best}
     beginnings = {e for e in lexicon if e[0] != "="}
     harmless: dict[str, list[int]] = defaultdict(lambda: [0, 0])
     for t, y in zip(texts, toxic, strict=True):
-        for w in {w.strip(_EDGE) for w in t.lower().split()}:
+        for w in {w.strip(_EDGE).lower() for w in t.split()}:
             if any(w[:n] in beginnings for n in PREFIXES if len(w) > n):
                 harmless[w][y] += 1
     for w, (c, p) in harmless.items():
-        if c and math.log((p + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1)) < LEAST_ODDS:
-            lexicon[f"={w}"] = -1.0
+        if c and f"={w}" not in lexicon and len(lexicon) < 2 * MOST_ENTRIES:
+            lexicon[f"={w}"] = odds_of(p, c) - LEAST_ODDS
     return lexicon
 
 
-def _fit_chain(m: Model, rows: list[tuple[np.ndarray, int]], half: int = 12, rounds: int = 150) -> None:
-    """Adam on the conditional likelihood of token labels, over windows around hits and windows without any."""
-    rng, windows = np.random.default_rng(3), defaultdict(float)
-    for s, y in rows:
-        hits = np.flatnonzero(s)
-        label = (s > 0) & bool(y)
-        for h in hits:
-            a = max(0, h - half)
-            windows[(tuple(s[a : h + half + 1]), tuple(label[a : h + half + 1]), a == 0)] += 1.0
-        if len(s):
-            a = int(rng.integers(0, max(1, len(s) - 2 * half)))
-            w = s[a : a + 2 * half + 1]
-            if not w.any():
-                windows[(tuple(w), tuple(np.zeros(len(w), bool)), a == 0)] += max(1.0, (len(s) - len(hits) * 2 * half) / (2 * half))
-    if not windows:
-        return
-    keys, weight = list(windows), np.array(list(windows.values()))
-    weight = weight / weight.sum()
-    size = 2 * half + 1
-    x, y, on = np.zeros((len(keys), size), int), np.zeros((len(keys), size), int), np.zeros((len(keys), size))
-    for i, (s, label, _) in enumerate(keys):
-        x[i, : len(s)], y[i, : len(s)], on[i, : len(s)] = s, label, 1
-    start = np.array([k[2] for k in keys], float)
-    theta, m1, m2 = np.concatenate([m.emit.ravel(), m.move.ravel(), m.begin]), 0.0, 0.0
-    rows_at = np.arange(len(keys))
-
-    def gradient(theta):
-        emit, move, begin = theta[: 2 * SYMBOLS].reshape(2, SYMBOLS), theta[2 * SYMBOLS : -2].reshape(2, 2), theta[-2:]
-        e = np.exp(emit[:, x]).transpose(1, 2, 0)
-        t = np.exp(move)
-        f = np.zeros((size, len(keys), 2))
-        b = np.ones((size, len(keys), 2))
-        f[0] = e[:, 0] * np.exp(begin * start[:, None])
-        f[0] /= f[0].sum(axis=1, keepdims=True)
-        for k in range(1, size):
-            new = (f[k - 1] @ t) * e[:, k]
-            f[k] = np.where(on[:, k, None] > 0, new / new.sum(axis=1, keepdims=True), f[k - 1])
-        for k in range(size - 2, -1, -1):
-            new = (b[k + 1] * e[:, k + 1]) @ t.T
-            b[k] = np.where(on[:, k + 1, None] > 0, new / new.sum(axis=1, keepdims=True), b[k + 1])
-        p = f * b
-        p /= p.sum(axis=2, keepdims=True)
-        g_emit, g_move, g_begin = np.zeros((2, SYMBOLS)), np.zeros((2, 2)), np.zeros(2)
-        for k in range(size):
-            w = weight * on[:, k]
-            np.add.at(g_emit, (y[:, k], x[:, k]), w)
-            for c in (0, 1):
-                g_emit[c] -= np.bincount(x[:, k], weights=w * p[k, :, c], minlength=SYMBOLS)
-            if k:
-                pair = f[k - 1][:, :, None] * t[None] * (e[:, k] * b[k])[:, None, :]
-                pair /= pair.sum(axis=(1, 2), keepdims=True)
-                np.add.at(g_move, (y[:, k - 1], y[:, k]), w)
-                g_move -= (pair * w[:, None, None]).sum(axis=0)
-        np.add.at(g_begin, y[rows_at, 0], weight * start)
-        g_begin -= (p[0] * (weight * start)[:, None]).sum(axis=0)
-        return np.concatenate([g_emit.ravel(), g_move.ravel(), g_begin]) - 1e-5 * theta
-
-    for i in range(1, rounds + 1):
-        g = gradient(theta)
-        m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
-        theta = theta + 0.15 * (m1 / (1 - 0.9**i)) / (np.sqrt(m2 / (1 - 0.99**i)) + 1e-8)
-    m.emit, m.move, m.begin = theta[: 2 * SYMBOLS].reshape(2, SYMBOLS), theta[2 * SYMBOLS : -2].reshape(2, 2), theta[-2:]
+class _Sample:
+    """Texts as arrays: their words with features, in groups of like numbers of them."""
+
+    def __init__(self, m: Model, texts: list[str], toxic: list[int]):
+        place = {e: k for k, e in enumerate(m.weights)}
+        known: dict[str, int] = {}
+        feature, owner, rows = [], [], defaultdict(list)
+        self.n_kinds = 0
+        for d, (t, y) in enumerate(zip(texts, toxic, strict=True)):
+            at, kinds, words = [], [], t.split()
+            for k, w in enumerate(words):
+                kind = known.get(w)
+                if kind is None:
+                    found, kind = m.features(w), -1
+                    if found:
+                        kind = self.n_kinds
+                        feature += [place[x] for x in found]
+                        owner += [kind] * len(found)
+                        self.n_kinds += 1
+                    known[w] = kind
+                if kind >= 0:
+                    at.append(k)
+                    kinds.append(kind)
+            rows[(len(at) - 1).bit_length() if at else -1].append((d, y, at, kinds, len(words)))
+        self.feature, self.owner, self.groups = np.array(feature, np.int64), np.array(owner, np.int64), []
+        for held in rows.values():
+            size = max(len(r[2]) for r in held)
+            gap, kind, on = (np.zeros((len(held), size), x) for x in (np.int64, np.int64, bool))
+            rest = np.zeros(len(held), np.int64)
+            for i, (_, _, at, kinds, n) in enumerate(held):
+                gap[i, : len(at)] = np.diff(at, prepend=-1) - 1
+                kind[i, : len(at)], on[i, : len(at)] = kinds, True
+                rest[i] = n - 1 - (at[-1] if at else -1)
+            self.groups.append((np.array([r[0] for r in held]), np.array([r[1] for r in held], bool), gap, kind, on, rest))
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.owner, weights=weights[self.feature], minlength=self.n_kinds)
+
+    def solve(self, move: np.ndarray, scores: np.ndarray, backward: bool = True) -> Iterator[tuple]:
+        """By group: (group, log Z, marginals of its tokens or None)."""
+        top, ratio, a, b = _powers(move)
+        enter, leave, stay = np.exp(move)
+        for group in self.groups:
+            _, _, gap, kind, on, rest = group
+            across = lambda k: a + (ratio ** k.astype(float))[:, None, None] * b
+            f, log_z, forward, e = np.tile([1.0, 0.0], (len(rest), 1)), np.zeros(len(rest)), [], np.exp(scores[kind]) if len(scores) else np.ones(kind.shape)
+            for k in range(gap.shape[1]):
+                g = np.einsum("di,dij->dj", f, across(gap[:, k]))
+                h = np.stack([g[:, 0] + g[:, 1] * leave, (g[:, 0] * enter + g[:, 1] * stay) * e[:, k]], axis=1)
+                z = h.sum(axis=1)
+                log_z += np.where(on[:, k], np.log(z), 0) + gap[:, k] * math.log(top)
+                f = np.where(on[:, k, None], h / z[:, None], f)
+                forward.append(f)
+            v = across(rest).sum(axis=2)
+            log_z += np.log((f * v).sum(axis=1)) + rest * math.log(top)
+            if not backward:
+                yield group, np.maximum(log_z, 0), None
+                continue
+            marginals = np.zeros(gap.shape)
+            for k in range(gap.shape[1] - 1, -1, -1):
+                p = forward[k] * v
+                marginals[:, k] = np.where(on[:, k], p[:, 1] / p.sum(axis=1), 0)
+                u = np.stack([v[:, 0] + enter * e[:, k] * v[:, 1], leave * v[:, 0] + stay * e[:, k] * v[:, 1]], axis=1)
+                u = np.einsum("dij,dj->di", across(gap[:, k]), u)
+                v = np.where(on[:, k, None], u / u.sum(axis=1, keepdims=True), v)
+            yield group, np.maximum(log_z, 0), marginals
+
+    def expected(self, labels: list[np.ndarray]) -> np.ndarray:
+        """Expected numbers of steps clean to toxic, toxic to clean and toxic to toxic under independent token labels."""
+        out = np.zeros(3)
+        for (_, _, gap, _, on, rest), q in zip(self.groups, labels, strict=True):
+            if not gap.shape[1]:
+                continue
+            before = np.where(gap[:, 1:] == 0, q[:, :-1], 0) * on[:, 1:]
+            before = np.concatenate([np.zeros((len(rest), 1)), before], axis=1)
+            both = (before * q).sum()
+            last = q[np.arange(len(rest)), np.maximum(on.sum(axis=1) - 1, 0)] * (rest == 0)  # nothing comes after these
+            out += [q.sum() - both, q.sum() - both - last.sum(), both]
+        return out
+
+    def log_z(self, move: np.ndarray, scores: np.ndarray) -> float:
+        return sum(float(z.sum()) for _, z, _ in self.solve(move, scores, False))
+
+
+def _fit_chain(m: Model, sample: _Sample, rounds: int = ROUNDS) -> None:
+    """Adam on the likelihood of token labels, re-estimated ESTIMATES times: first every token with features of a toxic document
+    is toxic, then it is as far as the chain says so, given that one token of the document is."""
+    weights, move = np.array(list(m.weights.values())), m.move.copy()
+    n, labels = len(weights), [np.where(g[1][:, None] & g[4], 1.0, 0.0) for g in sample.groups]
+    theta = np.concatenate([weights, move])
+    for _ in range(ESTIMATES):
+        m1, m2, slope, told = 0.0, 0.0, np.zeros(3), sample.expected(labels)
+        for i in range(1, rounds + 1):
+            weights, move = theta[:n], theta[n:]
+            scores, by_kind = sample.scores(weights), np.zeros(sample.n_kinds)
+            for ((_, _, _, kind, on, _), _, marginals), q in zip(sample.solve(move, scores), labels, strict=True):
+                by_kind += np.bincount(kind[on], weights=(q - marginals)[on], minlength=sample.n_kinds)
+            if i % 4 == 1:  # three numbers: differences do
+                now = sample.log_z(move, scores)
+                slope = told - np.array([sample.log_z(move + 1e-4 * np.eye(3)[k], scores) - now for k in range(3)]) / 1e-4
+            g = np.concatenate([np.bincount(sample.feature, weights=by_kind[sample.owner], minlength=n) - RIDGE * weights, slope - RIDGE * (move - m.move)])
+            m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
+            theta = theta + STEP * (m1 / (1 - 0.9**i)) / (np.sqrt(m2 / (1 - 0.99**i)) + 1e-8)
+            theta[n:] = np.clip(theta[n:], -12, 2)
+        scores = sample.scores(theta[:n])
+        labels = [np.where(g[1][:, None], np.minimum(1.0, p / -np.expm1(-np.maximum(z, 1e-9))[:, None]), 0.0) for g, z, p in sample.solve(theta[n:], scores)]
+    m.weights, m.move = dict(zip(m.weights, theta[:n].tolist(), strict=True)), theta[n:]
 
 
 def _fit_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -236,49 +294,50 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     m = Model()
     if len(set(toxic)) < 2:
         return m
-    m.lexicon = learn_lexicon(texts, toxic)
-    tag = _Tagger(m)
-    rows = [(np.array(tag.symbols(t), dtype=np.int8), y) for t, y in zip(texts, toxic, strict=True)]
-    _fit_chain(m, rows)
-    chain, x = _Chain(m), []
-    for s, _ in rows:
-        at = np.flatnonzero(s)
-        x.append(_features(*chain.run(len(s), at.tolist(), s[at].tolist()), len(s)))
+    m.weights = learn_lexicon(texts, toxic)  # where the fit begins
+    shapes = {x for t, y in pairs if y for w in set(t.split()) if any(e in m.weights for e in entries_of(w)) for x in shapes_of(w)}
+    m.weights |= dict.fromkeys(sorted(shapes), 0.0)
+    sample = _Sample(m, texts, toxic)
+    _fit_chain(m, sample)
+    tag, x = _Tagger(m), []
+    for t in texts:
+        x.append(_features(*tag.chain.run(*tag.hits(t.split())), len(t.split())))
     m.calibration = _fit_logistic(np.array(x), np.array(toxic, float))
     return m
 
 
 class _Tagger:
-    """Symbols of words, with a bounded memory of words met before."""
+    """Scores of words, with a bounded memory of words met before."""
 
     MOST = 200_000
 
     def __init__(self, model: Model):
         self.model, self.chain, self.known = model, _Chain(model), {}
 
-    def symbols(self, text: str) -> list[int]:
-        words, known = text.lower().split(), self.known
+    def hits(self, words: list[str]) -> tuple[int, list[int], list[float]]:
+        """How many words there are, and places and scores of those with features."""
+        known = self.known
         if len(known) > self.MOST:
             known.clear()
         try:
-            return [known[w] for w in words]
+            s = [known[w] for w in words]
         except KeyError:
             for w in words:
                 if w not in known:
-                    known[w] = self.model.symbol(w)
-            return [known[w] for w in words]
+                    known[w] = self.model.score(w)
+            s = [known[w] for w in words]
+        at = [k for k, x in enumerate(s) if x]
+        return len(words), at, [s[k] for k in at]
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """Score, and (start, end, probability) of tokens more likely toxic than not; offsets in code points."""
-        s = np.array(self.symbols(text), dtype=np.int8)
-        at = np.flatnonzero(s)
-        log_clean, marginals = self.chain.run(len(s), at.tolist(), s[at].tolist())
-        z = float(_features(log_clean, marginals, len(s)) @ self.model.calibration)
+        n, at, scores = self.hits(text.split())
+        log_clean, marginals = self.chain.run(n, at, scores)
+        z = float(_features(log_clean, marginals, n) @ self.model.calibration)
         spans = []
         if any(p >= 0.5 for p in marginals):
             words = [m.span() for m in _WORD.finditer(text)]
-            if len(words) == len(s):
-                spans = [(*words[k], p) for k, p in zip(at.tolist(), marginals, strict=True) if p >= 0.5]
+            spans = [(*words[k], p) for k, p in zip(at, marginals, strict=True) if p >= 0.5]
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z)))), spans
 
 
@@ -304,10 +363,12 @@ def held_out(doc_id: Column) -> Column:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, most_chars: int = MOST_CHARS) -> Model:
     """A model from the rows of labels (doc_id, toxic) that are not held out: at most about most_toxic + most_clean texts of
-    at most most_chars code points reach the driver, whatever the size of the tables."""
+    at most most_chars code points reach the driver, whatever the size of the tables. Of rows that share an id the least text
+    counts, and the label 1 if there are both; rows without id, text or label are left out."""
     known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = bounded_sample(known.where("toxic = 1"), "doc_id", most_toxic).unionByName(bounded_sample(known.where("toxic = 0"), "doc_id", most_clean))
-    rows = docs.select("doc_id", "text").where(F.length("text") <= most_chars).join(F.broadcast(chosen), "doc_id").select("text", "toxic").orderBy("doc_id").toArrow()
+    rows = docs.select("doc_id", "text").where(F.length("text") <= most_chars).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").select("text", "toxic").toArrow()
     return fit(rows.column(0).to_pylist(), rows.column(1).to_pylist())
 
 
