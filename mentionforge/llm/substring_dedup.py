@@ -12,7 +12,9 @@ minimizers, so windows meet by minimizer and never by pairs of documents:
 4. Blocks mark the bytes of windows that a smaller document holds.
 
 Everything is keyed by hashes of text, each side of a bucket or block is bounded by its share of the corpus, copies are
-collapsed before they are sent, and the only thing collected is one sum of lengths."""
+collapsed before they are sent, and the only thing collected is one sum of lengths. Where there are more buckets or blocks
+than MOST, what is sent to them goes to MOST ranges first and is dealt out from there, so that a row still holds many numbers;
+tasks are MOST at most, each taking its buckets or blocks one after another."""
 
 from __future__ import annotations
 
@@ -34,6 +36,8 @@ WIDTH, GRAM = 50, 20
 REACH = WIDTH - GRAM + 1
 SEGMENT, FLUSH_BYTES, FLUSH_DOCS = (1 << 20) - 64, 16 << 20, 60_000
 BUCKET_RUNS, BLOCK_BYTES = 1_000_000, 8_000_000
+#: Ranges, tasks of a stage, and numbers that a task holds while it deals out a range.
+MOST, DEALT = 16_384, 1_000_000
 _U = np.uint64
 _KEY = (1 << 32) - 1
 _PLACE = _U((1 << 20) - 1)
@@ -119,15 +123,84 @@ def _full(thin: bytes, kind=np.int64) -> np.ndarray:
     return np.cumsum(np.frombuffer(thin, kind), dtype=kind)
 
 
-def _by_block(docs: np.ndarray, keys: np.ndarray, blocks: int) -> Iterator[tuple]:
-    """(block, documents in order, keys) of pairs."""
+def _by_block(docs: np.ndarray, keys: np.ndarray, blocks: int, ranges: int | None = None) -> Iterator[tuple]:
+    """(block, documents in order, keys) of pairs; by ranges of blocks if there are more blocks than ranges."""
     order = np.argsort(docs, kind="stable")
     docs, keys = docs[order], keys[order]
-    for block, at in _split(np.mod(docs, blocks)):
+    kind = np.mod(docs, blocks)
+    for block, at in _split(kind if ranges is None or blocks <= ranges else kind % ranges):
         yield block, _thin(docs[at]), keys[at].astype("<u4").tobytes()
 
 
-def _reduce_texts(buckets: int, blocks: int):
+def _by_bucket(docs: np.ndarray, fp: np.ndarray, many: np.ndarray, buckets: int, ranges: int) -> Iterator[tuple]:
+    """Rows of _RUNS; by ranges of buckets, with whole hashes, if there are more buckets than ranges."""
+    order = np.argsort(docs, kind="stable")
+    docs, fp, many = docs[order], fp[order], many[order]
+    kind, whole = ((fp >> _U(40)) % _U(buckets)).astype(np.int64), buckets > ranges
+    for bucket, at in _split(kind % ranges if whole else kind):
+        used, n = np.unique(docs[at], return_counts=True)
+        keys = fp[at].astype("<u8") if whole else (fp[at] & _U(_KEY)).astype("<u4")
+        yield bucket, None, _thin(used), n.astype("<u4").tobytes(), keys.tobytes(), np.packbits(many[at]).tobytes()
+
+
+def _deal_runs(buckets: int, most: int):
+    """Rows of ranges, sorted by them, to rows of buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out():
+            docs, fp, many = (np.concatenate(x) for x in zip(*held, strict=True))
+            return _batch(_RUNS, list(_by_bucket(docs, fp, many, buckets, buckets)))
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["block"] is not None:
+                    yield _batch(_RUNS, [tuple(r.values())])
+                    continue
+                docs, fp, many = _unpacked(r, "<u8")
+                held.append((docs, fp.astype(_U), many))
+                size += len(docs)
+                if size >= most:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    return run
+
+
+def _unpacked(row: dict, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(documents, keys, whether the sender saw the key in several documents) of a row of _RUNS."""
+    keys = np.frombuffer(row["keys"], kind)
+    many = np.unpackbits(np.frombuffer(row["many"], np.uint8), count=len(keys)).astype(bool)
+    return np.repeat(_full(row["docs"]), np.frombuffer(row["counts"], "<u4")), keys, many
+
+
+def _deal_pairs(blocks: int, most: int):
+    """Rows (range of blocks, 0, docs, keys), sorted by range, to rows of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out():
+            docs, keys = (np.concatenate(x) for x in zip(*held, strict=True))
+            return _batch(_SHARED, [(b, 0, d, k, None) for b, d, k in _by_block(docs, keys, blocks)])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                held.append((_full(r["a"]), np.frombuffer(r["b"], "<u4")))
+                size += len(held[-1][0])
+                if size >= most:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    return run
+
+
+def _reduce_texts(buckets: int, blocks: int, ranges: int):
     """Rows (doc_id, text) to rows for buckets (block null) and rows of pairs known to be shared (block set)."""
 
     def flush(docs: list[int], runs: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -142,16 +215,10 @@ def _reduce_texts(buckets: int, blocks: int):
         start = np.flatnonzero(np.r_[True, fp[1:] != fp[:-1]])
         count = np.diff(np.r_[start, len(fp)])
         shared = np.repeat(count > 1, count)
-        rows = [(k % buckets, b, d, None, x, None) for k, (b, d, x) in enumerate(_by_block(ids[doc[shared]], fp[shared] & _U(_KEY), blocks))]
+        rows = [(k % min(buckets, ranges), b, d, None, x, None) for k, (b, d, x) in enumerate(_by_block(ids[doc[shared]], fp[shared] & _U(_KEY), blocks, ranges))]
         if rows:
             yield _batch(_RUNS, rows)
-        doc, fp, many, rows = doc[start], fp[start], count > 1, []
-        order = np.argsort(doc, kind="stable")
-        doc, fp, many = doc[order], fp[order], many[order]
-        for bucket, at in _split(((fp >> _U(40)) % _U(buckets)).astype(np.int64)):
-            used, n = np.unique(doc[at], return_counts=True)
-            rows.append((bucket, None, _thin(ids[used]), n.astype("<u4").tobytes(), (fp[at] & _U(_KEY)).astype("<u4").tobytes(), np.packbits(many[at]).tobytes()))
-        yield _batch(_RUNS, rows)
+        yield _batch(_RUNS, list(_by_bucket(ids[doc[start]], fp[start], count > 1, buckets, ranges)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, runs, size, texts, waiting = [], [], 0, [], 0
@@ -202,7 +269,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict
         yield key, rows
 
 
-def _answer_buckets(blocks: int):
+def _answer_buckets(blocks: int, ranges: int):
     """Bucket rows to rows (block, 0, docs, keys) of the minimizers that two documents share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,9 +279,8 @@ def _answer_buckets(blocks: int):
                 yield _batch(_SHARED, known)
             docs, keys, many = [], [], []
             for r in (r for r in rows if r["block"] is None):
-                keys.append(np.frombuffer(r["keys"], "<u4"))
-                docs.append(np.repeat(_full(r["docs"]), np.frombuffer(r["counts"], "<u4")))
-                many.append(np.unpackbits(np.frombuffer(r["many"], np.uint8), count=len(keys[-1])).astype(bool))
+                for held, x in zip((docs, keys, many), _unpacked(r, "<u4"), strict=True):
+                    held.append(x)
             if not docs:
                 continue
             docs, keys, many = np.concatenate(docs), np.concatenate(keys), np.concatenate(many)
@@ -224,7 +290,7 @@ def _answer_buckets(blocks: int):
             count = np.diff(np.r_[start, len(keys)])
             shared = (np.minimum.reduceat(docs, start) != np.maximum.reduceat(docs, start)) | np.maximum.reduceat(many, start)
             tell = np.repeat(shared, count) & ~many
-            out = [(b, 0, d, k, None) for b, d, k in _by_block(docs[tell], keys[tell], blocks)]
+            out = [(b, 0, d, k, None) for b, d, k in _by_block(docs[tell], keys[tell], blocks, ranges)]
             if out:
                 yield _batch(_SHARED, out)
 
@@ -456,12 +522,18 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4, int(total * 2 / REACH / BUCKET_RUNS) + 1)
     blocks = max(4, int(total / BLOCK_BYTES) + 1) | 1
-    runs = map_in_arrow(plain, _reduce_texts(buckets, blocks), _RUNS_DDL)
-    shared = map_in_arrow(runs.repartition(buckets, "bucket").sortWithinPartitions("bucket"), _answer_buckets(blocks), _SHARED_DDL)
-    texts = known.withColumn("_block", F.pmod(F.col("doc_id").cast("long"), F.lit(blocks))).repartition(blocks, "_block")
-    fragments = texts.groupBy("_block").cogroup(shared.repartition(blocks, "block").groupBy("block")).applyInArrow(_cut_fragments(buckets), _FRAGMENTS_DDL)
-    solved = map_in_arrow(fragments.repartition(buckets, "bucket").sortWithinPartitions("bucket"), _solve, _SHARED_DDL)
-    told = shared.unionByName(solved).repartition(blocks, "block")
+    dealt = lambda df, key, n: df.repartition(min(n, MOST), key).sortWithinPartitions(key)
+    runs = map_in_arrow(plain, _reduce_texts(buckets, blocks, MOST), _RUNS_DDL)
+    if buckets > MOST:
+        runs = map_in_arrow(dealt(runs, "bucket", buckets), _deal_runs(buckets, DEALT), _RUNS_DDL)
+    shared = map_in_arrow(dealt(runs, "bucket", buckets), _answer_buckets(blocks, MOST), _SHARED_DDL)
+    if blocks > MOST:
+        shared = map_in_arrow(dealt(shared, "block", blocks), _deal_pairs(blocks, DEALT), _SHARED_DDL)
+    tasks = min(blocks, MOST)
+    texts = known.withColumn("_block", F.pmod(F.col("doc_id").cast("long"), F.lit(blocks))).repartition(tasks, "_block")
+    fragments = texts.groupBy("_block").cogroup(shared.repartition(tasks, "block").groupBy("block")).applyInArrow(_cut_fragments(buckets), _FRAGMENTS_DDL)
+    solved = map_in_arrow(dealt(fragments, "bucket", buckets), _solve, _SHARED_DDL)
+    told = shared.unionByName(solved).repartition(tasks, "block")
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(_OUT_DDL).fields])
     out = texts.groupBy("_block").cogroup(told.groupBy("block")).applyInArrow(_mark(digest), schema)
     whole = F.coalesce(F.encode("text", "utf-8"), F.lit(b""))

@@ -1,4 +1,4 @@
-"""Suffix sorting by grouping, in linear time and without recursive renaming.
+"""Suffix sorting by grouping, without recursive renaming; linear but for the sorting of members that move to a new group.
 
 Phase 1 groups suffixes by their Lyndon prefix: groups are taken in descending order, each suffix of a group finds its
 previous smaller suffix, and the suffixes pointed to move to new groups right above their old ones, by how often they were

@@ -458,8 +458,11 @@ def brute_repeats(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_repeats_match_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "runs", "size", "most"), [(0, 10**6, 8 * 10**6, 16_384), (1, 10**6, 8 * 10**6, 16_384), (2, 100, 900, 16_384), (3, 60, 700, 3), (4, 60, 700, 1)])
+def test_repeats_match_brute_force(spark, monkeypatch, seed, runs, size, most):
+    """Whole, in many buckets and blocks, and in more of them than ranges."""
+    for name, value in (("BUCKET_RUNS", runs), ("BLOCK_BYTES", size), ("MOST", most), ("DEALT", 500 if most < 4 else 10**6)):
+        monkeypatch.setattr(substring_dedup, name, value)
     r = random.Random(seed)
     passage = ["".join(r.choice("abcdé \0") for _ in range(n)) for n in (49, 50, 51, 90, 200, 700)]
     texts = [None, "", "a" * 49, "a" * 50, "a" * 300, "ab" * 200, "\n" * 120, "\0" * 130, "a\0" * 60]
@@ -650,23 +653,74 @@ def test_unigram_models_get_a_best_path(spark, tmp_path, chunk):
 # --- pipeline
 
 
-def test_pipeline_stages(spark):
+def test_pipeline_equals_brute_force(spark):
+    """Every stage on what its predecessor kept, against plain Python."""
     import corpus_pipeline
+    import public_tokenizers
     from tests.oracle import SMALL
+    from tokenizers import Tokenizer
 
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    columns, n = docs.columns, docs.count()
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, SMALL)
-        assert docs.columns == columns
-        docs = docs.persist()
-        assert 0 < docs.count() <= n
-        n = docs.count()
-    packed = corpus_pipeline.run(spark, SMALL)
-    assert packed.select("doc_id").distinct().count() == n
-    want = {r.doc_id: r.text for r in docs.collect()}
-    enc = packing.encoding()
-    assert {r.doc_id: r.doc_tokens for r in packed.collect()} == {d: len(enc.encode_ordinary(t or "")) + 1 for d, t in want.items()}
+    docs, stages = spark.read.parquet(f"{SMALL}/documents.parquet"), dict(corpus_pipeline.STAGES)
+    columns = docs.columns
+    of = lambda df: {r.doc_id: r for r in df.collect()}
+
+    def step(name, docs):
+        out = stages[name](spark, docs, SMALL).persist()
+        assert out.columns == columns and out.count() == out.select("doc_id").distinct().count()
+        return out, of(docs), of(out)
+
+    kept, before, after = step("toxicity", docs)
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    learned = [i for i in sorted(labels) if i in before and zlib.crc32(str(i).encode()) % 5 and before[i].text is not None and len(before[i].text) <= toxicity.MOST_CHARS]
+    tag = toxicity._Tagger(toxicity.fit([before[i].text for i in learned], [labels[i] for i in learned]))
+    assert after == {i: r for i, r in before.items() if tag.score(r.text or "")[0] < 0.5}
+
+    kept, before, after = step("minhash_dedup", kept)
+    order = sorted(before)
+    root, _ = jaccard_components([before[i].text for i in order], 5, 80)
+    assert after == {i: before[i] for k, i in enumerate(order) if root[k] == k}
+
+    kept, before, after = step("suffix_array_dedup", kept)
+    left = {d: gone for d, _, gone, _ in brute_repeats([(i, (r.text or "").encode()) for i, r in before.items()])}
+    for i, r in before.items():
+        text, gone = (r.text or "").encode(), set(left[i])
+        want = bytes(b for k, b in enumerate(text) if k not in gone).decode("utf-8", "ignore") if gone else r.text
+        assert tuple(after[i]) == tuple((before[i].asDict() | {"text": want, "n_chars": len(want) if gone else r.n_chars}).values())
+    assert set(after) == set(before)
+
+    kept, before, after = step("secret_scans", kept)
+    spans = {i: (b := secret_scan.base_spans(r.text or "")) + secret_scan.opaque_spans(r.text or "", b) for i, r in before.items()}
+    owners, places = {}, {}
+    for i, found in spans.items():
+        for _, _, _, s in found:
+            owners.setdefault(s, set()).add(before[i].source or "")
+            places.setdefault(s, set()).add((before[i].source or "", before[i].lang or ""))
+    for i, r in before.items():
+        text, at = "", 0
+        for a, _, e, s in sorted(spans[i]):
+            if len(owners[s]) < secret_scan.COPIED_OWNERS and len(places[s]) < secret_scan.COPIED_REPOSITORIES:
+                if a >= at:
+                    text += r.text[at:a] + "[REDACTED]"
+                at = max(at, e)
+        assert after[i].text == (text + r.text[at:] if at else r.text)
+    assert set(after) == set(before)
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces, sequences = {}, {}
+    for p in corpus_pipeline.run(spark, SMALL).collect():
+        pieces.setdefault(p.doc_id, []).append((p.start, p.length, p.ids_crc32, p.doc_tokens))
+        sequences.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    assert set(pieces) == set(after)
+    for i, r in after.items():
+        ids = [*t.encode(r.text or "", add_special_tokens=False).ids, 0]
+        at = 0
+        for start, n, crc, total in sorted(pieces[i]):
+            assert (start, total, crc) == (at, len(ids), zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes()))
+            at += n
+        assert at == len(ids)
+    for held in sequences.values():
+        ends = np.cumsum([0] + [n for _, n in sorted(held)])
+        assert [o for o, _ in sorted(held)] == ends[:-1].tolist() and ends[-1] <= 1024
 
 
 def test_stages_take_odd_rows_and_empty_tables(spark):
