@@ -69,7 +69,7 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 def _sketcher(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, texts, hashes = batch.column(0), batch.column(1), batch.column(2)
             for at in range(0, batch.num_rows, 512):
                 n, h1, h2, bands = [], [], [], []
                 for t in texts.slice(at, 512):
@@ -80,7 +80,7 @@ def _sketcher(width: int):
                     h2.append(int(d[1]))
                     bands.append(band_keys(s).view(np.int64) if len(s) else np.empty(0, np.int64))
                 offsets = np.cumsum([0, *map(len, bands)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([ids.slice(at, 512), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(offsets, np.concatenate(bands))], ["doc_id", "n", "h1", "h2", "bands"])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, 512), hashes.slice(at, 512), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(offsets, np.concatenate(bands))], ["doc_id", "text_hash", "n", "h1", "h2", "bands"])
 
     return run
 
@@ -169,14 +169,14 @@ def _confirm_large(large: DataFrame, links: DataFrame, percent: int) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs.
+    """(doc_id, n_shingles, component_id, kept, text_hash) for every row of docs.
 
     Texts are linked with 100 * intersection >= percent * union of their shingle sets; component_id is the smallest id
     reachable. Null or word-less texts have no shingles and are their own component; repeated rows share theirs; a row
     without id has a null component and is kept; other columns are not read; empty tables give empty tables. A link of
     exactly `percent` is found with probability 1 - 3e-6 (42 bands of 3 minima and 3 maxima), surer links more surely."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = saved(map_in_arrow(base, _sketcher(width), "doc_id bigint, n bigint, h1 bigint, h2 bigint, bands array<bigint>"), "sketch")
+    sketch = saved(map_in_arrow(base.withColumn("text_hash", F.xxhash64("text")), _sketcher(width), "doc_id bigint, text_hash bigint, n bigint, h1 bigint, h2 bigint, bands array<bigint>"), "sketch")
     full = sketch.where("n > 0 and doc_id is not null")
     classes = full.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
     classes = saved(classes, "classes")
@@ -195,18 +195,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         links = saved(_confirm_large(saved(sets.join(big, "grp"), "large"), links, percent), "links")
     roots = components(links)
     out = sketch.join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"], "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id"), "text_hash")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), width=4, percent=80)
+    return near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), width=4, percent=80).drop("text_hash")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without the rows that near_duplicates drops; of repeated rows of one id, all stay or go together."""
-    gone = near_duplicates(docs, **options).where("not kept").select("doc_id").distinct().hint("merge")  # grows with the table
-    return docs.join(gone, "doc_id", "left_anti")
+    """docs without the rows that near_duplicates drops. Repeated rows of one id and text stay or go together; rows that share an
+    id but not the text are judged each by its own."""
+    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct().hint("merge")  # grows with the table
+    return docs.join(gone, (docs["doc_id"] == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
 
 
 OP3_SQL = r"""

@@ -183,6 +183,13 @@ def test_near_duplicates_without_ids_or_rows(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in rows) == [(-1, -1, True), (4, 4, True), (4, 4, True)]
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    copied, other = word_salad(60, 1, 10**6), word_salad(60, 2, 10**6)
+    docs = frame(spark, [copied, copied, other, copied, None, copied], [1, 3, 3, 3, 3, None])
+    kept = sorted((r.doc_id or -1, r.text or "") for r in minhash_dedup.keep_one(docs).collect())
+    assert kept == sorted([(1, copied), (3, other), (3, ""), (-1, copied)])
+
+
 # --- op4
 
 
