@@ -14,6 +14,8 @@ from mentionforge.llm.common import table
 #: The strings that mark turns here, and those of other common templates, which texts must not fake.
 START, MESSAGE, TURN, END = "<|im_start|>", "<|message|>", "<|turn|>", "<|im_end|>"
 FOREIGN = ("</s>", "<s>", "[INST]", "[/INST]", "<|endoftext|>", "<|system|>", "<|user|>", "<|assistant|>")
+#: Turns that are summed up together.
+BLOCK = 256
 
 
 def _quoted(s: str) -> str:
@@ -50,6 +52,7 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
         return F.struct(head.alias("head"), escape(at(i)["text"]).alias("body"), F.when(same_after, F.lit("")).otherwise(F.lit(END)).alias("tail"), (role_of(i) == loss_role).alias("loss"))
 
     c = c.withColumn("_p", F.transform(F.sequence(F.lit(1), n), piece))
+    # turns are summed up in blocks, blocks then one after another: no array grows by one entry as often as there are turns
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
 
     def step(acc: Column, p: Column) -> Column:
@@ -58,8 +61,11 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
         span = F.array(F.struct(begin.alias("start"), end.alias("end")))
         return F.struct((end + F.length(p["tail"])).alias("at"), F.when(p["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
+    c = c.withColumn("_b", F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice("_p", b * BLOCK + 1, F.lit(BLOCK)), start, step)))
+    c = c.withColumn("_s", F.aggregate("_b", F.array(F.lit(0).cast("long")), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + b["at"]))))
+    spans = F.flatten(F.transform("_b", lambda b, k: F.transform(b["spans"], lambda x: F.struct((x["start"] + F.get("_s", k)).alias("start"), (x["end"] + F.get("_s", k)).alias("end")))))
     formatted = F.array_join(F.transform("_p", lambda p: F.concat(p["head"], p["body"], p["tail"])), "")
-    return c.select("conv_id", formatted.alias("formatted"), F.aggregate("_p", start, step, lambda acc: acc["spans"]).alias("loss_spans"))
+    return c.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:
@@ -115,4 +121,3 @@ SELECT conv_id, count(*)::BIGINT n_turns,
   sum(n + CASE WHEN joined THEN {len(TURN)} ELSE r + {len(START) + len(MESSAGE) + len(END)} END)::BIGINT formatted_chars
 FROM e GROUP BY conv_id
 """
-OP1_SQL = None

@@ -46,51 +46,55 @@ THRESHOLDS = (
 def _repeat_words(words: Column, width: int = 8) -> Column:
     """Words inside windows of `width` words that occur twice or more in the text.
 
-    Texts whose window hashes all differ end there. The others sort (window text, start), keep the starts whose
-    neighbour has the same text, and add up the union of the windows: n log n, and exact."""
+    Texts whose window hashes all differ end there. The others sort (hash, start); windows that share their hash with a neighbour
+    are written out and sorted as (window text, start), so that only equal texts count; and the union of those windows is
+    added up: n log n, exact, and no more text than the repeated windows hold."""
     n = F.size(words)
     starts = F.sequence(F.lit(1), n - width + 1)
     hashes = F.transform(starts, lambda i: F.xxhash64(*[F.element_at(words, (i + k).cast("int")) for k in range(width)]))
-    ordered = F.array_sort(F.transform(starts, lambda i: F.struct(F.array_join(F.slice(words, i, width), " ").alias("w"), i.alias("i"))))
-    size = n - width + 1
+    let = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731  binds a value once
 
-    def again(o: Column) -> Column:
-        at = F.sequence(F.lit(1), size)
+    def repeated(o: Column) -> Column:
+        """Starts i, in order of o, of a sorted array of (w, i) whose w is a neighbour's too."""
+        size = F.size(o)
         same = lambda k, d: F.element_at(o, k + d)["w"] == F.element_at(o, k)["w"]
-        kept = F.filter(at, lambda k: F.when(k > 1, same(k, -1)).otherwise(F.lit(False)) | F.when(k < size, same(k, 1)).otherwise(F.lit(False)))
-        return F.array_sort(F.transform(kept, lambda k: F.element_at(o, k)["i"]))
+        kept = F.filter(F.sequence(F.lit(1), size), lambda k: F.when(k > 1, same(k, -1)).otherwise(F.lit(False)) | F.when(k < size, same(k, 1)).otherwise(F.lit(False)))
+        return F.transform(F.when(size > 0, kept).otherwise(F.array().cast("array<int>")), lambda k: F.element_at(o, k)["i"])
 
     def union(s: Column) -> Column:
         m = F.size(s)
-        return F.aggregate(
+        total = F.aggregate(
             F.sequence(F.lit(1), m),
             F.lit(0).cast("long"),
             lambda acc, k: acc + F.when(k < m, F.least(F.lit(width), F.element_at(s, k + 1) - F.element_at(s, k))).otherwise(F.lit(width)),
         )
+        return F.when(m > 0, total).otherwise(F.lit(0).cast("long"))
 
-    let = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731  binds a value once
-    slow = let(ordered, lambda o: let(again(o), union))
-    distinct = let(hashes, lambda h: F.size(F.array_distinct(h)) == F.size(h))
-    return F.when(n < width + 1, F.lit(0).cast("long")).when(distinct, F.lit(0).cast("long")).otherwise(slow)
+    written = lambda s: F.array_sort(F.transform(s, lambda i: F.struct(F.array_join(F.slice(words, i, width), " ").alias("w"), i.alias("i"))))
+    by_hash = lambda h: F.array_sort(F.transform(h, lambda x, k: F.struct(x.alias("w"), (k + 1).alias("i"))))
+    slow = lambda h: let(by_hash(h), lambda o: let(repeated(o), lambda c: let(written(c), lambda p: let(F.array_sort(repeated(p)), union))))
+    some = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(slow(h)))
+    return F.when(n < width + 1, F.lit(0).cast("long")).otherwise(some)
 
 
 def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the counts that the thresholds use: one projection, no shuffle, no user function."""
     t = F.coalesce(F.col(text), F.lit(""))
     plain = "|".join(STOP_WORDS)
-    step = docs.withColumn("_w", words_of(F.col(text))).withColumn("_l", F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE}]")))
-    joined = F.array_join("_w", " ")
+    w, lines = (next(x for x in (name + "_" * k for k in range(len(docs.columns) + 1)) if x not in docs.columns) for name in ("_w", "_l"))
+    step = docs.withColumn(w, words_of(F.col(text))).withColumn(lines, F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE}]")))
+    joined = F.array_join(w, " ")
     step = step.withColumns({
-        "n_words": F.size("_w").cast("long"),
-        "word_chars": F.length(F.array_join("_w", "")).cast("long"),
+        "n_words": F.size(w).cast("long"),
+        "word_chars": F.length(F.array_join(w, "")).cast("long"),
         "n_symbols": F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long"),
-        "n_lines": F.size("_l").cast("long"),
-        "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
+        "n_lines": F.size(lines).cast("long"),
+        "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_letter_words": F.regexp_count(joined, F.lit(r"(?<![^ ])[^ ]*?\p{L}[^ ]*+")).cast("long"),
         "n_stop_words": F.regexp_count(joined, F.lit(rf"(?i)(?<![^ ])(?:{plain})[.,;:!?]*+(?![^ ])")).cast("long"),
-        "n_repeat_words": _repeat_words(F.col("_w")),
+        "n_repeat_words": _repeat_words(F.col(w)),
     })
-    return step.drop("_w", "_l")
+    return step.drop(w, lines)
 
 
 def quality_rules(docs: DataFrame, thresholds: tuple[Threshold, ...] = THRESHOLDS, text: str = "text", most_repeat_percent: int = 30, least_words: int = 20) -> DataFrame:

@@ -137,6 +137,24 @@ def test_quality_counts_match_brute_force(spark):
         assert not (r.kept and r.base_failed)
 
 
+def test_quality_of_odd_tables(spark):
+    docs = frame(spark, ["a b c d e f g h i j " * 8, None]).withColumn("_w", F.lit(1)).withColumn("_l", F.lit("x")).withColumn("n_words", F.lit(-1)).withColumn("failed_rules", F.lit(2))
+    rows = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
+    assert (rows[0]._w, rows[0]._l, rows[0].n_words, rows[0].n_repeat_words) == (1, "x", 80, 80)
+    assert (rows[1].n_words, rows[1].base_failed, rows[1].kept) == (0, True, False)
+    empty = quality_rules.quality_rules(docs.where("false"))
+    assert empty.count() == 0 and set(docs.columns) <= set(empty.columns)
+
+
+def test_repeated_windows_of_random_texts(spark):
+    r = random.Random(9)
+    texts = [" ".join(r.choice("abc"[: r.randrange(1, 4)]) for _ in range(r.randrange(1, 60))) for _ in range(80)]
+    for x in quality_rules.quality_rules(frame(spark, texts)).collect():
+        w = texts[x.doc_id].split()
+        grams = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+        assert x.n_repeat_words == len({i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(8)})
+
+
 # --- op3
 
 
@@ -376,6 +394,17 @@ def test_chat_round_trip_and_loss(spark):
     assert chat_format.format_conversations(df.where("false")).count() == 0
 
 
+def test_loss_of_long_conversations(spark, monkeypatch):
+    """More turns than one block holds, in every combination of roles; spans are those of a plain loop."""
+    r = random.Random(2)
+    rows = [(c, k, r.choice(["user", "assistant", "assistant", "tool"]), r.choice(["", "é𐍈", "<|turn|>", "ok " * 3])) for c, n in ((1, 700), (2, 256), (3, 257), (4, 1)) for k in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    f = chat_format.format_conversations(df)
+    for x in f.select("*", chat_format.read_back(F.col("formatted")).alias("back"), chat_format.loss_texts(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect():
+        want = [(role, t) for c, _, role, t in rows if c == x.conv_id]
+        assert [tuple(t) for t in x.back] == want and x.loss == [t for role, t in want if role == "assistant"]
+
+
 # --- op7
 
 
