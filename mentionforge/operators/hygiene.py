@@ -12,54 +12,69 @@ from mentionforge.functions import text as t
 from mentionforge.operators.graph import connected, materialize
 
 
-def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, h, key): hashes of a document's shingles and the digest of their set; documents without shingles are left out."""
-    sets = docs.select("doc_id", F.array_distinct(F.transform(t.shingles(F.col("text"), width), lambda x: F.xxhash64(x))).alias("h")).where(F.size("h") > 0)
-    return sets.withColumn("key", F.sha2(F.array_join(F.array_sort("h").cast("array<string>"), ","), 256))
-
-
-def near_duplicate_members(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, representative) of every document (doc_id, text) with shingles: the smallest id of those with an equal set.
-
-    near_duplicate_pairs pairs representatives; a pair of documents is near if they share one or if their representatives are paired."""
-    keyed = materialize(_shingle_sets(docs, width).select("doc_id", "key"), "members")
-    reps = keyed.groupBy("key").agg(F.min("doc_id").alias("representative"))
-    return keyed.join(reps, "key").select("doc_id", "representative")
-
-
-def near_duplicate_pairs(docs: DataFrame, jaccard: float = 0.85, least_excerpt: int = 6, width: int = 5) -> DataFrame:
-    """(a, b, jaccard, reason) of documents (doc_id, text) whose shingle sets nearly agree or contain one another.
-
-    Exact, by prefix filtering: a set is ordered by how rare its shingles are; two sets of Jaccard j share one of the first
-    n - ceil(j * n) + 1 of each, and a contained set of six or more shingles has its rarest among the other's. So only rare
-    shingles are joined on, equal sets meet once (near_duplicate_members says who they are), and candidates are confirmed by the
-    sizes of their intersections."""
-    # hashes of shingles find candidates; the shingles themselves, of candidates only, confirm them
-    keyed = materialize(_shingle_sets(docs, width), "shingles")
-    reps = keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    reps = keyed.join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.size("h").alias("n"), "h")
-    items = reps.select("rep", "n", F.explode("h").alias("g"))
-    rare = items.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = items.join(rare, "g", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    ranked = materialize(ranked.withColumn("k", F.row_number().over(W.partitionBy("rep").orderBy("df", "g"))), "ranked")
-    first = ranked.where((F.col("k") <= F.col("n") - F.ceil(F.lit(jaccard) * F.col("n")) + 1) & (F.col("df") > 1))
+#: A shingle that more sets than this hold comes last in the order of rarity.
+COMMON = 100
+
+
+def shingle_classes(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(members, classes) of documents (doc_id, text) by equal sets of shingles: (doc_id, representative), the smallest id of
+    them, and (rep, n, size, h), with a set's size, how many documents hold it, and the sorted 64-bit hashes of its shingles.
+
+    Documents without shingles (null, empty or shorter texts) and rows without id are in neither; repeated rows count once."""
+    let = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731  binds a value once
+    some = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.xxhash64(*[F.element_at(w, (i + k).cast("int")) for k in range(width)]))
+    hashes = let(F.transform(t.words(F.col("text")), lambda x: F.xxhash64(x)), lambda w: F.when(F.size(w) >= width, F.sort_array(F.array_distinct(some(w)))))
+    sets = materialize(docs.where("doc_id is not null").select("doc_id", hashes.alias("h")).where("h is not null"), "sets")
+    keyed = sets.select("doc_id", F.struct(F.size("h"), F.xxhash64("h"), F.xxhash64(F.lit(1), "h")).alias("key")).distinct()
+    same = materialize(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "classes")
+    members = keyed.join(same, "key").select("doc_id", F.col("rep").alias("representative"))
+    first = sets.join(same.select("rep", "size", F.col("key").alias("_k")), (F.col("doc_id") == F.col("rep")) & (F.xxhash64("h") == F.col("_k.col2")))
+    return members, materialize(first.dropDuplicates(["rep", "_k"]).select("rep", F.size("h").alias("n"), "size", "h"), "representatives")
+
+
+def near_class_pairs(classes: DataFrame, jaccard: float = 0.85, least_excerpt: int = 6) -> DataFrame:
+    """(a, b, jaccard, reason) of classes of shingle_classes whose sets nearly agree or contain one another.
+
+    Exact, by prefix filtering: with sets in one order, two of Jaccard j share one of the first n - ceil(j * n) + 1 of each, and
+    the first of a contained set is among the other's. The order is by hash, but for shingles of more than COMMON sets, which
+    come last and so are joined on only where a set has little else. Candidates are confirmed by the sizes of their
+    intersections. Sets that differ make a pair each, so the result grows with the square of a group of unlike near copies."""
+    common = materialize(classes.select(F.explode("h").alias("g")).groupBy("g").agg(F.count("*").alias("df")).where(F.col("df") > COMMON).select("g"), "common")
+    held = classes.select("rep", F.explode("h").alias("g")).join(common, "g").groupBy("rep").agg(F.sort_array(F.collect_list("g")).alias("_c"))
+    order = F.when(F.col("_c").isNull(), F.col("h")).otherwise(F.concat(F.array_except("h", "_c"), "_c"))
+    ranked = classes.join(held, "rep", "left").select("rep", "n", order.alias("o"))
+    ranked = materialize(ranked.select("rep", "n", F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.lit(jaccard) * F.col("n")) + 1).cast("int")).alias("p")), "prefixes")
+    first = ranked.select("rep", "n", F.explode("p").alias("g"))
     a, b = first.select("g", F.col("rep").alias("a"), F.col("n").alias("na")), first.select("g", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    near = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(jaccard) * F.greatest("na", "nb"))).select("a", "b").distinct()
-    seed = ranked.where((F.col("k") == 1) & (F.col("n") >= least_excerpt) & (F.col("df") > 1)).select("g", F.col("rep").alias("x"), F.col("n").alias("nx"))
-    held = ranked.where("df > 1").select("g", F.col("rep").alias("y"), F.col("n").alias("ny"))
-    inside = seed.join(held, "g").where((F.col("x") != F.col("y")) & (F.col("nx") <= F.col("ny"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = near.unionByName(inside).distinct()
-    pairs = materialize(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = docs.join(ids, "doc_id", "left_semi").select("doc_id", t.shingles(F.col("text"), width).alias("s")).dropDuplicates(["doc_id"])
-    left, right = held.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), held.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("sa", "sb"))).withColumn("na", F.size("sa")).withColumn("nb", F.size("sb"))
-    both = both.withColumn("jaccard", F.col("i") / (F.col("na") + F.col("nb") - F.col("i")))
+    near = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(jaccard) * F.greatest("na", "nb"))).select("a", "b")
+    seed = ranked.where(F.col("n") >= least_excerpt).select(F.element_at("p", 1).alias("g"), F.col("rep").alias("x"), F.col("n").alias("nx"))
+    every = classes.select(F.explode("h").alias("g"), F.col("rep").alias("y"), F.col("n").alias("ny"))
+    inside = seed.join(every, "g").where((F.col("x") != F.col("y")) & (F.col("nx") < F.col("ny"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = materialize(near.unionByName(inside).distinct(), "pairs")
+    left, right = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("h").alias("ha")), classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("h").alias("hb"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("ha", "hb"))).withColumn("jaccard", F.col("i") / (F.col("na") + F.col("nb") - F.col("i")))
     excerpt = (F.least("na", "nb") >= least_excerpt) & (F.col("i") == F.least("na", "nb"))
     found = both.where((F.col("jaccard") >= jaccard) | excerpt)
     return found.select("a", "b", "jaccard", F.when(F.col("jaccard") >= jaccard, F.lit("near_duplicate")).otherwise(F.lit("excerpt_overlap")).alias("reason"))
 
 
+def near_duplicate_pairs(docs: DataFrame, jaccard: float = 0.85, least_excerpt: int = 6, width: int = 5) -> DataFrame:
+    """near_class_pairs of documents (doc_id, text). Equal sets meet once, by the smallest id that holds them;
+    near_duplicate_members says who they stand for. Pairs of one work group are pairs here too."""
+    return near_class_pairs(shingle_classes(docs, width)[1], jaccard, least_excerpt)
+
+
+def near_duplicate_members(docs: DataFrame, jaccard: float = 0.85, least_excerpt: int = 6, width: int = 5) -> DataFrame:
+    """(doc_id, representative, n_links) of every document (doc_id, text) with shingles: the smallest id of those with an equal set,
+    and how many other documents it is near to: those of its own class and of the classes that near_duplicate_pairs pairs with it."""
+    members, classes = shingle_classes(docs, width)
+    pairs = near_class_pairs(classes, jaccard, least_excerpt)
+    size = classes.select(F.col("rep").alias("b"), F.col("size").alias("m"))
+    links = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(size, "b").groupBy("a").agg(F.sum("m").alias("m"))
+    counts = classes.join(links.withColumnRenamed("a", "rep"), "rep", "left").select(F.col("rep").alias("representative"), (F.col("size") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"))
+    return members.join(counts, "representative").select("doc_id", "representative", "n_links")
+
+
 def work_groups(docs: DataFrame, identifiers: DataFrame) -> DataFrame:
     """(doc_id, work_id): documents linked by an identifier (doc_id, key) or by equal text with white space collapsed.
 

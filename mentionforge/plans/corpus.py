@@ -8,19 +8,19 @@ from mentionforge.plans.catalog import query
 
 _WORDS = r"regexp_extract_all(lower(text), '[\pL\pM\p{Nd}\p{Pc}]+')"
 _SETS = f"w AS (SELECT doc_id, {_WORDS} ws FROM documents), s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) < 5 THEN []::VARCHAR[] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END)) g FROM w)"
-_REPS = "k AS (SELECT doc_id, sha256(string_agg(g, chr(1) ORDER BY g)) h FROM s GROUP BY doc_id), r AS (SELECT min(doc_id) doc_id FROM k GROUP BY h), q AS (SELECT s.* FROM s SEMI JOIN r USING (doc_id)), n AS (SELECT doc_id, count(*) n FROM q GROUP BY doc_id)"
-_PAIRS = f"""{_SETS}, {_REPS}, p AS (SELECT a.doc_id a, b.doc_id b, count(*) i FROM q a JOIN q b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
-j AS (SELECT a, b, i / (x.n + y.n - i) jaccard, i, x.n na, y.n nb FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b)"""
+#: Every pair of documents, and the smallest id of each equal set.
+_PAIRS = f"""{_SETS}, n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id), p AS (SELECT a.doc_id a, b.doc_id b, count(*) i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+j AS (SELECT a, b, i / (x.n + y.n - i) jaccard, i, x.n na, y.n nb FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b),
+near AS (SELECT a, b, jaccard, CASE WHEN jaccard >= 0.85 THEN 'near_duplicate' ELSE 'excerpt_overlap' END AS reason FROM j WHERE jaccard >= 0.85 OR (least(na, nb) >= 6 AND i = least(na, nb))),
+r AS (SELECT n.doc_id, least(n.doc_id, coalesce(min(e.a), n.doc_id)) r FROM n LEFT JOIN j e ON e.b = n.doc_id AND jaccard = 1 GROUP BY n.doc_id)"""
 
 
-@query("near_dup_pairs", f"""
-WITH {_PAIRS} SELECT a, b, jaccard, CASE WHEN jaccard >= 0.85 THEN 'near_duplicate' ELSE 'excerpt_overlap' END AS reason FROM j WHERE jaccard >= 0.85 OR (least(na, nb) >= 6 AND i = least(na, nb))
-""")
+@query("near_dup_pairs", f"WITH {_PAIRS} SELECT DISTINCT least(x.r, y.r) AS a, greatest(x.r, y.r) AS b, jaccard, reason FROM near JOIN r x ON x.doc_id = a JOIN r y ON y.doc_id = b WHERE x.r <> y.r")
 def near_dup_pairs(load):
     return hy.near_duplicate_pairs(load("documents").select("doc_id", "text"))
 
 
-@query("near_dup_members", f"WITH {_SETS}, k AS (SELECT doc_id, sha256(string_agg(g, chr(1) ORDER BY g)) h FROM s GROUP BY doc_id) SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS representative FROM k")
+@query("near_dup_members", f"WITH {_PAIRS}, k AS (SELECT doc_id, count(*) k FROM (SELECT a doc_id FROM near UNION ALL SELECT b FROM near) GROUP BY doc_id) SELECT doc_id, r AS representative, coalesce(k, 0)::BIGINT AS n_links FROM r LEFT JOIN k USING (doc_id)")
 def near_dup_members(load):
     return hy.near_duplicate_members(load("documents").select("doc_id", "text"))
 

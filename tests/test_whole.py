@@ -1,5 +1,6 @@
 """Queries and operators do the whole job: no copy, row or part of a text is left out."""
 
+import random
 import re
 
 import __spark_entry__ as entry
@@ -10,13 +11,41 @@ def test_copies_keep_their_links(spark):
     base = [f"w{k}" for k in range(100)]
     texts = [" ".join(base), " ".join(base).upper(), ", ".join(base), " ".join(base + ["more"]), " ".join(base + ["MORE"]), "six words of some other text", "too short"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    member = {r.doc_id: r.representative for r in hygiene.near_duplicate_members(docs).collect()}
+    rows = hygiene.near_duplicate_members(docs).collect()
+    member, n_links = {r.doc_id: r.representative for r in rows}, {r.doc_id: r.n_links for r in rows}
     linked = {(r.a, r.b) for r in hygiene.near_duplicate_pairs(docs).collect()}
     words = [re.findall(r"\w+", x.lower()) for x in texts]
     sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
     near = {(a, b) for a in range(7) for b in range(a + 1, 7) if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.85 * len(sets[a] | sets[b])}
     assert set(member) == {k for k in range(7) if sets[k]}
     assert {(a, b) for a in member for b in member if a < b and (member[a] == member[b] or tuple(sorted((member[a], member[b]))) in linked)} == near
+    assert n_links == {k: sum(k in p for p in near) for k in member}
+
+
+def test_near_pairs_match_brute_force(spark, monkeypatch):
+    """Edited copies, excerpts, texts of common shingles, copies, repeated rows, nulls and short texts, with common shingles and
+    without."""
+    r = random.Random(7)
+    base, other = [f"w{k}" for k in range(120)], [f"v{k}" for k in range(60)]
+    texts = [None, "", "a b c d", "a b c d e", "A b, c d e"]
+    for k in range(40):
+        w = list(r.choice([base, other, base + other]))
+        if k % 3 == 0:
+            w = w[r.randrange(30) : r.randrange(35, 60)]
+        for _ in range(r.randrange(4)):
+            w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    words = [re.findall(r"\w+", (x or "").lower()) for x in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    near = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if sets[a] and sets[b] and (len(sets[a] & sets[b]) >= 0.85 * len(sets[a] | sets[b]) or (min(len(sets[a]), len(sets[b])) >= 6 and (sets[a] <= sets[b] or sets[b] <= sets[a])))}
+    docs = spark.createDataFrame([*enumerate(texts), (7, texts[7]), (None, texts[8])], "doc_id long, text string").repartition(3)
+    for common in (100, 3):
+        monkeypatch.setattr(hygiene, "COMMON", common)
+        rows = hygiene.near_duplicate_members(docs).collect()
+        member = {x.doc_id: x.representative for x in rows}
+        linked = {(x.a, x.b) for x in hygiene.near_duplicate_pairs(docs).collect()}
+        assert {(a, b) for a in member for b in member if a < b and (member[a] == member[b] or tuple(sorted((member[a], member[b]))) in linked)} == near
+        assert len(rows) == len(member) and {x.doc_id: x.n_links for x in rows} == {k: sum(k in p for p in near) for k in member}
 
 
 def run(spark, tmp_path, name, **tables):
