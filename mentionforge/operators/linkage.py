@@ -28,30 +28,62 @@ WRAPPER = r"(?i)\b(wrapper|bindings?|interface (?:to|for)|port of|client for|emu
 PLACEHOLDER = r"(?i)\b(reserved|placeholder|security holding package|dummy package)\b"
 
 
-def candidates(names: DataFrame, forms: DataFrame, most: int = MOST_CANDIDATES) -> DataFrame:
-    """(name, entity_id, match) of up to `most` entities for each name: exact form, else loose form, else a form that holds
-    all its tokens; the best match of an entity counts, matches are taken in that order and then by id.
+def _flat(forms: DataFrame, kind: str, name: str) -> DataFrame:
+    return forms.where(F.col("key_type") == kind).select(F.col("form").alias(name), F.explode("entities.entity_id").alias("entity_id"))
+
+
+def exact_candidates(names: DataFrame, forms: DataFrame, most: int = MOST_CANDIDATES) -> DataFrame:
+    """(name, entity_id) of the exact matches that `candidates` keeps: the first `most` ids of the name's exact form."""
+    q = names.select("name").distinct().select("name", t.exact_form(F.col("name")).alias("e"))
+    ids = forms.where("key_type = 'exact'").select(F.col("form").alias("e"), F.slice(F.array_sort("entities.entity_id"), 1, most).alias("ids"))
+    return q.join(ids, "e").select("name", F.explode("ids").alias("entity_id"))
 
-    Token matches are a relational division: tokens are joined once and a form stays if it met as many as the name has."""
+
+def _matches(names: DataFrame, forms: DataFrame) -> DataFrame:
+    """(name, entity_id, m, form) of every match, m being 0 (exact), 1 (loose) or 2 (token).
+
+    A form that holds all tokens of a name holds its rarest one: names are joined with forms on that alone, and the others are
+    looked up on the row. A token that every form holds is joined on only for names that have no other."""
     q = names.select("name").distinct().select("name", t.exact_form(F.col("name")).alias("e"), t.loose_form(F.col("name")).alias("l"), F.array_distinct(t.index_tokens(F.col("name"))).alias("tk"))
-    flat = forms.select("key_type", "form", F.explode("entities.entity_id").alias("entity_id"))
-    exact = flat.where("key_type = 'exact'").select(F.col("form").alias("e"), "entity_id")
-    loose = flat.where("key_type = 'loose'").select(F.col("form").alias("l"), "entity_id")
-    by_exact = q.join(exact, "e").select("name", "entity_id", F.lit(0).alias("m"))
-    by_loose = q.join(loose, "l").select("name", "entity_id", F.lit(1).alias("m"))
-    long = q.where(F.exists("tk", lambda x: F.length(x) >= 3)).select("name", "e", F.size("tk").alias("n"), F.explode("tk").alias("token"))
-    held = forms.where("key_type = 'exact'").select(F.col("form").alias("f"), F.explode(F.array_distinct(t.index_tokens(F.col("form")))).alias("token"))
-    whole = long.join(held, "token").where("f <> e").groupBy("name", "f", "n").agg(F.count("*").alias("k")).where("k = n")
-    by_token = whole.select("name", F.col("f").alias("e")).join(exact, "e").select("name", "entity_id", F.lit(2).alias("m"))
-    best = by_exact.unionByName(by_loose).unionByName(by_token).groupBy("name", "entity_id").agg(F.min("m").alias("m"))
+    exact = _flat(forms, "exact", "e")
+    by_exact = q.join(exact, "e").select("name", "entity_id", F.lit(0).alias("m"), F.col("name").alias("form"))
+    by_loose = q.join(_flat(forms, "loose", "l"), "l").select("name", "entity_id", F.lit(1).alias("m"), F.col("name").alias("form"))
+    long = q.where(F.exists("tk", lambda x: F.length(x) >= 3)).select("name", "e", "tk", F.explode("tk").alias("token"))
+    held = forms.where("key_type = 'exact'").select(F.col("form").alias("f"), F.array_distinct(t.index_tokens(F.col("form"))).alias("ftk")).withColumn("token", F.explode("ftk"))
+    df = held.groupBy("token").agg(F.count("*").alias("df"))
+    rarest = long.join(df, "token", "left").groupBy("name", "e", "tk").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "token"))["token"].alias("token"))
+    whole = rarest.join(held, "token").where((F.col("f") != F.col("e")) & (F.size(F.array_except("tk", "ftk")) == 0))
+    by_token = whole.select("name", F.col("f").alias("e")).join(exact, "e").select("name", "entity_id", F.lit(2).alias("m"), F.col("e").alias("form"))
+    return by_exact.unionByName(by_loose).unionByName(by_token)
+
+
+def _kind(m: Column) -> Column:
+    return F.element_at(F.array(F.lit("exact"), F.lit("loose"), F.lit("token")), m + 1)
+
+
+def candidates(names: DataFrame, forms: DataFrame, most: int = MOST_CANDIDATES) -> DataFrame:
+    """(name, entity_id, match) of up to `most` entities for each name: exact form, else loose form, else a form that holds
+    all its tokens; the best match of an entity counts, matches are taken in that order and then by id."""
+    best = _matches(names, forms).groupBy("name", "entity_id").agg(F.min("m").alias("m"))
     ranked = best.withColumn("_r", F.row_number().over(W.partitionBy("name").orderBy("m", "entity_id"))).where(F.col("_r") <= most)
-    return ranked.select("name", "entity_id", F.element_at(F.array(F.lit("exact"), F.lit("loose"), F.lit("token")), F.col("m") + 1).alias("match"))
+    return ranked.select("name", "entity_id", _kind(F.col("m")).alias("match"))
+
+
+def task_candidates(tasks: DataFrame, forms: DataFrame, most: int = MOST_CANDIDATES) -> DataFrame:
+    """(task, entity_id, match, matched_form) from tasks (task, surface_forms): as candidates, over all forms of a task in their
+    order. Exact matches of any form come before loose ones, and those before token ones; the form that matched is the first
+    that finds the entity that way, for tokens the catalogue's. Tasks without forms have no rows; repeated tasks count once."""
+    each = tasks.select("task", F.posexplode("surface_forms").alias("k", "name")).where("name is not null")
+    hits = each.join(_matches(each.select("name"), forms), "name")
+    best = hits.groupBy("task", "entity_id").agg(F.min(F.struct("m", "k", "form")).alias("b"))
+    ranked = best.withColumn("_r", F.row_number().over(W.partitionBy("task").orderBy("b.m", "entity_id"))).where(F.col("_r") <= most)
+    return ranked.select("task", "entity_id", _kind(F.col("b.m")).alias("match"), F.col("b.form").alias("matched_form"))
 
 
 def fast_match(found: DataFrame, popularity: DataFrame) -> DataFrame:
     """(name, entity_id, popularity, n_candidates): among exact candidates the most mentioned entity, then the one of most
-    sources, then the largest id. popularity: (entity_id, mentions, n_sources)."""
-    exact = found.where("match = 'exact'").join(popularity, "entity_id")
+    sources, then the largest id. found: (name, entity_id) of exact_candidates; popularity: (entity_id, mentions, n_sources)."""
+    exact = found.join(popularity, "entity_id")
     return exact.groupBy("name").agg(F.max_by("entity_id", F.struct("mentions", "n_sources", "entity_id")).alias("entity_id"), F.max("mentions").alias("popularity"), F.count("*").alias("n_candidates"))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from mentionforge.functions import text as t
 from mentionforge.operators import linkage as ln
 from mentionforge.operators import registry as rg
+from mentionforge.operators.graph import materialize
 from mentionforge.plans.catalog import query
 from mentionforge.plans.texts import _EXACT, _STEM, _STOP
 
@@ -107,6 +108,21 @@ def candidates(load):
     return ln.candidates(_mention_names(load), rg.surface_forms(_entities(load)))
 
 
+_TCAND = f"""{_FORMS}, tk AS (SELECT p_partkey task, k, w FROM (SELECT p_partkey, unnest([upper(p_brand), p_name, replace(p_name, ' ', '')]) w, unnest([0, 1, 2]) k FROM part SEMI JOIN lineitem ON l_partkey = p_partkey)),
+q AS (SELECT DISTINCT w, {_EXACT.format('w')} x, {_LOOSE.format(_EXACT.format('w'))} l, list_distinct(list_filter(regexp_extract_all({_EXACT.format('w')}, '[a-z0-9]+'), lambda z: length(z) >= 2)) ws FROM tk),
+h AS (SELECT DISTINCT form, unnest(list_distinct(list_filter(regexp_extract_all(form, '[a-z0-9]+'), lambda z: length(z) >= 2))) token FROM p WHERE key_type = 'exact'),
+tm AS (SELECT w, form FROM (SELECT w, x, len(ws) n, unnest(ws) token FROM q WHERE len(list_filter(ws, lambda z: length(z) >= 3)) > 0) JOIN h USING (token) WHERE form <> x GROUP BY w, form, n HAVING count(*) = n),
+hit AS (SELECT w, e, 0 m, w f FROM q JOIN p ON key_type = 'exact' AND form = x UNION ALL SELECT w, e, 1, w FROM q JOIN p ON key_type = 'loose' AND form = l UNION ALL SELECT w, e, 2, form FROM tm JOIN p USING (form) WHERE key_type = 'exact'),
+best AS (SELECT task, e, min((m, k, f)) b FROM tk JOIN hit USING (w) GROUP BY task, e)"""
+
+
+@query("task_candidates", f"WITH {_TCAND} SELECT task, e AS entity_id, ['exact', 'loose', 'token'][b[1] + 1] AS match, b[3] AS matched_form FROM best QUALIFY row_number() OVER (PARTITION BY task ORDER BY b[1], e) <= 12")
+def task_candidates(load):
+    part = load("part").join(load("lineitem").select(F.col("l_partkey").alias("p_partkey")).distinct(), "p_partkey", "left_semi")
+    tasks = part.select(F.col("p_partkey").alias("task"), F.array(F.upper("p_brand"), F.col("p_name"), F.replace("p_name", F.lit(" "), F.lit(""))).alias("surface_forms"))
+    return ln.task_candidates(tasks, rg.surface_forms(_entities(load)))
+
+
 def _popularity(load):
     n = load("lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("mentions"))
     return load("part").join(n, "p_partkey", "left").select(F.col("p_partkey").alias("entity_id"), F.coalesce("mentions", F.lit(0)).alias("mentions"), (1 + F.col("p_size") % 3).alias("n_sources"))
@@ -114,7 +130,7 @@ def _popularity(load):
 
 @query("fast_text_match", f"WITH {_CAND}, {_POP} SELECT w AS name, max_by(e, (n, ns, e)) AS entity_id, max(n)::BIGINT AS popularity, count(*)::BIGINT AS n_candidates FROM cand JOIN pop USING (e) WHERE m = 0 GROUP BY w")
 def fast_text_match(load):
-    return ln.fast_match(candidates(load), _popularity(load))
+    return ln.fast_match(ln.exact_candidates(_mention_names(load), rg.surface_forms(_entities(load))), _popularity(load))
 
 
 def _tasks(load):
@@ -151,10 +167,11 @@ sc AS (SELECT dc.w, dc.ctx, cand.e, round([2.0, 1.4, 0.5][m + 1]::DOUBLE + 4.0::
 best AS (SELECT w, ctx, CASE WHEN max(score) >= 2.2 THEN min_by(e, (-score, e)) END e, max(score) score FROM sc GROUP BY ALL)"""
 
 
-def _resolved(load):
-    """(name, context, entity_id, score) of each distinct name and context: tasks that agree in both are resolved once."""
-    cand, part = candidates(load), load("part")
-    contexts = _tasks(load).select("name", "context").distinct()
+def _resolved(load, tasks=None):
+    """(name, context, entity_id, score) of each distinct name and context: tasks that agree in both are resolved once.
+    Candidates and contexts are written, as both are read twice."""
+    cand, part = materialize(candidates(load), "candidates"), load("part")
+    contexts = materialize((tasks or _tasks(load)).select("name", "context").distinct(), "contexts")
     texts = part.select(F.col("p_partkey").alias("entity_id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"), "p_size", F.col("p_type").alias("description"))
     idf = ln.inverse_frequency(texts, "entity_id", "text")
     unknown = F.log(F.lit(1 + part.count())) + 1
@@ -176,7 +193,8 @@ def context_resolve(load):
 
 
 def _predicted(load):
-    return _tasks(load).join(_resolved(load), ["name", "context"]).select("task", "paper", "name", "entity_ids", "entity_id")
+    tasks = materialize(_tasks(load), "tasks")
+    return tasks.join(_resolved(load, tasks), ["name", "context"]).select("task", "paper", "name", "entity_ids", "entity_id")
 
 
 _LINKED = f"{_SCORE}, pr AS (SELECT paper, w, g, e FROM tasks JOIN best USING (w, ctx))"
