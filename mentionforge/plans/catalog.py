@@ -37,4 +37,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["fast_text_match"](spark, sf_dir)
 
 
-from mentionforge.plans import annotating, contracting, corpus, evaluation, linking, mapping, reviewing, sequences, splitting, texts  # noqa: E402,F401  they register
+from mentionforge.plans import annotating, contracting, corpus, evaluation, linking, mapping, reviewing, sequences, splitting, summarizing, texts  # noqa: E402,F401  they register
