@@ -9,6 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mentionforge.functions import scores
+from mentionforge.operators.ranks import ranked
+
+
+MOST_ARMS = 1000
 
 
 def outcome(gold: DataFrame, predicted: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -67,8 +71,11 @@ def dedupe_predictions(predicted: DataFrame, on: Sequence[str], order: Sequence[
 
 def arm_operations(arms: DataFrame, documents: DataFrame, results: DataFrame) -> DataFrame:
     """Counts by arm of documents completed, failed and missing; every arm is expected to have every document. arms is a
-    short list, so the expected side is documents times that list and no product of tables."""
-    wanted = documents.select("doc_id").withColumn("arm", F.explode(F.array(*[F.lit(r[0]) for r in arms.select("arm").collect()])))
+    short list (MOST_ARMS at most, else an error), so the expected side is documents times that list and no product of tables."""
+    names = [r[0] for r in arms.select("arm").distinct().orderBy("arm").limit(MOST_ARMS + 1).collect()]
+    if len(names) > MOST_ARMS:
+        raise ValueError(f"more than {MOST_ARMS} arms")
+    wanted = documents.select("doc_id").withColumn("arm", F.explode(F.array(*map(F.lit, names))))
     j = wanted.join(results.select("arm", "doc_id", "status"), ["arm", "doc_id"], "left")
     count = lambda c: F.count_if(c)
     return j.groupBy("arm").agg(F.count("*").alias("expected"), count(F.col("status") == "completed").alias("completed"), count(F.col("status") == "failed").alias("failed"), count(F.col("status").isNull()).alias("missing"))
@@ -88,15 +95,18 @@ def agreement(spans: DataFrame, valid: DataFrame) -> DataFrame:
 
 
 def latency(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Count, median and nearest-rank 95th percentile."""
-    return rows.groupBy(*by).agg(F.count(value).alias("n"), F.median(value).alias("median"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95"))
+    """Count, median and nearest-rank 95th percentile of the values that are there; a key without any has a count of zero and nulls."""
+    r = ranked(rows.where(F.col(value).isNotNull()).select(*by, value), by, [value])
+    middle = F.col("_r").isin(F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1)
+    found = r.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.when(middle, F.col(value))).alias("median"), F.max(F.when(F.col("_r") == F.floor((95 * F.col("_n") + 99) / 100), F.col(value))).alias("p95"))
+    none = rows.groupBy(*by).agg(F.count(value).alias("n")).where("n = 0").select(*by, "n", F.lit(None).cast("double").alias("median"), F.lit(None).cast(dict(rows.dtypes)[value]).alias("p95"))
+    return found.unionByName(none)
 
 
 def index_percentile(rows: DataFrame, by: Sequence[str], value: str, percent: int) -> DataFrame:
-    """The value at index min(n - 1, percent * n / 100) of the sorted values."""
-    w, whole = W.partitionBy(*by).orderBy(value), W.partitionBy(*by)
-    ranked = rows.select(*by, value, F.row_number().over(w).alias("_r"), F.count("*").over(whole).alias("_n"))
-    return ranked.where(F.col("_r") == F.least(F.col("_n") - 1, F.floor(F.lit(percent) * F.col("_n") / 100)) + 1).select(*by, F.col(value).alias(f"p{percent}"))
+    """The value at index min(n - 1, percent * n / 100) of the sorted values, nulls first."""
+    r = ranked(rows.select(*by, value), by, [value])
+    return r.where(F.col("_r") == F.least(F.col("_n") - 1, F.floor(F.lit(percent) * F.col("_n") / 100)) + 1).select(*by, F.col(value).alias(f"p{percent}"))
 
 
 def revision_chain(decisions: DataFrame, key: str, revision: str) -> DataFrame:

@@ -15,11 +15,14 @@ from mentionforge.session import map_in_arrow
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that setting is absent (local runs)."""
+    """The folder of spark.checkpoint.dir; where that setting is absent, a temporary one for local masters. A cluster without the
+    setting is an error: its executors do not share a folder of the driver's."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isEmpty():
+            if not spark.sparkContext.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "mentionforge-checkpoints"))
             found = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = found.get()

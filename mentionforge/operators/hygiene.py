@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mentionforge.functions import text as t
 from mentionforge.operators.graph import connected, materialize
+from mentionforge.operators.ranks import ranked
 
 
 #: A shingle that more sets than this hold comes last in the order of rarity.
@@ -122,10 +123,10 @@ def first_per_key(df: DataFrame, by: Sequence[str], order: Sequence, n: int) ->
 
 
 def share_per_key(df: DataFrame, by: Sequence[str], order: Sequence, share: float) -> DataFrame:
-    """The first ceil(share * size) rows of each key."""
-    w = W.partitionBy(*by)
-    ranked = df.withColumn("_r", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count("*").over(w))
-    return ranked.where(F.col("_r") <= F.ceil(F.col("_n") * share)).drop("_r", "_n")
+    """The first ceil(share * size) rows of each key, however large it is."""
+    keyed = df.withColumns({f"_o{k}": F.col(c) if isinstance(c, str) else c for k, c in enumerate(order)})
+    r = ranked(keyed, by, [f"_o{k}" for k in range(len(order))])
+    return r.where(F.col("_r") <= F.ceil(F.col("_n") * share)).select(*df.columns)
 
 
 def round_robin(df: DataFrame, stratum: str, order: Sequence, n: int, priority: str | None = None) -> DataFrame:
@@ -133,4 +134,4 @@ def round_robin(df: DataFrame, stratum: str, order: Sequence, n: int, priority:
     k+1-th."""
     first = [F.col(priority)] if priority else []
     turn = F.row_number().over(W.partitionBy(*([priority] if priority else []), stratum).orderBy(*order))
-    return df.withColumn("_turn", turn).orderBy(*first, "_turn", stratum).limit(n).drop("_turn")
+    return df.withColumn("_turn", turn).where(F.col("_turn") <= n).orderBy(*first, "_turn", stratum).limit(n).drop("_turn")

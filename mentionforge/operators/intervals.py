@@ -43,13 +43,15 @@ def overlap_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], on: Co
 
 
 def region_state(spans: DataFrame, regions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """spans with state: eligible inside one region of the islands, boundary_crossing if they only overlap one, else uncovered."""
+    """spans with state: eligible inside one region of the islands, boundary_crossing if they only overlap one, else uncovered.
+    Repeated rows are looked up once and come out as often as they are there."""
     islands = merge_islands(regions, keys).select(*keys, F.col("start").alias("_s"), F.col("end").alias("_e"))
-    hit = spans.join(islands, list(keys), "left")
+    hit = spans.groupBy(*spans.columns).agg(F.count("*").alias("_n")).join(islands, list(keys), "left")
     inside = F.coalesce((F.col("start") >= F.col("_s")) & (F.col("end") <= F.col("_e")), F.lit(False))
     touch = F.coalesce((F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end")), F.lit(False))
     state = F.when(F.max(inside), F.lit("eligible")).when(F.max(touch), F.lit("boundary_crossing")).otherwise(F.lit("uncovered"))
-    return hit.groupBy(*spans.columns).agg(state.alias("state"))
+    judged = hit.groupBy(*spans.columns, "_n").agg(state.alias("state"))
+    return judged.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).drop("_n")
 
 
 def drop_nested(spans: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -57,3 +57,16 @@ def test_bootstrap_brackets_the_estimate(spark):
     got = {x.measure: (x.low, x.high) for x in linkage.bootstrap(spark.createDataFrame(rows, "paper long, correct long, predicted long, gold long"), draws=300).collect()}
     p = sum(x[1] for x in rows) / sum(x[2] for x in rows)
     assert got["precision"][0] < p < got["precision"][1] and got["precision"][1] - got["precision"][0] < 0.2
+
+
+def test_ranks_over_ranges(spark):
+    from mentionforge.operators.ranks import ranked
+
+    r = random.Random(6)
+    rows = [(r.choice(["hot", "hot", "hot", "a", None]), r.choice([None, *range(40)]), k) for k in range(500)]
+    df = spark.createDataFrame(rows, "key string, v int, id int").repartition(5)
+    got = {x.id: (x._r, x._n) for x in ranked(df, ["key"], ["v", "id"]).collect()}
+    for key in ("hot", "a", None):
+        order = sorted((x for x in rows if x[0] == key), key=lambda x: (x[1] is not None, x[1] or 0, x[2]))
+        assert [got[x[2]] for x in order] == [(k + 1, len(order)) for k in range(len(order))]
+    assert ranked(df.where("false"), ["key"], ["v"]).count() == 0
