@@ -179,3 +179,14 @@ def window_owner(load):
     spark = load("region").sparkSession
     windows = spark.createDataFrame([(0, 0, 64), (1, 48, 112), (2, 96, 160)], "window int, start int, end int")
     return segments.window_owner(spark.range(160).select(F.col("id").cast("int").alias("token")), windows)
+
+
+@query("annotation_tasks")
+def annotation_tasks(load):
+    return segments.annotation_tasks(load("documents").select("doc_id", "text"), "2.1", "h")
+
+
+@query("article_sentences")
+def article_sentences(load):
+    d = load("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "text"), F.lit(0).alias("start"))
+    return segments.sentence_regions(d.where("text <> ''"))
