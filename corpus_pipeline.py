@@ -1,4 +1,8 @@
-"""A corpus pipeline of five stages over documents: toxicity, near-duplicates, repeated passages, secrets, packing."""
+"""A corpus pipeline of five stages over documents: toxicity, near-duplicates, repeated passages, secrets, packing.
+
+documents has the columns doc_id, text, lang, source and n_chars; more columns are carried along, whatever their names, up to
+the last stage. Null and empty texts are kept by every stage and packed as an end id; rows without id are kept, lose no
+passage and are linked with nothing; repeated rows stay or go together; an empty table gives an empty one."""
 
 from __future__ import annotations
 
