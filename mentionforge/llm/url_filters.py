@@ -81,7 +81,7 @@ def mine_rules(labelled: DataFrame, min_lift: float = 1.5, z: float = 3.0, min_s
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_rows / n)), numPartitions=tasks).fit(baskets.repartition(tasks))
     sets = saved(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "sets")
     bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_remove("items", BAD).alias("tokens"), F.col("freq").alias("n_bad"))
-    rules = bad.join(sets.select(F.col("items").alias("tokens"), F.col("freq").alias("n_urls")), "tokens")
+    rules = bad.join(sets.select(F.col("items").alias("tokens"), F.col("freq").alias("n_urls")).hint("merge"), "tokens")
     rules = rules.withColumn("confidence", F.col("n_bad") / F.col("n_urls")).withColumn("support", F.col("n_bad") / n).withColumn("lift", F.col("confidence") / share)
     least, _ = scores.wilson(F.col("n_bad"), F.col("n_urls"), z)
     rules = saved(rules.where((F.col("lift") >= min_lift) & (least > share)).withColumn("rule_id", F.array_join("tokens", " ")), "rules")
@@ -128,5 +128,5 @@ def op1(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     shown = pages.select("url", F.expr(r"try_cast(regexp_extract(url, '(?s)^.*?://[^/?#]*[^?#0-9]*([0-9]{1,18})', 1) as bigint)").alias("doc_id"))
-    rules = mine_rules(shown.join(labels, "doc_id").select("url", "bad"))
+    rules = mine_rules(shown.join(labels.hint("merge"), "doc_id").select("url", "bad"))
     return url_filter(pages, rules).select("page_id", "host", "path", "rule", "verdict", "mined_rule")
