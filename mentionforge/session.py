@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
@@ -33,9 +35,31 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def give_back() -> None:
+    """Hands memory that this process has freed back to the system: a worker lives on after its task, and what it once held would
+    count against the executor while others work."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def giving_back(function: Callable) -> Callable:
+    """A function from batches to batches that gives memory back when a task has read its result."""
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def map_in_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(giving_back(function), schema)
 
 
 def spread(scan: DataFrame) -> DataFrame:
