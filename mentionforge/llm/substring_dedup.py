@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from mentionforge.llm.common import table
 from mentionforge.llm.suffix_array import suffix_array
-from mentionforge.session import map_in_arrow, ship, spread
+from mentionforge.session import give_back, map_in_arrow, ship, spread
 
 WIDTH, GRAM = 50, 20
 REACH = WIDTH - GRAM + 1
@@ -341,7 +341,10 @@ def _cut_fragments(buckets: int):
         for bucket, at in _split((b.fp % _U(buckets)).astype(np.int64)):
             parts = [text[k] for k in at.tolist()]
             rows.append((bucket, block, _thin(at.astype("<u4")), b.at[at].astype(np.uint8).tobytes(), _thin(b.smallest[at]), np.array([len(x) for x in parts], np.uint8).tobytes(), b"".join(parts)))
-        return pa.Table.from_batches([_batch(_FRAGMENTS, rows)])
+        out = pa.Table.from_batches([_batch(_FRAGMENTS, rows)])
+        del b, text, rows
+        give_back()
+        return out
 
     return run
 
@@ -503,6 +506,8 @@ def _mark(digest: bool):
         out = texts.drop_columns(["_block"]).take(pa.array(b.order, pa.int64()))
         for name, column in (("_bytes", pa.array(sizes, pa.int64())), ("_spans", pa.array(spans, _SPANS)), ("_kept", pa.array(kept, pa.binary()))):
             out = out.append_column(name, column)
+        del b, cover, removed, spans, kept, sizes
+        give_back()
         return out
 
     return run
