@@ -2,9 +2,9 @@
 
 Vectors are rotated by a fixed random orthogonal matrix, so that a partial distance over the first d' of d dimensions,
 scaled by d / d', estimates the whole. Inside each probed list a candidate is abandoned once that estimate rejects, under a
-hypothesis test with error factor EPSILON, that it is within the current k-th distance: a query's nearest list is scanned
-first, and the k-th distance found there is where the scans of its other lists begin. Survivors get exact distances on the
-original vectors in double precision. Equal vectors are one entry that carries its k + 1 smallest ids, which is all that any
+hypothesis test with error factor EPSILON, that it is within the current k-th distance: the k-th distance to the sampled
+rows of a query's nearest lists, which are candidates themselves, is where the scans of all its lists begin. Survivors get
+exact distances on the original vectors in double precision. Equal vectors are one entry that carries its k + 1 smallest ids, which is all that any
 result can hold; long lists are cut into blocks, and no task holds more than one block."""
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from mentionforge.llm.common import bounded_sample, saved, table
 from mentionforge.session import map_in_arrow
 
-#: Fitting bounds: rows and numbers of the k-means sample, and lists; centroids are a broadcast of at most MOST_LISTS * d
-#: doubles, and of at most a quarter of the sample.
+#: Fitting bounds: rows and numbers of the k-means sample, and lists; broadcasts are the sample, 4 * SAMPLE_NUMBERS bytes at the
+#: most, and the centroids, at most MOST_LISTS * d doubles, and at most a quarter of the sample's rows.
 SAMPLE_ROWS, SAMPLE_NUMBERS, MOST_LISTS, ROUNDS = 100_000, 8_000_000, 8192, 8
 #: LEAST_PROBES lists are probed at least, and as many more as TARGET recall needs on TRIAL sampled queries.
 LEAST_PROBES, TARGET, TRIAL = 16, 0.98, 256
@@ -89,6 +89,27 @@ def _assigner(centroids, probes: int):
     return run
 
 
+def _prober(centroids, sample, probes: int, k: int):
+    """Queries (v, query) with the lists to probe, nearest first, and `known`, a distance that k sampled rows keep."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, (rows, starts) = centroids.value, sample.value
+        for batch in batches:
+            q = _matrix(batch.column(0)).astype(np.float64) if batch.num_rows else np.empty((0, c.shape[1]))
+            lists, known = _nearest(q, c, probes), []
+            for v, own in zip(q, lists.tolist(), strict=True):
+                near = np.empty(0)
+                for at in own:
+                    near = np.r_[near, ((rows[starts[at] : starts[at + 1]].astype(np.float64) - v) ** 2).sum(axis=1)]
+                    if len(near) >= k:
+                        break
+                known.append(float(np.sqrt(np.partition(near, k - 1)[k - 1])) if len(near) >= k else np.inf)
+            at = np.arange(0, (len(lists) + 1) * probes, probes, dtype=np.int32)[: len(lists) + 1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(at, pa.array(lists.ravel(), pa.int32())), pa.array(known, pa.float64())], ["v", "query", "lists", "known"])
+
+    return run
+
+
 def columns_of(rotated: np.ndarray, step: int) -> list[np.ndarray]:
     """Blocks of `step` columns, each in a piece of memory of its own."""
     return [np.ascontiguousarray(rotated[:, at : at + step]) for at in range(0, rotated.shape[1], step)]
@@ -99,7 +120,8 @@ def scan_block(query: np.ndarray, rotated_query: np.ndarray, block: np.ndarray,
     n, d, step = len(block), block.shape[1], columns[0].shape[1]
     first = min(n, max(4 * k, 64))
     seed = sum(((c[:first] - rotated_query[i * step : i * step + c.shape[1]]) ** 2).sum(axis=1) for i, c in enumerate(columns))
-    limit = min(known * known, np.partition(seed, k - 1)[k - 1] if first >= k else np.inf) * (1 + 1e-9)
+    slack = 1e-12 * float(query @ query)  # rotating rounds, by a share of the vectors' own length
+    limit = min(known * known, np.partition(seed, k - 1)[k - 1] if first >= k else np.inf) * (1 + 1e-9) + slack
     alive, partial = np.arange(n), np.zeros(n)
     for i, c in enumerate(columns):
         at, seen = i * step, min(i * step + step, d)
@@ -108,7 +130,7 @@ def scan_block(query: np.ndarray, rotated_query: np.ndarray, block: np.ndarray,
         stay = partial <= bound
         alive, partial = alive[stay], partial[stay]
     if len(alive) > k:
-        kth = np.partition(partial, k - 1)[k - 1] * (1 + 1e-9)
+        kth = np.partition(partial, k - 1)[k - 1] * (1 + 1e-9) + slack
         alive = alive[partial <= kth]
     exact = np.sqrt(np.cumsum((block[alive].astype(np.float64) - query) ** 2, axis=1)[:, -1])
     return alive, exact
@@ -176,7 +198,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, targ
     n_lists = max(1, min(n_lists or int(np.sqrt(n) / 2), MOST_LISTS, max(1, len(sample) // 4)))
     fitted = fit_lists(sample, n_lists)
     probes = min(n_lists, max(LEAST_PROBES, probes_for(sample, fitted, k, target)))
-    centroids = spark.sparkContext.broadcast(fitted)
+    centroids, own = spark.sparkContext.broadcast(fitted), _nearest(sample, fitted)[:, 0]
+    held_sample = spark.sparkContext.broadcast((sample[np.argsort(own, kind="stable")], np.searchsorted(np.sort(own), np.arange(n_lists + 1))))
 
     first = W.partitionBy("v").orderBy("vec_id")
     few = base.distinct().withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k + 1)
@@ -187,23 +210,16 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, targ
     sizes = placed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     wanted = saved(asked.select("vec_id", "v", F.xxhash64("v").alias("query")), "asked")
     each = wanted.select("v", "query").distinct()
-    probed = map_in_arrow(each.where(usual), _assigner(centroids, probes), "v array<float>, query bigint, lists array<int>")
-    probed = probed.unionByName(each.where(~usual).select("v", "query", F.array(-F.size("v")).alias("lists")))
-    probed = saved(probed.select("v", "query", F.posexplode("lists").alias("place", "list")), "probed").join(sizes, "list").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    probed = map_in_arrow(each.where(usual), _prober(centroids, held_sample, probes, k + 1), "v array<float>, query bigint, lists array<int>, known double")
+    probed = probed.unionByName(each.where(~usual).select("v", "query", F.array(-F.size("v")).alias("lists"), F.lit(float("inf")).alias("known")))
+    probed = probed.select("v", "query", "known", F.explode("lists").alias("list")).join(sizes, "list").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     none = F.lit(None)
     held = placed.join(sizes, "list").withColumn("_b", F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col("blocks")))
     held = held.select(F.concat_ws("/", "list", "_b").alias("cell"), F.lit(0).alias("side"), "v", "ids", none.cast("bigint").alias("query"), F.lit(float("inf")).alias("known"))
+    met = probed.select(F.concat_ws("/", "list", "_b").alias("cell"), F.lit(1).alias("side"), "v", none.cast("array<bigint>").alias("ids"), "query", "known")
+    cells = held.unionByName(met).repartition("cell").sortWithinPartitions("cell", "side")
+    hits = map_in_arrow(cells, _searcher(k + 1, epsilon, DIMENSIONS), "query bigint, vec_id bigint, score double")
     best = W.partitionBy("query").orderBy("score", "vec_id")
-
-    def scanned(part: DataFrame) -> DataFrame:
-        met = part.select(F.concat_ws("/", "list", "_b").alias("cell"), F.lit(1).alias("side"), "v", none.cast("array<bigint>").alias("ids"), "query", "known")
-        cells = held.unionByName(met).repartition("cell").sortWithinPartitions("cell", "side")
-        found = map_in_arrow(cells, _searcher(k + 1, epsilon, DIMENSIONS), "query bigint, vec_id bigint, score double")
-        return found.distinct().withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).drop("_r")
-
-    first = saved(scanned(probed.where("place = 0").withColumn("known", F.lit(float("inf")))), "first")
-    kth = first.groupBy("query").agg(F.max("score").alias("worst"), F.count("*").alias("n")).select("query", F.when(F.col("n") > k, F.col("worst")).otherwise(F.lit(float("inf"))).alias("known"))
-    hits = first.unionByName(scanned(probed.where("place > 0").join(kth, "query", "left").withColumn("known", F.coalesce("known", F.lit(float("inf"))))))
     hits = hits.distinct().withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1)
     hits = hits.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("found"))
     out = wanted.select(F.col("vec_id").alias("query_id"), "query").distinct().join(hits, "query")

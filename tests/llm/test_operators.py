@@ -461,6 +461,21 @@ def test_recall_when_few_lists_are_probed(spark, monkeypatch, spread):
     assert sum(len({i for _, i, _ in g} & set(want[q][0])) for q, g in got.items()) >= 0.95 * 10 * len(want)
 
 
+def test_near_copies_of_long_vectors_are_not_lost_to_rounding(spark, monkeypatch):
+    """Exact copies and rows a hair away, far from the origin: what lies at the k-th distance stays, ties by id."""
+    monkeypatch.setattr(ann_search, "BLOCK", 16)
+    rng = np.random.default_rng(9)
+    v = (1000 + rng.standard_normal((300, 16))).astype(np.float32)
+    v[40:80] = v[40]
+    v[80:120] = np.nextafter(v[40], np.float32(np.inf))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann_search.nearest_neighbours(df, df.where("vec_id % 20 = 0"), k=10).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    for q, (want, _) in exact_neighbours(v, [40, 60, 80, 100], 10).items():
+        assert [i for _, i in sorted(got[q])] == want
+
+
 def test_vectors_of_every_length_are_searched(spark, monkeypatch):
     monkeypatch.setattr(ann_search, "BLOCK", 20)
     rng = np.random.default_rng(4)
