@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from mentionforge.functions import text as t
 from mentionforge.operators import linkage as ln
 from mentionforge.operators import registry as rg
-from mentionforge.operators.graph import materialize
 from mentionforge.plans.catalog import query
 from mentionforge.plans.texts import _EXACT, _STEM, _STOP
 
@@ -105,7 +104,7 @@ cand AS (SELECT w, e, min(m) m FROM cd GROUP BY w, e QUALIFY row_number() OVER (
 
 @query("candidates", f"WITH {_CAND} SELECT w AS name, e AS entity_id, ['exact', 'loose', 'token'][m + 1] AS match FROM cand")
 def candidates(load):
-    return ln.candidates(_mention_names(load), materialize(rg.surface_forms(_entities(load)), "forms"))
+    return ln.candidates(_mention_names(load), rg.surface_forms(_entities(load)))
 
 
 _TCAND = f"""{_FORMS}, tk AS (SELECT p_partkey task, k, w FROM (SELECT p_partkey, unnest([upper(p_brand), p_name, replace(p_name, ' ', '')]) w, unnest([0, 1, 2]) k FROM part SEMI JOIN lineitem ON l_partkey = p_partkey)),
@@ -168,9 +167,9 @@ best AS (SELECT w, ctx, CASE WHEN max(score) >= 2.2 THEN min_by(e, (-score, e))
 
 
 def _resolved(load, tasks=None):
-    """(name, context, entity_id, score) of each distinct name and context: tasks that agree in both are resolved once.
-    Candidates are written, as they are read twice; contexts are read off one exchange."""
-    cand, part = materialize(candidates(load), "candidates"), load("part")
+    """(name, context, entity_id, score) of each distinct name and context: tasks that agree in both are resolved once. Candidates
+    and contexts are each used twice, off exchanges that Spark reuses."""
+    cand, part = candidates(load), load("part")
     contexts = (tasks or _tasks(load)).select("name", "context").distinct()
     texts = part.select(F.col("p_partkey").alias("entity_id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"), "p_size", F.col("p_type").alias("description"))
     idf = ln.inverse_frequency(texts, "entity_id", "text")
