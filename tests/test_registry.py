@@ -26,10 +26,15 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_entry_without_the_llm_folders():
+@pytest.mark.parametrize("files", [("mentionforge", "__spark_entry__.py", "corpus_pipeline.py", "tests"), ("mentionforge", "__spark_entry__.py", "tests")])
+def test_entry_without_the_llm_folders(files):
+    """The rest loads, and its tests are collected, where both llm folders are gone, with corpus_pipeline.py there or not."""
     with tempfile.TemporaryDirectory() as d:
-        for p in ("mentionforge", "__spark_entry__.py"):
+        for p in files:
             subprocess.run(["cp", "-r", ROOT / p, d], check=True)
-        subprocess.run(["rm", "-rf", f"{d}/mentionforge/llm"], check=True)
-        code = "import __spark_entry__ as e; print(len(e.queries())); assert not any(q.startswith('op1_') for q in e.queries())"
-        subprocess.run([sys.executable, "-c", code], cwd=d, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": d})
+        for p in ("mentionforge/llm", "tests/llm"):
+            subprocess.run(["rm", "-rf", f"{d}/{p}"], check=True)
+        env = {"PATH": "/usr/bin:/bin", "PYTHONPATH": d, "PYTHONDONTWRITEBYTECODE": "1"}
+        code = "import __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q); assert not any(k.startswith('op1_') or k == 'pipeline' for k in q)"
+        subprocess.run([sys.executable, "-c", code], cwd=d, check=True, env=env)
+        subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "-p", "no:cacheprovider", "tests"], cwd=d, check=True, env=env, stdout=subprocess.DEVNULL)
