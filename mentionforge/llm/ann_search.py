@@ -184,33 +184,35 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, targ
     Both frames have (vec_id, embedding). Null, zero or non-finite vectors and rows without id take no part; vectors of another
     length than most are near those of their own length only, and are one list for each length, which is scanned whole; target
     is the recall that probing aims at; ties go to the smaller id; repeated rows of one id count once; other columns are not
-    read; an empty table gives no rows."""
+    read; an empty table gives no rows. Vectors are compared as they are: floats where both frames hold floats, else doubles."""
     spark = vectors.sparkSession
-    pick = lambda df: df.where(usable()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v"))
+    kind = "float" if all(dict(df.dtypes)["embedding"] == "array<float>" for df in (vectors, queries)) else "double"
+    pick = lambda df: df.where(usable()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("v"))
     base, asked = pick(vectors), pick(queries)
     lengths = base.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not lengths:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     d, n = lengths[0]
     usual = F.size("v") == d
-    sample = bounded_sample(base.where(usual), "vec_id", max(1, min(SAMPLE_ROWS, SAMPLE_NUMBERS // max(1, d)))).select("v").toArrow().column(0).combine_chunks()
-    sample = _matrix(sample if isinstance(sample, pa.Array) else sample.chunk(0)).astype(np.float32)
+    sample = bounded_sample(base.where(usual), "vec_id", max(1, min(SAMPLE_ROWS, SAMPLE_NUMBERS // (max(1, d) * (1 if kind == "float" else 2))))).select("v").toArrow().column(0).combine_chunks()
+    exact = _matrix(sample if isinstance(sample, pa.Array) else sample.chunk(0))
+    sample = exact.astype(np.float32)
     n_lists = max(1, min(n_lists or int(np.sqrt(n) / 2), MOST_LISTS, max(1, len(sample) // 4)))
     fitted = fit_lists(sample, n_lists)
     probes = min(n_lists, max(LEAST_PROBES, probes_for(sample, fitted, k, target)))
     centroids, own = spark.sparkContext.broadcast(fitted), _nearest(sample, fitted)[:, 0]
-    held_sample = spark.sparkContext.broadcast((sample[np.argsort(own, kind="stable")], np.searchsorted(np.sort(own), np.arange(n_lists + 1))))
+    held_sample = spark.sparkContext.broadcast((exact[np.argsort(own, kind="stable")], np.searchsorted(np.sort(own), np.arange(n_lists + 1))))
 
     first = W.partitionBy("v").orderBy("vec_id")
     few = base.distinct().withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k + 1)
     entries = few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    placed = map_in_arrow(entries.where(usual), _assigner(centroids, 1), "v array<float>, ids array<bigint>, lists array<int>")
+    placed = map_in_arrow(entries.where(usual), _assigner(centroids, 1), f"v array<{kind}>, ids array<bigint>, lists array<int>")
     alone = entries.where(~usual).select("v", "ids", (-F.size("v")).alias("list"))  # a list for each other length
     placed = saved(placed.select("v", "ids", F.element_at("lists", 1).alias("list")).unionByName(alone), "placed")
     sizes = placed.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     wanted = saved(asked.select("vec_id", "v", F.xxhash64("v").alias("query")), "asked")
     each = wanted.select("v", "query").distinct()
-    probed = map_in_arrow(each.where(usual), _prober(centroids, held_sample, probes, k + 1), "v array<float>, query bigint, lists array<int>, known double")
+    probed = map_in_arrow(each.where(usual), _prober(centroids, held_sample, probes, k + 1), f"v array<{kind}>, query bigint, lists array<int>, known double")
     probed = probed.unionByName(each.where(~usual).select("v", "query", F.array(-F.size("v")).alias("lists"), F.lit(float("inf")).alias("known")))
     probed = probed.select("v", "query", "known", F.explode("lists").alias("list")).join(sizes, "list").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     none = F.lit(None)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mentionforge.operators.graph import connected as components
 from mentionforge.operators.graph import materialize as saved
 
-__all__ = ["SPACE", "UPPER", "ascii_lower", "bounded_sample", "components", "saved", "table", "words_of"]
+__all__ = ["SPACE", "UPPER", "ascii_lower", "bounded_sample", "components", "free_names", "saved", "table", "words_of"]
 
 #: The white space of the word rule [^\x20\x09-\x0D]+, as the inside of a regex class.
 SPACE = " \\t\\n\\x0B\\f\\r"
@@ -23,6 +23,17 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores added as keep it apart from those that are taken; case does not count."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def words_of(text: Column) -> Column:
     """Words [^\\x20\\x09-\\x0D]+ of a text; an empty array for null."""
     core = F.regexp_replace(F.coalesce(text, F.lit("")), f"^[{SPACE}]+|[{SPACE}]+$", "")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mentionforge.llm.common import components, saved, table
+from mentionforge.llm.common import components, free_names, saved, table
 from mentionforge.session import map_in_arrow, spread
 
 BANDS, BAND_PERMUTATIONS = 42, 3
@@ -205,9 +205,10 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs without the rows that near_duplicates drops. Repeated rows of one id and text stay or go together; rows that share an
-    id but not the text are judged each by its own."""
-    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct().hint("merge")  # grows with the table
-    return docs.join(gone, (docs["doc_id"] == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
+    id but not the text are judged each by its own. Other columns may have any name."""
+    i, h = free_names(docs.columns, "_id", "_hash")
+    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).distinct().hint("merge")  # grows with the table
+    return docs.join(gone, (docs["doc_id"] == F.col(i)) & (F.xxhash64(docs["text"]) == F.col(h)), "left_anti")
 
 
 OP3_SQL = r"""

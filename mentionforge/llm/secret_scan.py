@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mentionforge.llm.common import saved, table
+from mentionforge.llm.common import free_names, saved, table
 from mentionforge.session import map_in_arrow, spread
 
 #: Kinds in the order in which spans that start together are listed; the first three are the base ones.
@@ -104,10 +104,12 @@ def op9(spark, sf_dir: str) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[REDACTED]", **options) -> DataFrame:
-    """docs with every live secret's span replaced by mark (overlapping spans by one), n_chars set anew where it exists."""
+    """docs with every live secret's span replaced by mark (overlapping spans by one), n_chars set anew where it exists. Other
+    columns may have any name; what happens to odd rows is said at scan_secrets."""
+    i, h, found = free_names(docs.columns, "_id", "_hash", "_live")
     s = scan_secrets(docs, **options)
-    live = s.where(F.exists("secrets", lambda x: x["live"])).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.filter("secrets", lambda x: x["live"]).alias("_live")).dropDuplicates(["_id", "_hash"]).hint("merge")  # grows with the table
-    joined = docs.join(live, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left")
+    live = s.where(F.exists("secrets", lambda x: x["live"])).select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.filter("secrets", lambda x: x["live"]).alias(found)).dropDuplicates([i, h]).hint("merge")  # grows with the table
+    joined = docs.join(live, docs["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(docs["text"]) == F.col(h)), "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, x):
@@ -115,10 +117,10 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]", **options) -> DataFrame:
         text = F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
         return F.struct(F.greatest(fresh, x["end"]).alias("at"), text.alias("out"))
 
-    clean = F.aggregate("_live", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    out = joined.withColumn("text", F.when(F.col("_live").isNull(), F.col("text")).otherwise(clean))
+    clean = F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    out = joined.withColumn("text", F.when(F.col(found).isNull(), F.col("text")).otherwise(clean))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_live").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col(found).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mentionforge.llm.common import table
+from mentionforge.llm.common import free_names, table
 from mentionforge.llm.suffix_array import suffix_array
 from mentionforge.session import give_back, map_in_arrow, ship, spread
 
@@ -515,13 +515,15 @@ def _mark(digest: bool):
 
 def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     """The rows of docs (doc_id, text, and whatever else they hold) with _bytes, the text's length in bytes, _spans, its
-    removed runs in bytes, and _kept, the remaining bytes, or their SHA-256 if digest. Code points that a span cuts in two
-    are left out of _kept (but not of its SHA-256).
+    removed runs in bytes, and _kept, the remaining bytes, or their SHA-256 if digest, under the names that free_names gives
+    where docs has such columns. Code points that a span cuts in two are left out of _kept (but not of its SHA-256).
 
     A byte goes if a 50-byte string over it also starts in a document with a smaller id. Null text counts as empty; rows
     without id neither lose bytes nor make others lose any; repeated rows of one id are judged alike and not against each
     other; an empty table gives an empty table."""
     ship(docs.sparkSession)
+    columns = docs.columns
+    docs = docs.toDF(*[c if c in ("doc_id", "text") else f"x{k}" for k, c in enumerate(columns)])  # no name meets those below
     known = docs.where("doc_id is not null")
     plain = known.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -543,7 +545,7 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     out = texts.groupBy("_block").cogroup(told.groupBy("block")).applyInArrow(_mark(digest), schema)
     whole = F.coalesce(F.encode("text", "utf-8"), F.lit(b""))
     rest = docs.where("doc_id is null").withColumns({"_bytes": F.length(whole).cast("long"), "_spans": F.array().cast("array<struct<start:bigint,end:bigint>>"), "_kept": F.unhex(F.sha2(whole, 256)) if digest else whole})
-    return out.unionByName(rest)
+    return out.unionByName(rest).toDF(*columns, *free_names(columns, "_bytes", "_spans", "_kept"))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
@@ -554,8 +556,9 @@ def op8(spark, sf_dir: str) -> DataFrame:
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """docs with the repeated bytes taken out of text, and n_chars, where there is one, set anew for those rows."""
-    changed = F.size("_spans") > 0
-    out = remove_repeats(docs).withColumn("text", F.when(changed, F.decode("_kept", "utf-8")).otherwise(F.col("text")))
+    _, spans, kept = free_names(docs.columns, "_bytes", "_spans", "_kept")
+    changed = F.size(spans) > 0
+    out = remove_repeats(docs).withColumn("text", F.when(changed, F.decode(kept, "utf-8")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

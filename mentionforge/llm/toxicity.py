@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from mentionforge.llm.common import bounded_sample, table
 from mentionforge.session import map_in_arrow, spread
 
-#: Fitting bounds: labelled rows by class, code points of a fitted text, entries of the lexicon.
-MOST_TOXIC, MOST_CLEAN, MOST_CHARS, MOST_ENTRIES = 2000, 8000, 20_000, 50_000
+#: Fitting bounds: labelled rows by class, code points of a fitted text. What is learned from them has no bound of its own.
+MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 2000, 8000, 20_000
 LEAST_CONTEXTS, LEAST_ODDS = 5, 2.5
 PREFIXES = (4, 5, 6)
 #: Estimates of the token labels, rounds and step of the fit to each, and the weight of the squared weights in its objective.
@@ -155,7 +155,7 @@ def learn_lexicon(texts: list[str], toxic: list[int]) -> dict[str, float]:
             seen[y][e] += 1
     odds_of = lambda k, c: math.log((k + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
     odds = {e: odds_of(k, seen[0][e]) for e, k in seen[1].items()}
-    best = sorted(((o, e) for e, o in odds.items() if o >= LEAST_ODDS), key=lambda x: (-x[0], x[1]))[:MOST_ENTRIES]
+    best = sorted(((o, e) for e, o in odds.items() if o >= LEAST_ODDS), key=lambda x: (-x[0], x[1]))
     lexicon = {e: o for o, e in best}
     beginnings = {e for e in lexicon if e[0] != "="}
     harmless: dict[str, list[int]] = defaultdict(lambda: [0, 0])
@@ -164,7 +164,7 @@ def learn_lexicon(texts: list[str], toxic: list[int]) -> dict[str, float]:
             if any(w[:n] in beginnings for n in PREFIXES if len(w) > n):
                 harmless[w][y] += 1
     for w, (c, p) in harmless.items():
-        if c and f"={w}" not in lexicon and len(lexicon) < 2 * MOST_ENTRIES:
+        if c and f"={w}" not in lexicon:
             lexicon[f"={w}"] = odds_of(p, c) - LEAST_ODDS
     return lexicon
 
@@ -396,6 +396,8 @@ def _dropper(model, text_at: int, threshold: float):
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs without the rows whose score is threshold or more, in one pass and without a shuffle."""
+    """docs without the rows whose score is threshold or more, in one pass and without a shuffle. Null and empty texts are
+    scored as a text without any hit, long ones whole; rows without id are judged too, repeated rows alike; columns may have
+    any name; an empty table gives an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels))
     return map_in_arrow(docs, _dropper(shared, docs.columns.index("text"), threshold), docs.schema)

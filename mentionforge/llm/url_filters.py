@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mentionforge.functions import scores
-from mentionforge.llm.common import ascii_lower, bounded_sample, saved, table
+from mentionforge.llm.common import ascii_lower, bounded_sample, free_names, saved, table
 
 #: (host, path, verdict): the list of op1.
 LISTED = (
@@ -111,16 +111,19 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def url_filter(pages: DataFrame, rules: DataFrame, listed=LISTED) -> DataFrame:
-    """pages (with a column url) plus host, path, rule, verdict, mined_rule and mined_confidence, which replace columns of those names.
+    """pages (with a column url) plus host, path, rule, verdict, mined_rule and mined_confidence, which replace columns of those
+    names; others may have any name.
 
     Null or malformed urls have empty host and path and are allowed; urls are read whole, however long; repeated rows keep a row
     each; an empty table gives none; the join is on the distinct url, and a url that a third of the rows hold is one row on the
     mined side."""
     host, path = host_and_path(F.col("url"))
     out = pages.drop("host", "path", "rule", "verdict", "mined_rule", "mined_confidence").join(match_rules(pages, rules), "url", "left")
-    out = out.withColumn("host", host).withColumn("path", path).withColumn("_r", listed_rule(F.col("host"), F.col("path"), listed))
+    out = out.withColumn("host", host).withColumn("path", path)
+    (r,) = free_names(out.columns, "_r")
+    out = out.withColumn(r, listed_rule(F.col("host"), F.col("path"), listed))
     mined = F.when(F.col("mined_rule").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
-    return out.withColumn("rule", F.col("_r.rule")).withColumn("verdict", F.coalesce("_r.verdict", mined)).drop("_r")
+    return out.withColumn("rule", F.col(r)["rule"]).withColumn("verdict", F.coalesce(F.col(r)["verdict"], mined)).drop(r)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

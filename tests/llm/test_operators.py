@@ -491,6 +491,22 @@ def test_vectors_of_every_length_are_searched(spark, monkeypatch):
         assert {len(rows[i][1]) for _, i in got[q]} == {len(rows[q][1])} and len(got[q]) == 5
 
 
+def test_doubles_are_compared_as_doubles(spark, monkeypatch):
+    monkeypatch.setattr(ann_search, "BLOCK", 20)
+    rng = np.random.default_rng(6)
+    far = rng.standard_normal((60, 6))
+    rows = [(i, far[i].tolist()) for i in range(60)] + [(100 + i, [1.0 + i * 1e-9, 0.5, 2.0, 1.0, 1.0, 1.0]) for i in range(12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann_search.nearest_neighbours(df, df.where("vec_id = 100 or vec_id = 5"), k=10).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert [i for _, i, _ in sorted(got[100])] == list(range(101, 111))
+    for _, i, score in got[100]:
+        assert score == pytest.approx(float(np.linalg.norm(np.array(dict(rows)[i]) - dict(rows)[100])), rel=1e-12) and score > 0
+    near = sorted((float(np.linalg.norm(np.array(v) - far[5])), i) for i, v in rows if i != 5)[:10]
+    assert len({i for _, i, _ in got[5]} & {i for _, i in near}) >= 9
+
+
 # --- op8
 
 
@@ -792,3 +808,30 @@ def test_stages_take_odd_rows_and_empty_tables(spark):
         assert (packed.count() == 0) == (docs.count() == 0)
     kept = {r.doc_id for r in corpus_pipeline.STAGES[1][1](spark, full, SMALL).collect()}
     assert {None, top, top + 1, top + 2, top + 3} <= kept
+
+
+HELPERS = ["_id", "_hash", "_live", "_block", "_bytes", "_spans", "_kept", "_r", "doc_id_", "root", "rep", "n", "grp", "size", "block", "kind", "secrets", "text_hash", "score", "kept", "component_id", "n_shingles", "found", "owner", "repository", "x2"]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Every name that a stage uses inside comes back as it was."""
+    import corpus_pipeline
+    from tests.oracle import SMALL
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60)
+    for k, name in enumerate(HELPERS):
+        docs = docs.withColumn(name, F.concat_ws("-", F.lit(name), "doc_id") if k % 2 else F.col("doc_id") * 100 + k)
+    docs = docs.persist()
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL).persist()
+        assert out.columns == docs.columns, name
+        want = {r.doc_id: tuple(r) for r in stage(spark, plain, SMALL).collect()}
+        assert {r.doc_id: tuple(r)[:5] for r in out.collect()} == want, name
+        for r in out.collect():
+            assert all(r[c] == (f"{c}-{r.doc_id}" if k % 2 else r.doc_id * 100 + k) for k, c in enumerate(HELPERS)), name
+        docs, plain = out, out.select(*plain.columns)
+    assert packing.pack(docs).count() == packing.pack(plain).count()
+    pages = spark.createDataFrame([(1, "http://a.com/de/", "r", "m", "r2")], "page_id long, url string, _r string, _R_ string, mined_rule string")
+    row = url_filters.url_filter(pages, spark.createDataFrame([], url_filters.RULES_DDL)).first()
+    assert (row["_r"], row["_R_"], row.rule, row.verdict, row.mined_rule) == ("r", "m", "com/de/", "block", None)
