@@ -172,13 +172,16 @@ def token_windows(load):
 
 
 @query("window_owner", """
-WITH w AS (SELECT * FROM (VALUES (0, 0, 64), (1, 48, 112), (2, 96, 160)) v(i, s, e)), t AS (SELECT unnest(range(160)) p)
-SELECT p::INTEGER AS token, max_by(i, least(p - s, e - 1 - p) * 10 - i)::INTEGER AS "window" FROM t JOIN w ON p >= s AND p < e GROUP BY p
+WITH d AS (SELECT doc_id, len(string_split(text, ' ')) n FROM documents),
+w AS (SELECT doc_id, n, i, 48 * i s, least(48 * i + 64, n) e FROM (SELECT doc_id, n, unnest(range(greatest(ceil((n - 64) / 48), 0)::BIGINT + 1)) i FROM d)),
+t AS (SELECT doc_id, unnest(range(n)) p FROM d),
+o AS (SELECT doc_id, p, max_by(i, least(p - s, e - 1 - p) * 1000000 - i) o FROM t JOIN w USING (doc_id) WHERE p >= s AND p < e GROUP BY doc_id, p)
+SELECT doc_id, o::INTEGER AS "window", min(p)::INTEGER AS first, max(p)::INTEGER AS last, count(*) AS n FROM o GROUP BY doc_id, o
 """)
 def window_owner(load):
-    spark = load("region").sparkSession
-    windows = spark.createDataFrame([(0, 0, 64), (1, 48, 112), (2, 96, 160)], "window int, start int, end int")
-    return segments.window_owner(spark.range(160).select(F.col("id").cast("int").alias("token")), windows)
+    """The words of every document that each of its windows owns."""
+    d = load("documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("token", "word"), F.size(F.split("text", " ")).alias("size"))
+    return segments.window_owner(d, 64, 16).groupBy("doc_id", "window").agg(F.min("token").alias("first"), F.max("token").alias("last"), F.count("*").alias("n"))
 
 
 @query("annotation_tasks")

@@ -1,4 +1,6 @@
 import random
+import re
+import time
 
 import pytest
 
@@ -98,20 +100,51 @@ def test_legacy_rows_by_their_reported_ids(spark):
         mp.convert_legacy(spark.createDataFrame([("gone", *rows[0][1:])], ddl), docs).collect()
 
 
-def test_task_regions_tile_the_text():
-    r = random.Random(1)
-    for _ in range(300):
-        text = "".join(r.choice(["word ", "a. ", "b! ", "\n\n", "\n \n", "x" * 9, "? "]) for _ in range(r.randrange(0, 40)))
-        most = r.randrange(3, 40)
-        parts = segments.task_regions(text, most)
+@pytest.mark.parametrize("most", [3, 11, 40])
+def test_task_regions_tile_the_text(spark, most):
+    """Each region is the longest that ends a sentence and fits, or a hard one where none does; contexts are one sentence more."""
+    r = random.Random(most)
+    texts = ["".join(r.choice(["word ", "a. ", "b! ", "\n\n", "\n \n", "x" * 9, "? ", "é\u2003", "\x1c"]) for _ in range(r.randrange(0, 40))) for _ in range(200)]
+    got = {}
+    for x in segments.task_regions(spark.createDataFrame([*enumerate(texts), (999, None), (0, texts[0])], "doc_id long, text string"), most).orderBy("start").collect():
+        got.setdefault(x.doc_id, []).append(tuple(x)[2:])
+    for k, text in enumerate(texts):
+        parts = got.get(k, [])
         assert "".join(text[a:b] for a, b, *_ in parts) == text
+        edges = [0, *(m.end() for m in re.finditer(r"\n\s*\n", text)), len(text)]
         for a, b, low, high, hard in parts:
-            assert low <= a < b <= high and b - a <= most and a - low <= most and high - b <= most
-            p, q = next((p, q) for p, q in segments.paragraph_spans(text) if p <= a < q)
-            assert p <= low and b <= q and high <= q
-            stop = lambda e, p=p, q=q: e in (p, q) or (text[e - 1].isspace() and text[p:e].rstrip()[-1:] in (".", "!", "?"))
-            if not hard:
-                assert stop(a) and stop(b)
+            p, q = next((p, q) for p, q in zip(edges, edges[1:]) if p <= a < q)
+            stops = [p] + [p + m.end() for m in re.finditer(r"(?<=[.!?])\s+", text[p:q])] + [q]
+            fits = [e for e in stops if a < e <= a + most]
+            assert b == (max(fits) if fits else a + most) and hard == (a not in stops or b not in stops)
+            assert low == max([e for e in stops if e < a] + [p], default=p) if a - most <= max([e for e in stops if e < a] + [p]) else low == a - most
+            assert high == min(min([e for e in stops if e > b] + [q]), b + most) or b == q == high
+
+
+def test_tasks_of_two_texts_of_one_id(spark):
+    """Each region is its own text's, and its id that text's revision."""
+    rows = [(7, "One. Two."), (7, "Three. Four."), (8, "One. Two.")]
+    both = segments.annotation_tasks(spark.createDataFrame(rows, "doc_id long, text string"), "p", "h").collect()
+    each = [x for row in rows for x in segments.annotation_tasks(spark.createDataFrame([row], "doc_id long, text string"), "p", "h").collect()]
+    assert sorted(map(tuple, both)) == sorted(map(tuple, each)) and len({x.task_id for x in both}) == 3
+
+
+def test_owner_of_a_token_is_where_it_lies_deepest(spark):
+    for size, capacity, overlap in ((0, 5, 2), (1, 5, 2), (5, 5, 2), (23, 5, 4), (23, 7, 0), (40, 10, 3)):
+        starts = [a for a in range(0, max(size - overlap, 1), capacity - overlap)]
+        windows = [(a, min(a + capacity, size)) for a in starts]
+        want = [max((min(t - a, b - 1 - t), -k) for k, (a, b) in enumerate(windows) if a <= t < b)[1] * -1 for t in range(size)]
+        tokens = spark.range(-1, size + 2).select(F.col("id").cast("int").alias("token"), F.lit(size).alias("size"))
+        got = [x.window for x in segments.window_owner(tokens, capacity, overlap).orderBy("token").collect()]
+        assert got == [None, *want, None, None]
+        scored = spark.createDataFrame([(t, size, k, k * 100 + t) for k, (a, b) in enumerate(windows) for t in range(a, b)] or [(9, 0, 0, 0)], "token int, size int, window int, score int")
+        assert sorted(x.score for x in segments.stitched(scored, capacity, overlap).collect()) == sorted(k * 100 + t for t, k in enumerate(want))
+
+
+def test_article_sentences_take_linear_time():
+    text = "Some words of a sentence. Then " * 8000
+    began = time.perf_counter()
+    assert len(segments.article_sentences(text)) == 8001 and time.perf_counter() - began < 1
 
 
 def test_article_sentences_mind_citations_and_abbreviations():
