@@ -15,10 +15,28 @@ def viterbi(load):
     return sp.decode_wordpieces(tokens)
 
 
-@query("boundary_repair")
+_TAILS = (" 1.2.3", "®", "The", " 42", "", "-h, 2021", "™® ")
+_GLUED = "|".join(sp.GLUED)
+
+
+@query("boundary_repair", rf"""
+WITH d AS (SELECT doc_id, unnest(string_split(text, ' ')) w, generate_subscripts(string_split(text, ' '), 1) k FROM documents),
+t AS (SELECT min(doc_id) doc_id, w, ([{", ".join(f"'{x}'" for x in _TAILS)}])[1 + k % 7] t FROM d WHERE w <> '' GROUP BY ALL),
+b AS (SELECT doc_id, w || regexp_replace(t, ', .*', '') b, regexp_extract(t, ', .*') || ' here' r FROM t),
+v AS (SELECT *, coalesce(nullif(regexp_extract(b, '[\s(\[](v?\d+(?:\.\d+)+(?:[-+][\w.]+)*\s*)$', 1), ''), regexp_extract(b, '[\s(\[](\d{{2,4}}\s*)$', 1)) v FROM b),
+m AS (SELECT *, b[1:length(b) - length(v)] b1 FROM v), n AS (SELECT *, length(regexp_extract(b1, '[®™©℠]+$')) tm FROM m), o AS (SELECT *, b1[1:length(b1) - tm] b2 FROM n),
+c AS (SELECT *, CASE WHEN length(b2) > 2 AND v = '' AND tm = 0 AND regexp_matches(r, '^,\s*\d{{4}}\b') THEN length(regexp_extract(b2, '-[a-z]$')) ELSE 0 END ci FROM o), e AS (SELECT *, b2[1:length(b2) - ci] b3 FROM c),
+g AS (SELECT *, length(regexp_extract(b3, '[a-z]({_GLUED})$', 1)) gl FROM e), h AS (SELECT *, b3[1:length(b3) - gl] b4 FROM g), i AS (SELECT *, length(regexp_extract(b4, '\s+$')) ws FROM h),
+j AS (SELECT *, CASE WHEN v <> '' THEN ['absorbed_version'] ELSE [] END || list_transform(range(tm), lambda x: 'trademark_suffix') || CASE WHEN ci > 0 THEN ['citation_suffix'] ELSE [] END
+  || CASE WHEN gl > 0 THEN ['glued_function_word'] ELSE [] END || CASE WHEN ws > 0 THEN ['whitespace_trim'] ELSE [] END events FROM i)
+SELECT doc_id, 'VERSION' AS label, 8 + length(b1) AS start, 8 + length(b) AS "end", events FROM j WHERE v <> ''
+UNION ALL SELECT doc_id, 'SOFTWARE', 8, 8 + length(b4) - ws, events FROM j WHERE length(b4) > ws
+""")
 def boundary_repair(load):
-    tails = F.element_at(F.array(*map(F.lit, (" 1.2.3", "®", "The", " 42", "", "-h, 2021"))), (F.pmod("doc_id", F.lit(6)) + 1).cast("int"))
-    d = load("documents").select("doc_id", F.concat(F.lit("We used "), F.get(F.split("text", " "), F.lit(0)), tails, F.lit(" here")).alias("text"), F.get(F.split("text", " "), F.lit(0)).alias("w"), tails.alias("t"))
+    """Every word of the documents, with an ending of each kind that it stands with."""
+    words = load("documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("k", "w")).where("w <> ''")
+    tail = F.element_at(F.array(*map(F.lit, _TAILS)), F.pmod(F.col("k") + 1, F.lit(7)) + 1)
+    d = words.groupBy("w", tail.alias("t")).agg(F.min("doc_id").alias("doc_id")).withColumn("text", F.concat(F.lit("We used "), "w", "t", F.lit(" here")))
     end = 8 + F.length("w") + F.length(F.regexp_replace("t", ", .*", ""))
     return sp.repair_boundaries(d.select("doc_id", "text", F.lit(8).cast("long").alias("start"), end.cast("long").alias("end"), F.lit("SOFTWARE").alias("label")))
 

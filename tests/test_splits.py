@@ -90,15 +90,16 @@ def test_merge_problems_name_what_differs(spark):
     assert sorted((r.doc_id, r.problem) for r in sm.merge_problems(a, b, ["p", "q"]).collect()) == [(1, "differs: q"), (2, "twice"), (3, "only left"), (4, "only right")]
 
 
-def test_boundary_policies():
-    text = "use ImageJ® 1.2.3 or Image"
-    assert spans.repair(text, 4, 17, "SOFTWARE", "none") == ([("SOFTWARE", 4, 17)], [])
-    assert spans.repair(text, 4, 17, "SOFTWARE")[1] == ["absorbed_version", "whitespace_trim"]  # the sign stands before a blank
-    kept, events = spans.repair_all("Image J", [("SOFTWARE", 0, 7), ("SOFTWARE", 0, 5), ("VERSION", 0, 5), ("SOFTWARE", 0, 7)])
-    assert kept == [("SOFTWARE", 0, 7), ("VERSION", 0, 5)] and events == ["nested_span"]
-    assert spans.repair_all("Image J", [("SOFTWARE", 0, 7), ("SOFTWARE", 0, 5)], "none")[0] == [("SOFTWARE", 0, 7), ("SOFTWARE", 0, 5)]
-    with pytest.raises(KeyError):
-        spans.repair("x", 0, 1, "SOFTWARE", "other")
+def test_boundary_policies(spark):
+    frame = spark.createDataFrame([(1, "use ImageJ® 1.2.3 or Image", 4, 17, "SOFTWARE")], "doc_id long, text string, start long, end long, label string")
+    assert [tuple(x) for x in spans.repair_boundaries(frame, "none").collect()] == [(1, "SOFTWARE", 4, 17, [])]
+    assert spans.repair_boundaries(frame).first().events == ["absorbed_version", "whitespace_trim"]  # the sign stands before a blank
+    rows = [(1, "SOFTWARE", 0, 7), (1, "SOFTWARE", 0, 5), (1, "VERSION", 0, 5), (1, "SOFTWARE", 0, 7), (1, "SOFTWARE", 2, 7), (1, "SOFTWARE", 5, 9), (2, "SOFTWARE", 0, 5)]
+    kept = spark.createDataFrame(rows, "doc_id long, label string, start long, end long")
+    assert sorted(tuple(x) for x in spans.resolved_spans(kept).collect()) == [(1, "SOFTWARE", 0, 7), (1, "SOFTWARE", 5, 9), (1, "VERSION", 0, 5), (2, "SOFTWARE", 0, 5)]
+    assert sorted(tuple(x) for x in spans.resolved_spans(kept, "none").collect()) == sorted(set(rows))
+    with pytest.raises(ValueError, match="other"):
+        spans.repair_boundaries(frame, "other")
 
 
 def test_review_states_follow_the_stamps(spark):
