@@ -31,11 +31,12 @@ class Policy:
 def project(text: Column, start: Column, end: Column) -> Column:
     """Span of the normal form that a source span becomes; null if one of its ends cuts what is written as one, such as a run of
     blanks or a line end of two characters. Three parts of a text read on their own give the whole text's normal form only if
-    no such run is cut, so that is what is compared."""
+    no such run is cut, so that is what is compared where an end lies between two blank characters; elsewhere it cuts none."""
     s, e = start.cast("int"), end.cast("int")
+    between = lambda at: (at > 0) & F.substring(text, at, 2).rlike("[ \\t\\r\\n\u00a0]{2}")
     head, body, tail = (t.normalize_v2(x) for x in (F.substring(text, F.lit(1), s), F.substring(text, s + 1, e - s), F.substring(text, e + 1, F.length(text))))
     begin = F.length(head).cast("long")
-    whole = (F.concat(head, body, tail) == t.normalize_v2(text)) & (s >= 0) & (e > s) & (e <= F.length(text)) & (F.length(body) > 0)
+    whole = F.when(between(s) | between(e), F.concat(head, body, tail) == t.normalize_v2(text)).otherwise(F.lit(True)) & (s >= 0) & (e > s) & (e <= F.length(text)) & (F.length(body) > 0)
     return F.when(whole, F.struct(begin.alias("start"), (begin + F.length(body)).alias("end")))
 
 

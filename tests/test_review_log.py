@@ -229,7 +229,9 @@ def test_a_restored_stream_ends_where_one_without_a_stop_does(spark, tmp_path):
     for name, part in (("all", rows), ("first", rows[:30]), ("rest", rows[30:])):
         (tmp_path / name).mkdir()
         for k in range(0, len(part), 15):
-            (tmp_path / name / f"{k:03}.json").write_text("\n".join(map(json.dumps, part[k : k + 15])) + "\n")
+            file = tmp_path / name / f"{k:03}.json"
+            file.write_text("\n".join(map(json.dumps, part[k : k + 15])) + "\n")
+            os.utime(file, (10**9 + k, 10**9 + k))  # a stream takes files in order of time
     want = {k: (t.annotation, t.revision, t.status) for k, t in live.items()}
     state = lambda told, base: {x.task_id: (json.loads(x.annotation), x.revision, x.status) for x in review.latest_items(told, base).collect()}
     assert state(stream_of(spark, str(tmp_path / "all"), items, str(tmp_path / "ck1")), items) == want
