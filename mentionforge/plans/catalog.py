@@ -37,4 +37,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["fast_text_match"](spark, sf_dir)
 
 
-from mentionforge.plans import annotating, contracting, corpus, evaluation, importing, linking, logging, mapping, reviewing, sequences, splitting, summarizing, supervising, texts  # noqa: E402,F401  they register
+from mentionforge.plans import annotating, contracting, corpus, evaluation, importing, linking, logging, mapping, predicting, reviewing, sequences, splitting, summarizing, supervising, texts  # noqa: E402,F401  they register
