@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from mentionforge.functions import text as t
 from mentionforge.operators import hygiene as hy
 from mentionforge.operators import review as rv
+from mentionforge.operators.witnesses import alias_layer
 from mentionforge.plans.catalog import query
 from mentionforge.plans.evaluation import _PRED, _SPANS, _gold, _predicted
 
@@ -205,3 +206,21 @@ def url_entities(load):
     keyed = u.select("task", t.repo_key(F.col("url")).alias("repo"), t.url_package(F.col("url"))["package"].alias("package"), t.home_form(F.col("url")).alias("home"))
     hits = [keyed.join(e, c).select("task", "entity_id") for c in ("repo", "package", "home")]
     return hits[0].unionByName(hits[1]).unionByName(hits[2]).distinct()
+
+
+_CHAINS = """
+WITH RECURSIVE c AS (SELECT c_custkey k FROM customer),
+e AS (SELECT x.k a, y.k b FROM c x JOIN c y ON (y.k = x.k + 1 OR (y.k = x.k + 5 AND x.k % 3 = 0)) AND y.k // 12 = x.k // 12), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+d AS (SELECT x.k a, y.k b FROM c x JOIN c y ON x.k % 4 = 0 AND y.k IN (x.k + 9, x.k + 13)), s AS (SELECT a, b, a AS n, 0 AS l FROM d UNION SELECT s.a, s.b, u.b, s.l + 1 FROM s JOIN u ON u.a = s.n WHERE s.l < 12)
+"""
+
+
+@query("alias_contradictions", _CHAINS + "SELECT a || '-' || b AS relation_id, a, b, min(l)::INTEGER AS steps FROM s WHERE n = b GROUP BY a, b")
+def alias_contradictions(load):
+    """Customers of a dozen are aliases of the next, every third of the fifth behind it too; every fourth is none of two others."""
+    k = load("customer").select(F.col("c_custkey").cast("long").alias("a"))
+    said = k.select("a", F.explode(F.array(F.struct((F.col("a") + 1).alias("b"), F.lit("alias").alias("decision")), F.struct((F.col("a") + 5).alias("b"), F.when(F.col("a") % 3 == 0, F.lit("alias")).alias("decision")))).alias("x")).select("a", "x.*")
+    said = said.where("decision is not null and floor(a / 12) = floor(b / 12)")
+    denied = k.where("a % 4 = 0").select("a", F.explode(F.array(F.col("a") + 9, F.col("a") + 13)).alias("b"), F.lit("not_alias").alias("decision"))
+    rows = said.unionByName(denied).join(k.select(F.col("a").alias("b")), "b", "left_semi").select(F.concat_ws("-", "a", "b").alias("relation_id"), "a", "b", "decision", F.lit(None).cast("long").alias("preferred"))
+    return alias_layer(rows)[1]
