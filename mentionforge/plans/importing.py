@@ -57,6 +57,7 @@ def corpus_build(load):
     base = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 1, F.lit(".tei.xml")).otherwise(F.lit("")))
     c = corpora.build_corpus(files, load("documents").select(F.lit("docs").alias("source"), base.alias("id"), F.explode(roles).alias("role")))
     n = lambda df, name: df.groupBy("document_id").agg(F.count("*").alias(name))
-    j = c.ledger.join(c.documents.select("document_id", "native_split"), "document_id", "left").join(n(c.occurrences, "o"), "document_id", "left").join(n(c.issues, "i"), "document_id", "left")
-    made = F.col("document_id").isNotNull()
-    return j.select("path", "member", "outcome", "code", "native_split", F.when(made, F.coalesce("o", F.lit(0))).alias("n_occurrences"), F.when(made, F.coalesce("i", F.lit(0))).alias("n_issues"))
+    counts = n(c.occurrences, "o").unionByName(n(c.issues, "i"), allowMissingColumns=True).groupBy("document_id").agg(F.max("o").alias("n_occurrences"), F.max("i").alias("n_issues"))
+    made = c.ledger.where("document_id is not null").join(c.documents.select("document_id", "native_split"), "document_id").join(counts, "document_id", "left").fillna(0, ["n_occurrences", "n_issues"])
+    columns = ["path", "member", "outcome", "code"]
+    return made.select(*columns, "native_split", "n_occurrences", "n_issues").unionByName(c.ledger.where("document_id is null").select(*columns), allowMissingColumns=True)

@@ -134,7 +134,8 @@ def _mapped(read: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame
 def _corpus(read: DataFrame, named: DataFrame) -> Corpus:
     """read: rows of _read with document_id, identifier and code, null where there is no document; named: what documents keep besides."""
     twice = F.count("document_id").over(W.partitionBy("document_id")) > 1
-    judged = materialize(read.withColumn("code", F.coalesce("code", F.when(F.col("document_id").isNotNull() & twice, F.lit("DUPLICATE_SOURCE_ID")))), "read")
+    made = read.where("document_id is not null").withColumn("code", F.coalesce("code", F.when(twice, F.lit("DUPLICATE_SOURCE_ID"))))
+    judged = materialize(made.unionByName(read.where("document_id is null")), "read")  # rows without an id meet nowhere
     good = judged.where("document_id is not null and code is null")
     normal, occurrences, coverage, issues = _mapped(good, named)
     outcome = F.when(F.col("document_id").isNotNull() & F.col("code").isNotNull(), F.lit("failed")).otherwise(F.col("outcome"))
