@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not where:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isEmpty():
-            if not spark.sparkContext.master.startswith("local["):
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "mentionforge-checkpoints"))
             found = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -43,9 +44,14 @@ TASK_EDGES = 250_000
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (u, v) of a task to its stars: a row (u, v) for each vertex but the smallest v of its component."""
+    """Edges (u, v) of a task to its stars: a row (u, v) for each vertex but the smallest v of its component. A task with more vertices
+    than TASK_EDGES edges have gives its stars whenever it holds that many, and begins anew."""
     up, kind = {}, pa.int64()
 
+    def stars():
+        pairs = [(x, r) for x in up if (r := root(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], kind) for k in (0, 1)], ["u", "v"])
+
     def root(x):
         while (y := up.setdefault(x, x)) != x:
             up[x] = x = up[y] if y in up else y
@@ -57,8 +63,10 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = root(u), root(v)
             if a != b:
                 up[max(a, b)] = min(a, b)
-    pairs = [(x, r) for x in up if (r := root(x)) != x]
-    yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], kind) for k in (0, 1)], ["u", "v"])
+        if len(up) > 2 * TASK_EDGES:
+            yield stars()
+            up.clear()
+    yield stars()
 
 
 def connected(edges: DataFrame, task_edges: int | None = None, most_rounds: int = 40) -> DataFrame:
@@ -72,7 +80,7 @@ def connected(edges: DataFrame, task_edges: int | None = None, most_rounds: int
     edges meet them in a plain join that adaptive execution can split. Only counts come to the driver."""
     plain = edges.where("a is not null and b is not null and a <> b")
     e = materialize(plain.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    tasks = -(-e.count() // (task_edges or TASK_EDGES)) or 1
+    tasks = -(-e.count() // min(task_edges or TASK_EDGES, TASK_EDGES)) or 1
     e = materialize(map_in_arrow(e.coalesce(tasks), _contract, e.schema), "stars")
     if tasks == 1:
         return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())

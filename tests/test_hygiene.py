@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,6 +21,25 @@ def test_components(spark, task_edges):
     assert graph.connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_task_holds_so_many_vertices_at_once(monkeypatch):
+    """Stars of parts have the same components as the edges, however often a task begins anew."""
+    monkeypatch.setattr(graph, "TASK_EDGES", 10)
+    r = random.Random(5)
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(400)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([max(e) for e in edges[k : k + 15]]), pa.array([min(e) for e in edges[k : k + 15]])], ["u", "v"]) for k in range(0, 400, 15)]
+    out = list(graph._contract(iter(batches)))
+
+    def roots(pairs):
+        up = {x: x for x in range(60)}
+        for _ in range(60):
+            for a, b in pairs:
+                up[a] = up[b] = min(up[a], up[b])
+        return up
+
+    stars = [(u, v) for b in out for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    assert len(out) > 3 and roots(stars) == roots(edges)
+
+
 def test_near_duplicates_and_excerpts(spark):
     base = [f"w{k}" for k in range(100)]
     docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(base + ["more"])), (3, " ".join(base[10:30])), (4, "quite another text of seven words here"), (5, ""), (6, None)], "doc_id long, text string")
