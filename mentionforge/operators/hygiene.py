@@ -135,3 +135,41 @@ def round_robin(df: DataFrame, stratum: str, order: Sequence, n: int, priority:
     first = [F.col(priority)] if priority else []
     turn = F.row_number().over(W.partitionBy(*([priority] if priority else []), stratum).orderBy(*order))
     return df.withColumn("_turn", turn).where(F.col("_turn") <= n).orderBy(*first, "_turn", stratum).limit(n).drop("_turn")
+
+
+def exclusion_reasons(docs: DataFrame, held: DataFrame, doc_ids: DataFrame, held_ids: DataFrame, jaccard: float = 0.85, least_excerpt: int = 6, width: int = 5) -> DataFrame:
+    """(doc_id, held_id, reason) of documents (doc_id, text) that held-out ones (held_id, text) bar: identifier_overlap where they share
+    a key (doc_id, key; held_id, key), else text_overlap where their texts are equal with white space collapsed, their sets of
+    shingles nearly agree, or one of `least_excerpt` shingles or more lies in the other.
+
+    Shared shingles are counted exactly, for each pair that has one; what is joined is a document's distinct shingle hashes, and
+    the join is with those of the held-out texts alone. Null and short texts have no shingles; null ids, keys and texts meet
+    nothing; repeated rows count once."""
+    grams = lambda df, key: df.where(F.col(key).isNotNull()).select(key, F.array_distinct(F.transform(t.shingles(F.col("text"), width), lambda g: F.xxhash64(g))).alias("g")).dropDuplicates([key]).where(F.size("g") > 0)
+    a = materialize(grams(docs, "doc_id").withColumn("na", F.size("g")), "shingles")
+    b = materialize(grams(held, "held_id").withColumn("nb", F.size("g")), "shingles")
+    shared = a.select("doc_id", "na", F.explode("g").alias("g")).join(b.select("held_id", "nb", F.explode("g").alias("g")), "g").groupBy("doc_id", "held_id", "na", "nb").agg(F.count("*").alias("i"))
+    least = F.least("na", "nb")
+    near = shared.where((F.col("i") >= F.lit(jaccard) * (F.col("na") + F.col("nb") - F.col("i"))) | ((least >= least_excerpt) & (F.col("i") == least))).select("doc_id", "held_id")
+    digest = t.text_digest(F.col("text")).alias("d")
+    same = docs.where("text is not null").select("doc_id", digest).join(held.where("text is not null").select("held_id", digest), "d").select("doc_id", "held_id")
+    keyed = doc_ids.select("doc_id", "key").distinct().join(held_ids.select("held_id", "key").distinct(), "key").select("doc_id", "held_id")
+    both = keyed.withColumn("k", F.lit(True)).unionByName(near.unionByName(same).withColumn("k", F.lit(False))).dropna(subset=["doc_id", "held_id"])
+    return both.groupBy("doc_id", "held_id").agg(F.when(F.max("k"), F.lit("identifier_overlap")).otherwise(F.lit("text_overlap")).alias("reason"))
+
+
+#: Keys that name a record here and no source.
+OWN_KEYS = ("document_id:", "work_group_id:")
+
+
+def exposure_issues(rows: DataFrame) -> DataFrame:
+    """(exposure_id, code, keys) of exposures (exposure_id, identity_keys, associations): MISSING_SOURCE_IDENTIFIERS where no key is a
+    source's, and MISSING_DOI, with the catalogue ids (openalex:) of those associations, lists of keys that belong together, in
+    which no doi: is known. Null lists count as empty; repeated rows give theirs again."""
+    none = F.array().cast("array<string>")
+    starts = lambda x, *p: F.coalesce(F.greatest(*[F.startswith(x, F.lit(y)).cast("int") for y in (*p, *p)]) == 1, F.lit(False))
+    own = F.forall(F.coalesce("identity_keys", none), lambda x: starts(x, *OWN_KEYS))
+    lacking = F.filter(F.coalesce("associations", F.array().cast("array<array<string>>")), lambda g: ~F.exists(g, lambda x: starts(x, "doi:")))
+    open_ = F.array_sort(F.array_distinct(F.filter(F.flatten(lacking), lambda x: starts(x, "openalex:"))))
+    found = F.array(F.when(own, F.struct(F.lit("MISSING_SOURCE_IDENTIFIERS").alias("code"), none.alias("keys"))), F.when(F.size(open_) > 0, F.struct(F.lit("MISSING_DOI").alias("code"), open_.alias("keys"))))
+    return rows.select("exposure_id", F.inline(F.array_compact(found)))

@@ -129,3 +129,28 @@ def vocab_overlap(load):
 @query("inventory", "SELECT source, count(*)::BIGINT AS n_documents, sum(length(text))::BIGINT AS n_chars, sum(strlen(text))::BIGINT AS n_bytes, min(sha256(text)) AS first_digest FROM documents GROUP BY source")
 def inventory(load):
     return load("documents").groupBy("source").agg(F.count("*").alias("n_documents"), F.sum(F.length("text")).alias("n_chars"), F.sum(F.octet_length("text")).alias("n_bytes"), F.min(F.sha2(F.col("text").cast("binary"), 256)).alias("first_digest"))
+
+
+@query("exclusion_reasons", f"""
+WITH {_SETS}, b AS (SELECT item_id, unnest(list_distinct(CASE WHEN len(ws) < 5 THEN []::VARCHAR[] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END)) g FROM (SELECT item_id, {_WORDS} ws FROM benchmark)),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY ALL), m AS (SELECT item_id, count(*) m FROM b GROUP BY ALL), i AS (SELECT doc_id, item_id, count(*) i FROM s JOIN b USING (g) GROUP BY ALL),
+x AS (SELECT doc_id, item_id, FALSE k FROM i JOIN n USING (doc_id) JOIN m USING (item_id) WHERE i >= 0.85 * (n + m - i) OR (least(n, m) >= 6 AND i = least(n, m))
+  UNION ALL SELECT doc_id, item_id, TRUE FROM documents JOIN benchmark ON doc_id % 1000 = item_id * 3)
+SELECT doc_id, item_id AS held_id, CASE WHEN bool_or(k) THEN 'identifier_overlap' ELSE 'text_overlap' END AS reason FROM x GROUP BY ALL
+""")
+def exclusion_reasons(load):
+    """Documents that the items of the benchmark bar; a thousand documents share its identifiers in turn."""
+    d, b = load("documents").select("doc_id", "text"), load("benchmark").select(F.col("item_id").alias("held_id"), "text")
+    return hy.exclusion_reasons(d, b, d.select("doc_id", (F.col("doc_id") % 1000).alias("key")), b.select("held_id", (F.col("held_id") * 3).alias("key")))
+
+
+@query("exposure_issues", """
+SELECT o_orderkey AS exposure_id, unnest(CASE WHEN o_custkey % 3 = 0 THEN [{code: 'MISSING_SOURCE_IDENTIFIERS', keys: []::VARCHAR[]}] ELSE [] END
+  || CASE WHEN o_custkey % 5 < 3 THEN [{code: 'MISSING_DOI', keys: ['openalex:' || o_orderkey]}] ELSE [] END, recursive := TRUE) FROM orders
+""")
+def exposure_issues(load):
+    o = load("orders").select(F.col("o_orderkey").alias("exposure_id"), "o_custkey", F.col("o_orderkey").cast("string").alias("k"))
+    own, open_, doi = F.concat(F.lit("document_id:"), "k"), F.concat(F.lit("openalex:"), "k"), F.concat(F.lit("doi:10.1/"), "k")
+    keys = F.when(F.col("o_custkey") % 3 == 0, F.array(own)).otherwise(F.array(own, doi))
+    groups = F.when(F.col("o_custkey") % 5 < 3, F.array(F.array(open_, own), F.array(open_))).otherwise(F.array(F.array(open_, doi), F.array(own)))
+    return hy.exposure_issues(o.select("exposure_id", keys.alias("identity_keys"), groups.alias("associations")))

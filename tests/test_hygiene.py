@@ -90,3 +90,36 @@ def test_ranks_over_ranges(spark):
         order = sorted((x for x in rows if x[0] == key), key=lambda x: (x[1] is not None, x[1] or 0, x[2]))
         assert [got[x[2]] for x in order] == [(k + 1, len(order)) for k in range(len(order))]
     assert ranked(df.where("false"), ["key"], ["v"]).count() == 0
+
+
+def test_exclusion_reasons_match_brute_force(spark):
+    r = random.Random(11)
+    base = [f"w{k}" for k in range(60)]
+
+    def text():
+        w = list(base if r.random() < 0.6 else base[r.randrange(20) : r.randrange(30, 60)])
+        for _ in range(r.randrange(3)):
+            w[r.randrange(len(w))] = f"e{r.randrange(99)}"
+        return r.choice([" ", "  "]).join(w)
+
+    docs, held = [(k, text()) for k in range(40)] + [(40, "a b"), (41, None)], [(k, text()) for k in range(15)] + [(15, "a  b"), (16, None)]
+    keys, held_keys = [(k, f"k{k % 9}") for k in range(20)] + [(41, None)], [(k, f"k{k % 12}") for k in range(16)] + [(16, None)]
+    grams = lambda x: {tuple(w[i : i + 5]) for w in [(x or "").lower().split()] for i in range(len(w) - 4)}
+    want = {}
+    for a, x in docs:
+        for b, y in held:
+            s, u = grams(x), grams(y)
+            near = s and u and (len(s & u) >= 0.85 * len(s | u) or (min(len(s), len(u)) >= 6 and (s <= u or u <= s)))
+            if {k for i, k in keys if i == a and k} & {k for i, k in held_keys if i == b and k}:
+                want[a, b] = "identifier_overlap"
+            elif near or (x is not None and y is not None and x.split() == y.split()):
+                want[a, b] = "text_overlap"
+    frame = lambda rows, ddl: spark.createDataFrame([*rows, rows[0]], ddl)
+    got = hygiene.exclusion_reasons(frame(docs, "doc_id long, text string"), frame(held, "held_id long, text string"), frame(keys, "doc_id long, key string"), frame(held_keys, "held_id long, key string")).collect()
+    assert {(x.doc_id, x.held_id): x.reason for x in got} == want and len(got) == len(want) > 50
+
+
+def test_exposure_issues(spark):
+    rows = [(1, ["document_id:a"], None), (2, ["doi:1", "document_id:a"], [["openalex:w", "document_id:a"], ["openalex:v", "doi:1"], ["openalex:u"]]), (3, None, [["doi:1"]]), (4, ["pmid:1", None], [])]
+    got = hygiene.exposure_issues(spark.createDataFrame(rows, "exposure_id long, identity_keys array<string>, associations array<array<string>>")).collect()
+    assert sorted((x.exposure_id, x.code, x["keys"]) for x in got) == [(1, "MISSING_SOURCE_IDENTIFIERS", []), (2, "MISSING_DOI", ["openalex:u", "openalex:w"]), (3, "MISSING_SOURCE_IDENTIFIERS", [])]
