@@ -56,6 +56,11 @@ class _Review(StatefulProcessor):
         pass
 
 
+@F.pandas_udf("string")
+def _marks(payloads: pd.Series) -> pd.Series:
+    return payloads.map(lambda p: rl.digest(json.loads(p)))
+
+
 def review_stream(decisions: DataFrame, items: DataFrame, applied: DataFrame | None = None) -> DataFrame:
     """A stream of decisions (decision_id, task_id, seq, payload) as rows (OUT_DDL): one for each decision with its outcome, and one for each
     task that a batch touched, with its annotation then. items (ITEM_DDL) are where it starts, and applied the decisions that
@@ -63,8 +68,7 @@ def review_stream(decisions: DataFrame, items: DataFrame, applied: DataFrame | N
     ship(items.sparkSession)
     marks = items.select("task_id", F.lit("{}").alias("seen"))
     if applied is not None:
-        mark = F.udf(lambda p: rl.digest(json.loads(p)), "string")
-        told = applied.select("task_id", "decision_id", mark("payload").alias("mark")).groupBy("task_id").agg(F.to_json(F.map_from_entries(F.collect_set(F.struct("decision_id", "mark")))).alias("seen"))
+        told = applied.select("task_id", "decision_id", _marks("payload").alias("mark")).groupBy("task_id").agg(F.to_json(F.map_from_entries(F.collect_set(F.struct("decision_id", "mark")))).alias("seen"))
         marks = items.select("task_id").join(told, "task_id", "left").withColumn("seen", F.coalesce("seen", F.lit("{}")))
     start = items.join(marks, "task_id").select("task_id", "task", "annotation", F.col("revision").cast("long").alias("revision"), "status", "seen")
     return decisions.select("task_id", "seq", "decision_id", "payload").groupBy("task_id").transformWithStateInPandas(
