@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from mentionforge.operators import review_log as rl
@@ -56,7 +57,7 @@ class _Review(StatefulProcessor):
         pass
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _marks(payloads: pd.Series) -> pd.Series:
     return payloads.map(lambda p: rl.digest(json.loads(p)))
 
