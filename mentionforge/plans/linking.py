@@ -50,7 +50,7 @@ SELECT r AS record, r AS entity_id, fl AS flags, CASE WHEN len(fl) > 0 THEN 'low
 """)
 def czi_flags(load):
     links = load("part").where("p_size % 5 = 0").select(F.col("p_partkey").alias("record"), F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), F.when(F.col("p_size") % 10 == 0, F.lit("dummy package")).otherwise(F.col("p_type")).alias("description"))
-    return rg.catalogue_flags(links, rg.surface_forms(_entities(load)))
+    return rg.catalogue_flags(links, rg.form_claims(_entities(load)))
 
 
 _EAV = "SELECT l_partkey s, 'status' k, l_returnflag v, CASE WHEN l_linenumber % 2 = 0 THEN 'en' ELSE 'de' END lang FROM lineitem UNION ALL SELECT l_partkey, 'line', l_linestatus, NULL FROM lineitem"
