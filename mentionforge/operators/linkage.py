@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from mentionforge.functions import scores
 from mentionforge.functions import text as t
+from mentionforge.operators.registry import claims_of
 from mentionforge.session import map_in_arrow
 
 MOST_CANDIDATES = 12
@@ -28,28 +29,35 @@ WRAPPER = r"(?i)\b(wrapper|bindings?|interface (?:to|for)|port of|client for|emu
 PLACEHOLDER = r"(?i)\b(reserved|placeholder|security holding package|dummy package)\b"
 
 
-def _flat(forms: DataFrame, kind: str, name: str) -> DataFrame:
-    return forms.where(F.col("key_type") == kind).select(F.col("form").alias(name), F.explode("entities.entity_id").alias("entity_id"))
+def first_claims(forms: DataFrame, most: int = MOST_CANDIDATES) -> DataFrame:
+    """(key_type, form, entity_id) of the first `most` entities, by id, of each form; forms: form_claims, or surface_forms. An entity
+    behind them in a form has `most` before it for every name that finds the form, so no list of candidates takes it."""
+    by = W.partitionBy("key_type", "form").orderBy("entity_id")
+    return claims_of(forms).select("key_type", "form", "entity_id").withColumn("_r", F.row_number().over(by)).where(F.col("_r") <= most).drop("_r")
+
+
+def _flat(claims: DataFrame, kind: str, name: str) -> DataFrame:
+    return claims.where(F.col("key_type") == kind).select(F.col("form").alias(name), "entity_id")
 
 
 def exact_candidates(names: DataFrame, forms: DataFrame, most: int = MOST_CANDIDATES) -> DataFrame:
     """(name, entity_id) of the exact matches that `candidates` keeps: the first `most` ids of the name's exact form."""
     q = names.select("name").distinct().select("name", t.exact_form(F.col("name")).alias("e"))
-    ids = forms.where("key_type = 'exact'").select(F.col("form").alias("e"), F.slice(F.array_sort("entities.entity_id"), 1, most).alias("ids"))
-    return q.join(ids, "e").select("name", F.explode("ids").alias("entity_id"))
+    return q.join(_flat(first_claims(forms.where("key_type = 'exact'"), most), "exact", "e"), "e").select("name", "entity_id")
 
 
-def _matches(names: DataFrame, forms: DataFrame) -> DataFrame:
-    """(name, entity_id, m, form) of every match, m being 0 (exact), 1 (loose) or 2 (token).
+def _matches(names: DataFrame, forms: DataFrame, most: int) -> DataFrame:
+    """(name, entity_id, m, form) of the matches of the first `most` entities of each form, m being 0 (exact), 1 (loose) or 2 (token).
 
     A form that holds all tokens of a name holds its rarest one: names are joined with forms on that alone, and the others are
     looked up on the row. A token that every form holds is joined on only for names that have no other."""
+    claims = first_claims(forms, most)
     q = names.select("name").distinct().select("name", t.exact_form(F.col("name")).alias("e"), t.loose_form(F.col("name")).alias("l"), F.array_distinct(t.index_tokens(F.col("name"))).alias("tk"))
-    exact = _flat(forms, "exact", "e")
+    exact = _flat(claims, "exact", "e")
     by_exact = q.join(exact, "e").select("name", "entity_id", F.lit(0).alias("m"), F.col("name").alias("form"))
-    by_loose = q.join(_flat(forms, "loose", "l"), "l").select("name", "entity_id", F.lit(1).alias("m"), F.col("name").alias("form"))
+    by_loose = q.join(_flat(claims, "loose", "l"), "l").select("name", "entity_id", F.lit(1).alias("m"), F.col("name").alias("form"))
     long = q.where(F.exists("tk", lambda x: F.length(x) >= 3)).select("name", "e", "tk", F.explode("tk").alias("token"))
-    held = forms.where("key_type = 'exact'").select(F.col("form").alias("f"), F.array_distinct(t.index_tokens(F.col("form"))).alias("ftk")).withColumn("token", F.explode("ftk"))
+    held = exact.select(F.col("e").alias("f")).distinct().select("f", F.array_distinct(t.index_tokens(F.col("f"))).alias("ftk")).withColumn("token", F.explode("ftk"))
     df = held.groupBy("token").agg(F.count("*").alias("df"))
     rarest = long.join(df, "token", "left").groupBy("name", "e", "tk").agg(F.min(F.struct(F.coalesce("df", F.lit(0)), "token"))["token"].alias("token"))
     whole = rarest.join(held, "token").where((F.col("f") != F.col("e")) & (F.size(F.array_except("tk", "ftk")) == 0))
@@ -61,21 +69,28 @@ def _kind(m: Column) -> Column:
     return F.element_at(F.array(F.lit("exact"), F.lit("loose"), F.lit("token")), m + 1)
 
 
+def _best_matches(names: DataFrame, forms: DataFrame, most: int) -> DataFrame:
+    """(name, entity_id, b), b being the best match's (m, form): the first `most` entities of each name by m and id."""
+    best = _matches(names, forms, most).groupBy("name", "entity_id").agg(F.min(F.struct("m", "form")).alias("b"))
+    return best.withColumn("_r", F.row_number().over(W.partitionBy("name").orderBy("b.m", "entity_id"))).where(F.col("_r") <= most).drop("_r")
+
+
 def candidates(names: DataFrame, forms: DataFrame, most: int = MOST_CANDIDATES) -> DataFrame:
     """(name, entity_id, match) of up to `most` entities for each name: exact form, else loose form, else a form that holds
     all its tokens; the best match of an entity counts, matches are taken in that order and then by id."""
-    best = _matches(names, forms).groupBy("name", "entity_id").agg(F.min("m").alias("m"))
-    ranked = best.withColumn("_r", F.row_number().over(W.partitionBy("name").orderBy("m", "entity_id"))).where(F.col("_r") <= most)
-    return ranked.select("name", "entity_id", _kind(F.col("m")).alias("match"))
+    return _best_matches(names, forms, most).select("name", "entity_id", _kind(F.col("b.m")).alias("match"))
 
 
 def task_candidates(tasks: DataFrame, forms: DataFrame, most: int = MOST_CANDIDATES) -> DataFrame:
     """(task, entity_id, match, matched_form) from tasks (task, surface_forms): as candidates, over all forms of a task in their
     order. Exact matches of any form come before loose ones, and those before token ones; the form that matched is the first
-    that finds the entity that way, for tokens the catalogue's. Tasks without forms have no rows; repeated tasks count once."""
+    that finds the entity that way, for tokens the catalogue's. Tasks without forms have no rows; repeated tasks count once.
+
+    What comes before an entity in one form's list comes before it in the task's, so a task meets the first `most` of each form."""
     each = tasks.select("task", F.posexplode("surface_forms").alias("k", "name")).where("name is not null")
-    hits = each.join(_matches(each.select("name"), forms), "name")
-    best = hits.groupBy("task", "entity_id").agg(F.min(F.struct("m", "k", "form")).alias("b"))
+    lists = _best_matches(each.select("name"), forms, most).groupBy("name").agg(F.collect_list(F.struct("entity_id", "b")).alias("found"))
+    hits = each.join(lists, "name").select("task", "k", "found").repartition("task").select("task", "k", F.inline("found"))
+    best = hits.groupBy("task", "entity_id").agg(F.min(F.struct(F.col("b.m").alias("m"), "k", F.col("b.form").alias("form"))).alias("b"))
     ranked = best.withColumn("_r", F.row_number().over(W.partitionBy("task").orderBy("b.m", "entity_id"))).where(F.col("_r") <= most)
     return ranked.select("task", "entity_id", _kind(F.col("b.m")).alias("match"), F.col("b.form").alias("matched_form"))
 

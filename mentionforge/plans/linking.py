@@ -119,7 +119,7 @@ best AS (SELECT task, e, min((m, k, f)) b FROM tk JOIN hit USING (w) GROUP BY ta
 def task_candidates(load):
     part = load("part").join(load("lineitem").select(F.col("l_partkey").alias("p_partkey")).distinct(), "p_partkey", "left_semi")
     tasks = part.select(F.col("p_partkey").alias("task"), F.array(F.upper("p_brand"), F.col("p_name"), F.replace("p_name", F.lit(" "), F.lit(""))).alias("surface_forms"))
-    return ln.task_candidates(tasks, rg.surface_forms(_entities(load)))
+    return ln.task_candidates(tasks, rg.form_claims(_entities(load)))
 
 
 def _popularity(load):

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -123,3 +124,22 @@ def test_exposure_issues(spark):
     rows = [(1, ["document_id:a"], None), (2, ["doi:1", "document_id:a"], [["openalex:w", "document_id:a"], ["openalex:v", "doi:1"], ["openalex:u"]]), (3, None, [["doi:1"]]), (4, ["pmid:1", None], [])]
     got = hygiene.exposure_issues(spark.createDataFrame(rows, "exposure_id long, identity_keys array<string>, associations array<array<string>>")).collect()
     assert sorted((x.exposure_id, x.code, x["keys"]) for x in got) == [(1, "MISSING_SOURCE_IDENTIFIERS", []), (2, "MISSING_DOI", ["openalex:u", "openalex:w"]), (3, "MISSING_SOURCE_IDENTIFIERS", [])]
+
+
+def test_what_many_entities_claim_makes_no_pairs(spark):
+    """Forms that thousands of entities claim: flags look at the form's ends, and lists take the first of each form."""
+    n = 6000
+    e = spark.range(n).select(F.col("id").alias("entity_id"), F.array(F.when(F.col("id") == n - 1, F.lit("lone name")).otherwise(F.lit("One tool"))).alias("names"), F.array(F.lit("hub kit")).alias("aliases"), F.array().cast("array<string>").alias("packages"), F.array().cast("array<string>").alias("catalogue_names"))
+    claims = registry.form_claims(e)
+    links = e.select(F.col("entity_id").alias("record"), "entity_id", F.col("names")[0].alias("name"), F.lit("text").alias("description"))
+    flagged = registry.catalogue_flags(links, claims)
+    assert not re.search("Join.*_o", flagged._jdf.queryExecution().optimizedPlan().toString())  # no row for each other claimant
+    assert [r.record for r in flagged.where("size(flags) = 0").collect()] == [n - 1]
+    tasks = e.select(F.col("entity_id").alias("task"), F.array(F.lit("HUB KIT"), F.lit("onetool"), F.lit("tool"), F.lit("lone name")).alias("surface_forms"))
+    got = linkage.task_candidates(tasks, claims)
+    assert got.count() == 12 * n
+    one = sorted(map(tuple, got.where("task = 5").collect()))
+    assert one == [(5, k, "exact", "HUB KIT") for k in range(12)]
+    assert linkage.first_claims(claims).groupBy("key_type", "form").count().agg(F.max("count")).collect()[0][0] == 12
+    nested = linkage.task_candidates(tasks.where("task < 3"), registry.surface_forms(e))
+    assert sorted(map(tuple, nested.collect())) == sorted(map(tuple, got.where("task < 3").collect()))
