@@ -104,7 +104,7 @@ cand AS (SELECT w, e, min(m) m FROM cd GROUP BY w, e QUALIFY row_number() OVER (
 
 @query("candidates", f"WITH {_CAND} SELECT w AS name, e AS entity_id, ['exact', 'loose', 'token'][m + 1] AS match FROM cand")
 def candidates(load):
-    return ln.candidates(_mention_names(load), rg.surface_forms(_entities(load)))
+    return ln.candidates(_mention_names(load), rg.form_claims(_entities(load)))
 
 
 _TCAND = f"""{_FORMS}, tk AS (SELECT p_partkey task, k, w FROM (SELECT p_partkey, unnest([upper(p_brand), p_name, replace(p_name, ' ', '')]) w, unnest([0, 1, 2]) k FROM part SEMI JOIN lineitem ON l_partkey = p_partkey)),
@@ -129,7 +129,7 @@ def _popularity(load):
 
 @query("fast_text_match", f"WITH {_CAND}, {_POP} SELECT w AS name, max_by(e, (n, ns, e)) AS entity_id, max(n)::BIGINT AS popularity, count(*)::BIGINT AS n_candidates FROM cand JOIN pop USING (e) WHERE m = 0 GROUP BY w")
 def fast_text_match(load):
-    return ln.fast_match(ln.exact_candidates(_mention_names(load), rg.surface_forms(_entities(load))), _popularity(load))
+    return ln.fast_match(ln.exact_candidates(_mention_names(load), rg.form_claims(_entities(load))), _popularity(load))
 
 
 def _tasks(load):
