@@ -180,7 +180,8 @@ SELECT doc_id, o::INTEGER AS "window", min(p)::INTEGER AS first, max(p)::INTEGER
 """)
 def window_owner(load):
     """The words of every document that each of its windows owns."""
-    d = load("documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("token", "word"), F.size(F.split("text", " ")).alias("size"))
+    d = load("documents").select("doc_id", F.split("text", " ").alias("words")).select("doc_id", F.size("words").alias("size"), "words")
+    d = d.select("doc_id", "size", F.posexplode("words").alias("token", "word"))  # sizes before words: a text is split once
     return segments.window_owner(d, 64, 16).groupBy("doc_id", "window").agg(F.min("token").alias("first"), F.max("token").alias("last"), F.count("*").alias("n"))
 
 

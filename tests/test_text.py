@@ -70,3 +70,23 @@ def test_position_context_and_ids(spark):
     assert [r[0] for r in df.select(t.only_occurrence("t", "v")).collect()] == [None, 1, None, None]
     assert one(spark, "see PMC12345, and 10.1234/AbC). PMC12345", t.ids_in_text) == ["10.1234/abc", "pmc12345"]
     assert one(spark, "Using the aligners and settings", t.context_tokens) == ["align", "sett"]
+
+
+def _over(spark, tmp_path, name, rows, schema, **tables):
+    from mentionforge.plans.catalog import ORACLES, QUERIES
+    from tests.oracle import same
+
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    for table, (r, s) in tables.items():
+        spark.createDataFrame(r, s).write.parquet(str(tmp_path / f"{table}.parquet"))
+    df = QUERIES[name](spark, str(tmp_path))
+    same(df, ORACLES[name], str(tmp_path))
+    return df
+
+
+def test_a_text_is_split_once_for_its_tokens(spark, tmp_path):
+    rows = [*enumerate((" ".join("w" * (k % 3) for k in range(n)) for n in (1, 16, 17, 64, 65, 112, 113, 400, 60000)))]
+    df = _over(spark, tmp_path, "window_owner", rows, "doc_id long, text string")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Generate")]
+    assert "split(" not in above  # above the explosion it would be split again for each of its words
