@@ -95,6 +95,27 @@ def task_candidates(tasks: DataFrame, forms: DataFrame, most: int = MOST_CANDIDA
     return ranked.select("task", "entity_id", _kind(F.col("b.m")).alias("match"), F.col("b.form").alias("matched_form"))
 
 
+def keyed_entities(tasks: DataFrame, entities: DataFrame) -> DataFrame:
+    """(task, entity_id) of tasks (task, keys) and entities (entity_id, keys) that share a key, each pair once; rows of one id are taken
+    together, null keys meet nothing.
+
+    A pair is made at the smallest of the keys that it shares, so none is made twice, and the pairs, of which a key makes as many
+    as its tasks times its entities, are never shuffled or sorted."""
+
+    def gathered(df, name):
+        held = df.select(name, F.explode("keys").alias("key")).where("key is not null").distinct()
+        return held, held.groupBy(name).agg(F.collect_set("key").alias("keys"))
+
+    each, all_keys = gathered(entities, "entity_id")
+    known = tasks.select("task", F.explode("keys").alias("key")).join(each.select("key").distinct(), "key", "left_semi").groupBy("task").agg(F.collect_set("key").alias("tk"))
+    left = known.select("task", F.explode("tk").alias("key"), F.when(F.size("tk") > 1, F.col("tk")).alias("tk"))
+    spark = tasks.sparkSession
+    left = left.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "task")  # few bytes, much work: not to be coalesced
+    right = all_keys.select("entity_id", F.explode("keys").alias("key"), F.col("keys").alias("ek"))
+    first = F.col("tk").isNull() | (F.array_min(F.array_intersect("tk", "ek")) == F.col("key"))
+    return left.join(right, "key").where(first & F.col("task").isNotNull() & F.col("entity_id").isNotNull()).select("task", "entity_id")
+
+
 def fast_match(found: DataFrame, popularity: DataFrame) -> DataFrame:
     """(name, entity_id, popularity, n_candidates): among exact candidates the most mentioned entity, then the one of most
     sources, then the largest id. found: (name, entity_id) of exact_candidates; popularity: (entity_id, mentions, n_sources)."""

@@ -143,3 +143,16 @@ def test_what_many_entities_claim_makes_no_pairs(spark):
     assert linkage.first_claims(claims).groupBy("key_type", "form").count().agg(F.max("count")).collect()[0][0] == 12
     nested = linkage.task_candidates(tasks.where("task < 3"), registry.surface_forms(e))
     assert sorted(map(tuple, nested.collect())) == sorted(map(tuple, got.where("task < 3").collect()))
+
+
+def test_entities_of_shared_keys_come_once_and_unshuffled(spark):
+    r = random.Random(2)
+    some = lambda ids: [(r.choice(ids), [r.choice(["a", "b", "c", "d", None]) for _ in range(r.randrange(4))]) for _ in range(60)]
+    a, b = some([*range(20), None]), some([*range(30), None])
+    got = linkage.keyed_entities(spark.createDataFrame(a, "task long, keys array<string>"), spark.createDataFrame(b, "entity_id long, keys array<string>"))
+    want = {(x, y) for x, k in a for y, m in b if x is not None and y is not None and set(k) & set(m) - {None}}
+    of = lambda rows, i: {k for x, ks in rows if x == i for k in ks if k}
+    assert want == {(x, y) for x in range(20) for y in range(30) if of(a, x) & of(b, y)}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    top = got._jdf.queryExecution().optimizedPlan().toString().splitlines()[:2]
+    assert "Project" in top[0] and "Join" in top[1]  # nothing is done to the pairs once they are joined
