@@ -6,6 +6,7 @@ from mentionforge.functions import scores
 from mentionforge.operators import evaluation as ev
 from mentionforge.operators import intervals as iv
 from mentionforge.plans.catalog import query
+from mentionforge.session import dealt
 
 #: Lines of an order that share a number count as one.
 _LINES = "(SELECT l_orderkey, l_linenumber, min(l_partkey) l_partkey, min(l_suppkey) l_suppkey, max(l_quantity) l_quantity, min(l_returnflag) l_returnflag, min(l_linestatus) l_linestatus FROM lineitem GROUP BY ALL)"
@@ -18,7 +19,9 @@ i AS (SELECT doc_id, min("start") AS "start", max("end") AS "end" FROM g GROUP B
 
 
 def _lines(load):
-    one = load("lineitem").groupBy("l_orderkey", "l_linenumber")
+    """Lines by order and number. Least and largest strings are taken of sorted rows, so rows are dealt out by order before that: a
+    task of the scan sorts nothing, and what follows by order needs no other shuffle."""
+    one = dealt(load("lineitem"), "l_orderkey").groupBy("l_orderkey", "l_linenumber")
     return one.agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"), F.max("l_quantity").alias("l_quantity"), F.min("l_returnflag").alias("l_returnflag"), F.min("l_linestatus").alias("l_linestatus"))
 
 
@@ -243,7 +246,7 @@ _ARMS = "SELECT CASE l_suppkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END
 
 def _arm_spans(load):
     arm = F.when(F.col("l_suppkey") % 3 == 0, F.lit("a")).when(F.col("l_suppkey") % 3 == 1, F.lit("b")).otherwise(F.lit("c"))
-    return load("lineitem").select(arm.alias("arm"), F.col("l_orderkey").alias("doc_id"), F.pmod("l_partkey", F.lit(3)).alias("start"), (F.pmod("l_partkey", F.lit(3)) + 5).alias("end"))
+    return dealt(load("lineitem"), "l_orderkey").select(arm.alias("arm"), F.col("l_orderkey").alias("doc_id"), F.pmod("l_partkey", F.lit(3)).alias("start"), (F.pmod("l_partkey", F.lit(3)) + 5).alias("end"))
 
 
 @query("agreement_jaccard", f"""

@@ -68,3 +68,14 @@ def spread(scan: DataFrame) -> DataFrame:
     cores = scan.sparkSession.sparkContext.defaultParallelism
     tasks = scan._jdf.queryExecution().toRdd().getNumPartitions()
     return scan if tasks >= cores else scan.repartition(cores)
+
+
+#: Bytes of a scanned table, as files hold them, that one task is dealt.
+TASK_BYTES = 8 << 20
+
+
+def dealt(scan: DataFrame, *keys: str) -> DataFrame:
+    """A table scan dealt out by its keys over tasks whose number follows its size, so that what one of them sorts and holds stays the
+    same as the table grows. For scans and projections of them only: the size is read off the plan."""
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return scan.repartition(max(scan.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)), *keys)

@@ -102,3 +102,15 @@ def test_only_names_are_counted(spark, tmp_path):
     df = _over(spark, tmp_path, "phrase_matches", rows, "doc_id long, text string", benchmark=([(1, "one two three four"), (2, "One"), (3, ""), (4, "three")], "item_id long, text string"))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate") < plan.index("Join")  # the join lies below the count
+
+
+def test_lines_are_dealt_out_by_size(spark, monkeypatch):
+    """A larger table is more tasks, and neither a scan's task sorts lines nor do they move again for what follows by order."""
+    from mentionforge import session
+    from mentionforge.plans.catalog import QUERIES
+    from tests.oracle import SMALL
+
+    monkeypatch.setattr(session, "TASK_BYTES", 1000)
+    assert session.dealt(spark.read.parquet(f"{SMALL}/lineitem.parquet"), "l_orderkey").rdd.getNumPartitions() > 50
+    plan = QUERIES["boundary_segments"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
