@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,51 +15,102 @@ from pyspark.sql import functions as F
 from mentionforge.functions import text as t
 from mentionforge.operators.graph import connected, materialize
 from mentionforge.operators.ranks import ranked
+from mentionforge.session import map_in_arrow
 
-
-#: A shingle that more sets than this hold comes last in the order of rarity.
+#: A shingle that more sets than this hold comes last in the order of rarity; one set in SAMPLED is counted to tell, and MOST_COMMON
+#: shingles are told at most. The order decides what is joined on, not what is found.
 COMMON = 100
+SAMPLED = 8
+MOST_COMMON = 1 << 18
+
+#: Words of 64 bits of a set's signature, and the shingles that excerpts are looked for by: one in SEEDS.
+WORDS = 32
+SEEDS = 8
 
 
 def shingle_classes(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame]:
     """(members, classes) of documents (doc_id, text) by equal sets of shingles: (doc_id, representative), the smallest id of
-    them, and (rep, n, size, h), with a set's size, how many documents hold it, and the sorted 64-bit hashes of its shingles.
+    them, and (rep, n, h), with a set's size and the sorted 64-bit hashes of its shingles.
 
-    Documents without shingles (null, empty or shorter texts) and rows without id are in neither; repeated rows count once."""
+    Documents without shingles (null, empty or shorter texts) and rows without id are in neither; repeated rows count once. Sets
+    stay where they were made: what is shuffled is their keys, and rows that stand for no class are taken out by id."""
     let = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731  binds a value once
     some = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.xxhash64(*[F.element_at(w, (i + k).cast("int")) for k in range(width)]))
     hashes = let(F.transform(t.words(F.col("text")), lambda x: F.xxhash64(x)), lambda w: F.when(F.size(w) >= width, F.sort_array(F.array_distinct(some(w)))))
-    sets = materialize(docs.where("doc_id is not null").select("doc_id", hashes.alias("h")).where("h is not null"), "sets")
-    keyed = sets.select("doc_id", F.struct(F.size("h"), F.xxhash64("h"), F.xxhash64(F.lit(1), "h")).alias("key")).distinct()
-    same = materialize(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "classes")
-    members = keyed.join(same, "key").select("doc_id", F.col("rep").alias("representative"))
-    first = sets.join(same.select("rep", "size", F.col("key").alias("_k")), (F.col("doc_id") == F.col("rep")) & (F.xxhash64("h") == F.col("_k.col2")))
-    return members, materialize(first.dropDuplicates(["rep", "_k"]).select("rep", F.size("h").alias("n"), "size", "h"), "representatives")
+    sets = docs.where("doc_id is not null").select("doc_id", hashes.alias("h")).where("h is not null")
+    sets = materialize(sets.select("doc_id", F.size("h").alias("n"), F.xxhash64("h").alias("k"), F.xxhash64(F.lit(1), "h").alias("l"), "h"), "sets")
+    keyed = materialize(sets.groupBy("doc_id", "n", "k", "l").agg(F.count("*").alias("rows")), "keys")
+    same = keyed.groupBy("n", "k", "l").agg(F.min("doc_id").alias("representative"))
+    members = materialize(keyed.join(same, ["n", "k", "l"]).select("doc_id", "representative", "n", "k", "l", "rows"), "members")
+    key = ["doc_id", "n", "k", "l"]
+    others = materialize(members.where("doc_id <> representative or rows > 1").select(*key), "others")
+    rows = sets.join(others, key, "left_anti")
+    if not (again := members.where("doc_id = representative and rows > 1").select(*key)).isEmpty():
+        rows = rows.unionByName(sets.join(again, key, "left_semi").dropDuplicates(key))
+    return members.select("doc_id", "representative"), materialize(rows.select(F.col("doc_id").alias("rep"), "n", "h"), "representatives")
+
+
+def _prefixes(jaccard: float, common: np.ndarray):
+    """Sets (rep, n, h) to (rep, n, p, seed, parity): the first n - ceil(jaccard * n) + 1 shingles in the order of rarity; the first that is
+    rare and a multiple of SEEDS, else the first; and for each of 64 * WORDS bits whether an odd number of shingles falls on it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists, heads, seeds, parity = b.column(2), [], [], []
+            at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            often = common[np.minimum(np.searchsorted(common, values), len(common) - 1)] == values if len(common) else np.zeros(len(values), bool)
+            bits = (values.view(np.uint64) >> np.uint64(20)).astype(np.int64) % (64 * WORDS)
+            for i, j in pairwise(at):
+                h, c = values[i:j], often[i:j]
+                rare = h[~c]
+                order, marked = np.concatenate([rare, h[c]]), rare[rare % SEEDS == 0]
+                heads.append(order[: len(h) - math.ceil(jaccard * len(h) - 1e-9) + 1])
+                seeds.append(marked[0] if len(marked) else order[0])
+                parity.append(np.packbits((np.bincount(bits[i:j], minlength=64 * WORDS) & 1).astype(np.uint8)).view(np.int64))
+            ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
+            p = pa.ListArray.from_arrays(ends, np.concatenate(heads)) if heads else pa.array([], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), p, pa.array(seeds, pa.int64()), pa.array(parity, pa.list_(pa.int64()))], ["rep", "n", "p", "seed", "parity"])
+
+    return run
 
 
 def near_class_pairs(classes: DataFrame, jaccard: float = 0.85, least_excerpt: int = 6) -> DataFrame:
     """(a, b, jaccard, reason) of classes of shingle_classes whose sets nearly agree or contain one another.
 
     Exact, by prefix filtering: with sets in one order, two of Jaccard j share one of the first n - ceil(j * n) + 1 of each, and
-    the first of a contained set is among the other's. The order is by hash, but for shingles of more than COMMON sets, which
-    come last and so are joined on only where a set has little else. Candidates are confirmed by the sizes of their
-    intersections. Sets that differ make a pair each, so the result grows with the square of a group of unlike near copies."""
-    common = materialize(classes.select(F.explode("h").alias("g")).groupBy("g").agg(F.count("*").alias("df")).where(F.col("df") > COMMON).select("g"), "common")
-    held = classes.select("rep", F.explode("h").alias("g")).join(common, "g").groupBy("rep").agg(F.sort_array(F.collect_list("g")).alias("_c"))
-    order = F.when(F.col("_c").isNull(), F.col("h")).otherwise(F.concat(F.array_except("h", "_c"), "_c"))
-    ranked = classes.join(held, "rep", "left").select("rep", "n", order.alias("o"))
-    ranked = materialize(ranked.select("rep", "n", F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.lit(jaccard) * F.col("n")) + 1).cast("int")).alias("p")), "prefixes")
+    as many more of these as their sizes ask for. The order is by hash, but for shingles of more than COMMON sets, which come
+    last and so are joined on only where a set has little else. A shingle of a contained set, its seed, is among the other's: it
+    is one in SEEDS where it can be, so that only these of every set are shuffled; the few other seeds meet all of them. Each
+    shingle in which two sets differ changes one bit of their parities, so those that differ in too many bits are dropped
+    before sets are moved; the rest are confirmed by the sizes of their intersections, the smaller set brought to the larger.
+    Sets that differ make a pair each, so the result grows with the square of a group of unlike near copies."""
+    shingle = F.explode("h").alias("g")
+    counted = classes.where(F.pmod(F.xxhash64("rep"), F.lit(SAMPLED)) == 0).select(shingle).groupBy("g").agg(F.count("*").alias("df")).where(F.col("df") * SAMPLED > COMMON)
+    common = np.array(sorted(r.g for r in counted.orderBy(F.desc("df"), "g").limit(MOST_COMMON).select("g").collect()), np.int64)
+    ranked = materialize(map_in_arrow(classes.select("rep", "n", "h"), _prefixes(jaccard, common), f"rep {dict(classes.dtypes)['rep']}, n int, p array<bigint>, seed bigint, parity array<bigint>"), "prefixes")
+    share = lambda n: F.ceil(F.lit(jaccard) * n - 1e-9)
     first = ranked.select("rep", "n", F.explode("p").alias("g"))
     a, b = first.select("g", F.col("rep").alias("a"), F.col("n").alias("na")), first.select("g", F.col("rep").alias("b"), F.col("n").alias("nb"))
-    near = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(jaccard) * F.greatest("na", "nb"))).select("a", "b")
-    seed = ranked.where(F.col("n") >= least_excerpt).select(F.element_at("p", 1).alias("g"), F.col("rep").alias("x"), F.col("n").alias("nx"))
-    every = classes.select(F.explode("h").alias("g"), F.col("rep").alias("y"), F.col("n").alias("ny"))
-    inside = seed.join(every, "g").where((F.col("x") != F.col("y")) & (F.col("nx") < F.col("ny"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    met = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= share(F.greatest("na", "nb")))).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    both = F.ceil(F.lit(jaccard / (1 + jaccard)) * (F.col("na") + F.col("nb")) - 1e-9)  # shingles that a near pair shares at least
+    near = met.where(F.col("c") > both - share(F.greatest("na", "nb"))).select("a", "b")
+    seed = ranked.where(F.col("n") >= least_excerpt).select(F.col("seed").alias("g"), F.col("rep").alias("x"), F.col("n").alias("nx"))
+    every = classes.select(shingle, F.col("rep").alias("y"), F.col("n").alias("ny"))
+    marked = F.pmod("g", F.lit(SEEDS)) == 0
+    hits = every.where(marked).join(seed.where(marked), "g").unionByName(every.join(materialize(seed.where(~marked), "seeds"), "g"))
+    inside = hits.where((F.col("x") != F.col("y")) & (F.col("nx") < F.col("ny"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     pairs = materialize(near.unionByName(inside).distinct(), "pairs")
-    left, right = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("h").alias("ha")), classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("h").alias("hb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("i", F.size(F.array_intersect("ha", "hb"))).withColumn("jaccard", F.col("i") / (F.col("na") + F.col("nb") - F.col("i")))
-    excerpt = (F.least("na", "nb") >= least_excerpt) & (F.col("i") == F.least("na", "nb"))
-    found = both.where((F.col("jaccard") >= jaccard) | excerpt)
+
+    side = lambda c: ranked.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
+    odd = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    most = F.col("na") + F.col("nb") - 2 * both
+    excerpt = (F.least("na", "nb") >= least_excerpt) & (F.col("odd") <= F.abs(F.col("na") - F.col("nb")))
+    swap = F.col("na") > F.col("nb")
+    left = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("odd", odd).where((F.col("odd") <= most) | excerpt)
+    left = materialize(left.select("a", "b", "na", "nb", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("s"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("l")), "close")
+    held = lambda c, h: classes.join(left.select(F.col(c).alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias(c), F.col("h").alias(h))
+    found = left.join(held("s", "hs"), "s").join(held("l", "hl"), "l").withColumn("i", F.size(F.array_intersect("hs", "hl"))).withColumn("jaccard", F.col("i") / (F.col("na") + F.col("nb") - F.col("i")))
+    found = found.where((F.col("jaccard") >= jaccard) | ((F.least("na", "nb") >= least_excerpt) & (F.col("i") == F.least("na", "nb"))))
     return found.select("a", "b", "jaccard", F.when(F.col("jaccard") >= jaccard, F.lit("near_duplicate")).otherwise(F.lit("excerpt_overlap")).alias("reason"))
 
 
@@ -70,9 +125,10 @@ def near_duplicate_members(docs: DataFrame, jaccard: float = 0.85, least_excerpt
     and how many other documents it is near to: those of its own class and of the classes that near_duplicate_pairs pairs with it."""
     members, classes = shingle_classes(docs, width)
     pairs = near_class_pairs(classes, jaccard, least_excerpt)
-    size = classes.select(F.col("rep").alias("b"), F.col("size").alias("m"))
+    sizes = members.groupBy("representative").agg(F.count("*").alias("size"))
+    size = sizes.select(F.col("representative").alias("b"), F.col("size").alias("m"))
     links = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(size, "b").groupBy("a").agg(F.sum("m").alias("m"))
-    counts = classes.join(links.withColumnRenamed("a", "rep"), "rep", "left").select(F.col("rep").alias("representative"), (F.col("size") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"))
+    counts = sizes.join(links.withColumnRenamed("a", "representative"), "representative", "left").select("representative", (F.col("size") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"))
     return members.join(counts, "representative").select("doc_id", "representative", "n_links")
 
 

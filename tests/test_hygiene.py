@@ -156,3 +156,14 @@ def test_entities_of_shared_keys_come_once_and_unshuffled(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
     top = got._jdf.queryExecution().optimizedPlan().toString().splitlines()[:2]
     assert "Project" in top[0] and "Join" in top[1]  # nothing is done to the pairs once they are joined
+
+
+def test_sets_move_only_for_pairs_that_may_be_near(spark, monkeypatch):
+    """Texts that share half their words meet by these, and are told apart before their sets are moved."""
+    kept, plain = {}, hygiene.materialize
+    monkeypatch.setattr(hygiene, "materialize", lambda df, name="part": kept.setdefault(name, plain(df, name)))
+    half = [f"w{k}" for k in range(60)]
+    texts = [" ".join(half + [f"v{k}x{i}" for i in range(60)]) for k in range(40)]
+    docs = spark.createDataFrame([*enumerate(texts), (40, texts[3] + " more")], "doc_id long, text string")
+    found = hygiene.near_duplicate_pairs(docs).collect()
+    assert [(r.a, r.b) for r in found] == [(3, 40)] and kept["close"].count() == 1
