@@ -77,7 +77,8 @@ def connected(edges: DataFrame, task_edges: int | None = None, most_rounds: int
     answer. Else rounds follow on the stars: each takes every vertex's smallest neighbour and degree, and once only roots have
     more than one neighbour the graph is a forest of stars; before that, neighbours above a vertex move to its smallest
     neighbour, then a vertex and its smaller neighbours do. Minima are aggregated before the shuffle and written, so a hub's
-    edges meet them in a plain join that adaptive execution can split. Only counts come to the driver."""
+    edges meet them in a plain join that adaptive execution can split. Ids compress so well that the files of a large table look
+    small enough to broadcast, hence the hints. Only counts come to the driver."""
     plain = edges.where("a is not null and b is not null and a <> b")
     e = materialize(plain.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     tasks = -(-e.count() // min(task_edges or TASK_EDGES, TASK_EDGES)) or 1
@@ -90,9 +91,9 @@ def connected(edges: DataFrame, task_edges: int | None = None, most_rounds: int
         low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
         if low.where("m < u and n > 1").isEmpty():
             return low.select(F.col("u").alias("id"), F.col("m").alias("root"))
-        up = both.where("v > u").join(low.select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        up = both.where("v > u").join(low.select("u", "m").hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         up = materialize(up.distinct(), "edges")
         several = materialize(up.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).where("n > 1").drop("n"), "least")
-        moved = up.join(several, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = materialize(up.join(several, "u", "left_anti").unionByName(moved).where("u <> v").distinct(), "edges")
+        moved = up.join(several.hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        e = materialize(up.join(several.hint("merge"), "u", "left_anti").unionByName(moved).where("u <> v").distinct(), "edges")
     raise RuntimeError("components did not settle")

@@ -71,9 +71,10 @@ def label_scores(gold: DataFrame, predicted: DataFrame, status: DataFrame) -> Da
 def alias_groups(pairs: DataFrame, negatives: DataFrame) -> DataFrame:
     """(id, root, contradicted) of components over alias pairs (a, b): contradicted if a negative pair lies within one."""
     groups = connected(pairs)
-    n = negatives.join(groups.select(F.col("id").alias("a"), F.col("root").alias("_x")), "a").join(groups.select(F.col("id").alias("b"), F.col("root").alias("_y")), "b")
+    of = lambda end, root: groups.select(F.col("id").alias(end), F.col("root").alias(root)).hint("merge")  # noqa: E731  its files look smaller than it is
+    n = negatives.join(of("a", "_x"), "a").join(of("b", "_y"), "b")
     bad = n.where("_x = _y").select(F.col("_x").alias("root")).distinct().withColumn("contradicted", F.lit(True))
-    return groups.join(bad, "root", "left").select("id", "root", F.coalesce("contradicted", F.lit(False)).alias("contradicted"))
+    return groups.join(bad.hint("merge"), "root", "left").select("id", "root", F.coalesce("contradicted", F.lit(False)).alias("contradicted"))
 
 
 def role_conflicts(rows: DataFrame, key: str, role: str) -> DataFrame:

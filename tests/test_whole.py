@@ -4,7 +4,7 @@ import random
 import re
 
 import __spark_entry__ as entry
-from mentionforge.operators import hygiene
+from mentionforge.operators import hygiene, review
 
 
 def test_copies_keep_their_links(spark):
@@ -86,6 +86,13 @@ def test_alias_groups_take_every_order(spark, tmp_path):
     assert sorted(got) == sorted((x, r, r in bad) for x, r in root.items()) and len(bad) == 2
 
 
+def test_alias_groups_are_not_broadcast(spark):
+    pairs, negatives = spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "a long, b long"), spark.createDataFrame([(1, 3), (2, 7)], "a long, b long")
+    got = review.alias_groups(pairs, negatives)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(1, 1, True), (2, 1, True), (3, 1, True), (7, 7, False), (8, 7, False)]
+
+
 def test_population_difference_reads_every_document(spark, tmp_path):
     labels = [(1, 0, 0), (2, 1, 0), (9, 1, 1)], "doc_id long, quality int, toxic int"
     got = run(spark, tmp_path, "population_difference", documents=docs_of("a", "b", "c", "d"), labels=labels)
