@@ -57,3 +57,10 @@ def test_layers_without_contradictions(spark):
     groups, bad, chains = alias_layer(spark.createDataFrame([("r", "a", "b", "alias", None), ("s", "b", "c", "not_alias", None)], DDL))
     assert sorted(x.member for x in groups.collect()) == ["a", "b"] and bad.count() == chains.count() == 0
     assert [x.count() for x in alias_layer(spark.createDataFrame([], DDL))] == [0, 0, 0]
+
+
+def test_chains_are_not_broadcast(spark):
+    rows = spark.createDataFrame([("p", 1, 2, "alias", None), ("q", 2, 3, "alias", 2), ("r", 1, 3, "not_alias", None)], "relation_id string, a long, b long, decision string, preferred long")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    groups, ended, _ = alias_layer(rows)
+    assert [tuple(r) for r in ended.collect()] == [("r", 1, 3, 2)] and "BroadcastHashJoin" not in plan(groups)
