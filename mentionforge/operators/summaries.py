@@ -17,6 +17,7 @@ from mentionforge.operators.contracts import FIELDS, INTENT_BITS
 from mentionforge.operators.evaluation import outcome, sums
 from mentionforge.operators.graph import materialize
 from mentionforge.operators.intervals import edge_eligible, merge_islands, overlap_pairs
+from mentionforge.session import dealt
 
 COMPLETED = ("success", "no_mentions", "completed")
 
@@ -137,10 +138,13 @@ def attached_attributes(spans: DataFrame, kinds: Sequence[str]) -> DataFrame:
 
 def containment_recall(wanted: DataFrame, found: DataFrame) -> DataFrame:
     """One row: distinct wanted (doc_id, name) folds, and how many hold or are held by a fold found (doc_id, name) in their document."""
-    fold = lambda df: df.select("doc_id", t.alnum_fold(F.col("name")).alias("f")).where("f <> ''").distinct()
-    w, g = fold(wanted).withColumnRenamed("f", "w"), fold(found).withColumnRenamed("f", "g")
-    j = w.join(g, "doc_id", "left").groupBy("doc_id", "w").agg(F.max(F.coalesce(F.contains("w", "g") | F.contains("g", "w"), F.lit(False))).alias("hit"))
-    return j.agg(F.count("*").alias("wanted"), F.count_if("hit").alias("found"))
+    fold = lambda df, side: df.select("doc_id", t.alnum_fold(F.col("name")).alias("f"), F.lit(side).alias("side")).where("f <> ''")
+    folds = materialize(fold(wanted, "w").unionByName(fold(found.where("doc_id is not null"), "g")), "folds")
+    held = lambda side: F.collect_set(F.when(F.col("side") == side, F.col("f"))).alias(side)
+    docs = dealt(folds, "doc_id").groupBy("doc_id").agg(held("w"), held("g"))  # as many tasks as the folds ask for
+    hits = F.filter("w", lambda w: F.exists("g", lambda g: F.contains(w, g) | F.contains(g, w)))
+    total = lambda c: F.coalesce(F.sum(F.size(c).cast("long")), F.lit(0).cast("long"))
+    return docs.agg(total("w").alias("wanted"), total(hits).alias("found"))
 
 
 def merge_problems(left: DataFrame, right: DataFrame, equal: Sequence[str]) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 import re
 
 import __spark_entry__ as entry
-from mentionforge.operators import hygiene, review
+from mentionforge.operators import hygiene, review, summaries
 
 
 def test_copies_keep_their_links(spark):
@@ -113,3 +113,12 @@ def test_tokens_of_every_language(spark, tmp_path):
     got = dict(run(spark, tmp_path, "context_tokens", documents=(rows, DOCS)))
     assert got == {0: ["align", "run"], 1: ["run", "vite"], 2: ["vite"], 3: ["nous"]}
     assert run(spark, tmp_path, "vocab_overlap", documents=(rows, DOCS)) == [(3, 2, 3, 2)]
+
+
+def test_containment_recall_follows_its_table(spark, monkeypatch):
+    """Names are dealt out by document over tasks whose number follows their table; rows without a document are held by nothing."""
+    dealt, plain = [], summaries.dealt
+    monkeypatch.setattr(summaries, "dealt", lambda df, *keys: dealt.append(keys) or plain(df, *keys))
+    wanted = spark.createDataFrame([(1, "Num Py"), (1, "num-py"), (1, "scipy"), (2, "numpy"), (None, "numpy"), (3, "-")], "doc_id long, name string")
+    found = spark.createDataFrame([(1, "Num"), (None, "numpy"), (3, "x")], "doc_id long, name string")
+    assert [tuple(r) for r in summaries.containment_recall(wanted, found).collect()] == [(4, 1)] and dealt == [("doc_id",)]
