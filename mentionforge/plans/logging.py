@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from mentionforge.operators import review_log as rl
 from mentionforge.operators.contracts import FIELDS
 from mentionforge.plans.catalog import query
+from mentionforge.session import dealt
 
 _LOG = """
 WITH l AS (SELECT l_orderkey o, l_linenumber n, min(l_suppkey) % 5 = 0 stale, min(l_partkey) % 4 kind FROM lineitem WHERE l_linenumber <= 8 GROUP BY ALL),
@@ -32,7 +33,7 @@ def _folded(load):
     fields = F.struct(*[F.lit(True).alias(f) for f in FIELDS])
     annotation = _json(occurrences=F.array(), covered_regions=F.array(F.struct(F.lit(0).alias("start"), F.lit(103).alias("end"), fields.alias("fields"))))
     items = load("orders").select(F.col("o_orderkey").cast("string").alias("task_id"), task.alias("task"), annotation.alias("annotation"), F.lit(1).cast("long").alias("revision"), F.lit("unreviewed").alias("status"))
-    lines = load("lineitem").where("l_linenumber <= 8").groupBy("l_orderkey", F.col("l_linenumber").alias("n"))  # a text has eight places
+    lines = dealt(load("lineitem").where("l_linenumber <= 8").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"), "l_orderkey").groupBy("l_orderkey", F.col("l_linenumber").alias("n"))  # a text has eight places
     d = lines.agg((F.min("l_suppkey") % 5 == 0).alias("stale"), (F.min("l_partkey") % 4).alias("kind"))
     by = W.partitionBy("l_orderkey").orderBy("n")
     held = F.coalesce(F.lag((~F.col("stale")) & (F.col("kind") > 1)).over(by) & (F.lag("n").over(by) == F.col("n") - 1), F.lit(False))

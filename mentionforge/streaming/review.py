@@ -45,7 +45,7 @@ class _Review(StatefulProcessor):
                     task.seen[r.decision_id] = self.seen.getValue((r.decision_id,))[0]
                 outcome = task.decide(r.payload) if r.payload is not None else "INVALID_DECISION"
                 if outcome == "applied":
-                    self.seen.updateValue((r.decision_id,), (task.seen[r.decision_id],))
+                    self.seen.updateValue((r.decision_id,), (task.mark(r.decision_id),))
             out.append((key[0], r.seq, r.decision_id, outcome, task.revision if task else None, None, None, None))
         if task is not None:
             state = (rl.canonical(task.task), rl.canonical(task.annotation), task.revision, task.status)

@@ -166,6 +166,33 @@ def test_fold_equals_a_sequential_replay(spark, parts):
     assert empty.count() == none.count() == 0
 
 
+def test_a_decision_copies_what_it_changes_and_digests_wait(monkeypatch):
+    copies, digests = [], []
+    monkeypatch.setattr(rl, "copied", lambda v, f=rl.copied: (copies.append(v), f(v))[1])
+    monkeypatch.setattr(rl, "digest", lambda v, f=rl.digest: (digests.append(v), f(v))[1])
+    words = ("NumPy", "SciPy", "R")
+    events = [event(k, k + 1, "upsert_occurrence", value=mention(w)) for k, w in enumerate(words)] + [event(3, 4, "accept_occurrence", target_name_span=span("SciPy")), event(4, 5, "accept_passage")]
+    task, outcomes = replay(events)
+    assert outcomes == ["applied"] * 5 and not digests
+    assert sum(isinstance(v, dict) and "name_span" in v for v in copies) == 4  # one for each that a decision brings or changes
+    assert task.decide(json.dumps(events[0], indent=1)) == "duplicate" and task.decide(json.dumps(events[0] | {"reason": "other"})) == "DECISION_ID_CONFLICT"
+    assert task.mark("d0") == rl.digest(events[0]) and task.mark("d9") is None
+    monkeypatch.setattr(rl.Task, "FRESH", 2)
+    few, outcomes = replay([*events, events[0], events[4], events[1] | {"reason": "other"}])
+    assert outcomes[5:] == ["duplicate", "duplicate", "DECISION_ID_CONFLICT"] and len(few.fresh) < 2 and few.annotation == task.annotation
+
+
+def test_payloads_of_a_log_without_repeats_are_sent_once(spark, monkeypatch):
+    plans = {}
+    monkeypatch.setattr(rl, "materialize", lambda df, name, f=rl.materialize: (plans.update({name: df._jdf.queryExecution().executedPlan().toString()}), f(df, name))[1])
+    items = spark.createDataFrame([item(), item("t2")], rl.ITEM_DDL)
+    log = spark.createDataFrame(rows_of_log([event(k, k + 1, "accept_passage") for k in range(5)]), LOG)
+    _, ledger = rl.fold_log(items, log)
+    assert plans["folded"].count("hashpartitioning") == 1 and {x.outcome for x in ledger.collect()} == {"applied"}
+    _, ledger = rl.fold_log(items, log.unionByName(log.select("decision_id", rl.F.lit("t2").alias("task_id"), (rl.F.col("seq") + 9).alias("seq"), "payload")))
+    assert sorted((x.task_id, x.outcome) for x in ledger.collect()) == [("t1", "applied")] * 5 + [("t2", "DECISION_ID_CONFLICT")] * 5
+
+
 def snapshot(spark, seed=3):
     log, live = random_log(seed)
     items = spark.createDataFrame([item(f"t{k}") for k in range(12)], rl.ITEM_DDL)
