@@ -7,13 +7,19 @@ from mentionforge.operators import linkage as ln
 from mentionforge.operators import registry as rg
 from mentionforge.plans.catalog import query
 from mentionforge.plans.texts import _EXACT, _STEM, _STOP
+from mentionforge.session import dealt
 
 _LOOSE = "nullif(regexp_replace({0}, '[^\\pL\\pM\\p{{Nd}}]+', '', 'g'), '')"
 
 
+#: Bytes of the catalogue's file that one task is dealt: 58,000 rows where names repeat, each of which claims five forms.
+ENTITY_BYTES = 256 << 10
+
+
 def _entities(load):
+    """The catalogue's entities, dealt out by id: its file is a scan of one task, and the forms that its rows claim are many times its bytes."""
     none = F.array().cast("array<string>")
-    return load("part").select(
+    return dealt(load("part").select("p_partkey", "p_name", "p_brand", "p_size"), "p_partkey", task_bytes=ENTITY_BYTES).select(
         F.col("p_partkey").alias("entity_id"), F.array("p_name").alias("names"), F.array("p_brand").alias("aliases"),
         F.when(F.col("p_size") % 4 == 0, F.array(F.concat(F.lit("pkg"), F.pmod("p_partkey", F.lit(97))))).otherwise(none).alias("packages"),
         F.when(F.col("p_size") % 5 == 0, F.array("p_name")).otherwise(none).alias("catalogue_names"),
@@ -175,7 +181,7 @@ def _resolved(load, tasks=None):
     idf = ln.inverse_frequency(texts, "entity_id", "text")
     unknown = F.log(F.lit(1 + part.count())) + 1
     left = ln.vectors(contexts.withColumn("ctx", F.col("context")), ["name", "context"], "ctx", "name", idf, unknown)
-    rows = cand.join(texts, "entity_id")
+    rows = cand.join(texts.hint("merge"), "entity_id")  # files of the catalogue look small enough to broadcast
     right = ln.vectors(rows.select("name", "entity_id", "text"), ["name", "entity_id"], "text", "name", idf, unknown)
     sim = ln.similarity(left, right, ["name"], "context", "entity_id")
     eco = F.when(F.col("p_size") % 4 == 0, F.array(F.lit("pypi"))).when(F.col("p_size") % 4 == 1, F.array(F.lit("cran"))).otherwise(F.array().cast("array<string>"))

@@ -4,7 +4,9 @@ import random
 import re
 
 import __spark_entry__ as entry
-from mentionforge.operators import hygiene, review, summaries
+from mentionforge.operators import hygiene, registry, review, summaries
+from mentionforge.plans import linking
+from tests.oracle import SMALL
 
 
 def test_copies_keep_their_links(spark):
@@ -122,3 +124,10 @@ def test_containment_recall_follows_its_table(spark, monkeypatch):
     wanted = spark.createDataFrame([(1, "Num Py"), (1, "num-py"), (1, "scipy"), (2, "numpy"), (None, "numpy"), (3, "-")], "doc_id long, name string")
     found = spark.createDataFrame([(1, "Num"), (None, "numpy"), (3, "x")], "doc_id long, name string")
     assert [tuple(r) for r in summaries.containment_recall(wanted, found).collect()] == [(4, 1)] and dealt == [("doc_id",)]
+
+
+def test_the_catalogue_is_dealt_out_before_its_forms_are_told(spark, monkeypatch):
+    monkeypatch.setattr(linking, "ENTITY_BYTES", 1 << 10)
+    entities = linking._entities(lambda table: spark.read.parquet(f"{SMALL}/{table}.parquet"))
+    assert entities._jdf.queryExecution().toRdd().getNumPartitions() > spark.sparkContext.defaultParallelism
+    assert registry.form_claims(entities)._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") == 1  # by id, which tells claims apart as well
