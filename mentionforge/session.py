@@ -74,8 +74,8 @@ def spread(scan: DataFrame) -> DataFrame:
 TASK_BYTES = 8 << 20
 
 
-def dealt(scan: DataFrame, *keys: str, task_bytes: int = TASK_BYTES) -> DataFrame:
+def dealt(scan: DataFrame, *keys: str, task_bytes: int | None = None) -> DataFrame:
     """A table scan dealt out by its keys over tasks whose number follows its size, so that what one of them sorts and holds stays the
     same as the table grows. For scans and projections of them only: the size is read off the plan."""
     size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return scan.repartition(max(scan.sparkSession.sparkContext.defaultParallelism, -(-size // task_bytes)), *keys)
+    return scan.repartition(max(scan.sparkSession.sparkContext.defaultParallelism, -(-size // (task_bytes or TASK_BYTES))), *keys)
