@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from mentionforge.functions import scores
 from mentionforge.functions import text as t
+from mentionforge.operators.graph import materialize
 from mentionforge.operators.registry import claims_of
 from mentionforge.session import map_in_arrow
 
@@ -95,25 +96,46 @@ def task_candidates(tasks: DataFrame, forms: DataFrame, most: int = MOST_CANDIDA
     return ranked.select("task", "entity_id", _kind(F.col("b.m")).alias("match"), F.col("b.form").alias("matched_form"))
 
 
+#: Tasks and entities of one key that meet as one group of rows, and pairs that a task of Spark makes, about.
+GROUP_TASKS, GROUP_ENTITIES, TASK_PAIRS = 2048, 4096, 64_000_000
+
+
 def keyed_entities(tasks: DataFrame, entities: DataFrame) -> DataFrame:
     """(task, entity_id) of tasks (task, keys) and entities (entity_id, keys) that share a key, each pair once; rows of one id are taken
     together, null keys meet nothing.
 
     A pair is made at the smallest of the keys that it shares, so none is made twice, and the pairs, of which a key makes as many
-    as its tasks times its entities, are never shuffled or sorted."""
-
-    def gathered(df, name):
-        held = df.select(name, F.explode("keys").alias("key")).where("key is not null").distinct()
-        return held, held.groupBy(name).agg(F.collect_set("key").alias("keys"))
-
-    each, all_keys = gathered(entities, "entity_id")
-    known = tasks.select("task", F.explode("keys").alias("key")).join(each.select("key").distinct(), "key", "left_semi").groupBy("task").agg(F.collect_set("key").alias("tk"))
-    left = known.select("task", F.explode("tk").alias("key"), F.when(F.size("tk") > 1, F.col("tk")).alias("tk"))
-    spark = tasks.sparkSession
-    left = left.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "task")  # few bytes, much work: not to be coalesced
-    right = all_keys.select("entity_id", F.explode("keys").alias("key"), F.col("keys").alias("ek"))
+    as its tasks times its entities, are never shuffled or sorted. A key's tasks are dealt into chunks, its entities into blocks, and a
+    copy of each row goes to every group of a chunk and a block that it is part of: no group is large, however much a key holds; the
+    groups are dealt out over tasks whose number follows the pairs, and neither side is broadcast."""
+
+    def each(df, name):
+        return df.where(F.col(name).isNotNull()).select(name, F.explode("keys").alias("key")).where("key is not null")
+
+    held = materialize(each(entities, "entity_id").distinct(), "keys")
+    known = each(tasks, "task").join(held.select("key").hint("merge"), "key", "left_semi").groupBy("task").agg(F.collect_set("key").alias("tk"))
+    known = materialize(known.select("task", F.explode("tk").alias("key"), F.when(F.size("tk") > 1, F.col("tk")).alias("tk")), "keys")
+    n_tasks = known.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("tk").isNotNull()).alias("several"))
+    met = n_tasks.join(held.groupBy("key").agg(F.count("*").alias("m")).hint("merge"), "key")
+    parts = [F.ceil(F.col(c) / most).cast("int").alias(p) for c, most, p in (("n", GROUP_TASKS, "chunks"), ("m", GROUP_ENTITIES, "blocks"))]
+    sizes = materialize(met.select("key", "several", (F.col("n") * F.col("m")).alias("pairs"), *parts), "sizes")
+
+    def place(name, parts):
+        return F.pmod(F.xxhash64(name), F.col(parts)).cast("int")
+
+    def every(parts):
+        return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+    spark, group = tasks.sparkSession, ("key", "chunk", "block")
+    pairs = sizes.agg(F.sum("pairs")).first()[0] or 0
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pairs // TASK_PAIRS))
+    left = known.join(sizes.hint("merge"), "key").select("task", "key", "tk", place("task", "chunks").alias("chunk"), every("blocks").alias("block"))
+    shared = held.join(sizes.hint("merge"), "key")
+    few = shared.where("several").groupBy("entity_id").agg(F.collect_list("key").alias("ek"))
+    right = shared.join(few.hint("merge"), "entity_id", "left").select("entity_id", "key", F.when(F.col("several"), F.col("ek")).alias("ek"), place("entity_id", "blocks").alias("block"), every("chunks").alias("chunk"))
+    left, right = (df.repartition(n, *group) for df in (left, right))  # few bytes, much work: not to be coalesced
     first = F.col("tk").isNull() | (F.array_min(F.array_intersect("tk", "ek")) == F.col("key"))
-    return left.join(right, "key").where(first & F.col("task").isNotNull() & F.col("entity_id").isNotNull()).select("task", "entity_id")
+    return left.join(right.hint("merge"), [*group]).where(first).select("task", "entity_id")
 
 
 def fast_match(found: DataFrame, popularity: DataFrame) -> DataFrame:

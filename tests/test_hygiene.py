@@ -158,6 +158,19 @@ def test_entities_of_shared_keys_come_once_and_unshuffled(spark):
     assert "Project" in top[0] and "Join" in top[1]  # nothing is done to the pairs once they are joined
 
 
+def test_groups_of_a_hot_key_are_bounded_and_nothing_is_broadcast(spark, monkeypatch):
+    for size, v in (("GROUP_TASKS", 16), ("GROUP_ENTITIES", 32), ("TASK_PAIRS", 4000)):
+        monkeypatch.setattr(linkage, size, v, raising=False)
+    keys = lambda k: F.array(F.when(F.col("id") % 10 > 0, F.lit("hot")), F.concat(F.lit("k"), F.col("id") % k), F.when(F.col("id") % 3 == 0, F.lit("also")))
+    got = linkage.keyed_entities(spark.range(300).select(F.col("id").alias("task"), keys(40).alias("keys")), spark.range(400).select(F.col("id").alias("entity_id"), keys(60).alias("keys")))
+    of = lambda n, k: [{x for x in (i % 10 > 0 and "hot", f"k{i % k}", i % 3 == 0 and "also") if x} for i in range(n)]
+    want = [(i, j) for i, a in enumerate(of(300, 40)) for j, b in enumerate(of(400, 60)) if a & b]
+    assert sorted(map(tuple, got.collect())) == want
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()  # small as they look, they need not be
+    by_task = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(by_task) > 20 and max(by_task) < len(want) / 5
+
+
 def test_sets_move_only_for_pairs_that_may_be_near(spark, monkeypatch):
     """Texts that share half their words meet by these, and are told apart before their sets are moved."""
     kept, plain = {}, hygiene.materialize
