@@ -110,7 +110,8 @@ def keyed_entities(tasks: DataFrame, entities: DataFrame) -> DataFrame:
     groups are dealt out over tasks whose number follows the pairs, and neither side is broadcast."""
 
     def each(df, name):
-        return df.where(F.col(name).isNotNull()).select(name, F.explode("keys").alias("key")).where("key is not null")
+        # outer, or Spark first asks whether the array holds anything, and makes the keys twice for it
+        return df.where(F.col(name).isNotNull()).select(name, F.explode_outer("keys").alias("key")).where("key is not null")
 
     held = materialize(each(entities, "entity_id").distinct(), "keys")
     known = each(tasks, "task").join(held.select("key").hint("merge"), "key", "left_semi").groupBy("task").agg(F.collect_set("key").alias("tk"))
